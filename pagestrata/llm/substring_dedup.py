@@ -1,7 +1,8 @@
 """Fuzzy substring dedup by collinear chaining.
 
 Seeds are minimizers: of every WINDOW successive runs of K words, the one with the
-least hash. Each seed's first occurrence (smallest document, then position) is its
+least hash; a seed that occurs again in its document is also one with its ordinal.
+Each seed's first occurrence (smallest document, then position) is its
 anchor, and every other document's occurrence is one match with that anchor, so a
 seed that very many documents share makes as many matches as it has occurrences,
 never pairs. Matches of a document with one anchor document are chained: sorted by
@@ -34,7 +35,7 @@ K, WINDOW_RUNS = 8, 14
 GAP_COST = 0.05
 MIN_SEEDS = 2
 MIN_EQUAL = 0.8
-MIN_WORDS = 40
+MIN_WORDS = 45
 MIN_PART = 16
 DROP = 4
 #: Chains don't bridge stretches of more words than this; each side starts a chain of its own.
@@ -53,7 +54,19 @@ def minimizers(words: np.ndarray, k: int = K, window: int = WINDOW_RUNS) -> tupl
             h = mix(h * GOLDEN + words[i : n + i])
     view = np.lib.stride_tricks.sliding_window_view(h, min(window, n))
     at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-    return h[at], at
+    h = h[at]
+    # of equal seeds that follow closely, as in one word over and over, one per window stays
+    fresh = np.r_[True, (h[1:] != h[:-1]) | (np.diff(at) >= window)]
+    stays = (at - np.maximum.accumulate(np.where(fresh, at, 0))) % window == 0
+    h, at = h[stays], at[stays]
+    # a seed's second and later occurrences are also seeds of their own, so that repetitive passages chain
+    order = np.argsort(h, kind="stable")
+    first = np.r_[True, h[order][1:] != h[order][:-1]]
+    nth = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    again = nth > 0
+    with np.errstate(over="ignore"):
+        own = mix(h[order][again] + nth[again].astype(np.uint64) * GOLDEN)
+    return np.concatenate([h, own]), np.concatenate([at, at[order][again]])
 
 
 def seed_rows(docs: DataFrame) -> DataFrame:
