@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata.llm.char_model import ORDER, SPACE, Scorer, chunks, merged, units
@@ -179,22 +179,20 @@ def judge_quality(docs: DataFrame, labels: DataFrame, table_keys: int = TABLE_KE
         scored = settle(score_by_blocks(flagged, table, 1 + docs.count() // BLOCK_DOCS))
     known = scored.where("trusted and length > 0")
 
-    def limits(groups: list[str], mean: Column) -> DataFrame:
-        own = (F.col("total") + PRIOR_CHARS * mean) / (F.col("length") + PRIOR_CHARS)
-        return known.join(F.broadcast(means), F.lit(True) if not groups else known["lang"].eqNullSafe(means["_lang"]), "left").groupBy(*groups).agg(
-            F.percentile_approx(own, quantile, 10_000).alias("_limit")
-        )
-
-    means = known.groupBy(F.col("lang").alias("_lang")).agg((F.sum("total") / F.sum("length")).alias("_mean"))
-    everyone = known.agg((F.sum("total") / F.sum("length")).alias("_all_mean")).crossJoin(
-        known.agg(F.percentile_approx(F.col("total") / F.col("length"), quantile, 10_000).alias("_all_limit"))
-    ).first()
-    if everyone is None or everyone["_all_mean"] is None:
+    average = F.sum("total") / F.sum("length")
+    everyone = known.agg(average.alias("mean"), F.percentile_approx(F.col("total") / F.col("length"), quantile, 10_000).alias("limit")).first()
+    if everyone["mean"] is None:
         return scored.select("doc_id", "lang", "length", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("limit"), F.lit(True).alias("keep"))
-    per_lang = means.join(limits(["_lang"], F.col("_mean")).withColumnRenamed("_lang", "_l"), F.col("_lang").eqNullSafe(F.col("_l")))
+    means = known.groupBy(F.col("lang").alias("_lang")).agg(average.alias("_mean"))
+    own = (F.col("total") + PRIOR_CHARS * F.col("_mean")) / (F.col("length") + PRIOR_CHARS)
+    per_lang = (
+        known.join(F.broadcast(means), known["lang"].eqNullSafe(means["_lang"]))
+        .groupBy("_lang")
+        .agg(F.first("_mean").alias("_mean"), F.percentile_approx(own, quantile, 10_000).alias("_limit"))
+    )
     both = scored.join(F.broadcast(per_lang), scored["lang"].eqNullSafe(per_lang["_lang"]), "left")
-    mean = F.coalesce("_mean", F.lit(everyone["_all_mean"]))
-    limit = F.coalesce("_limit", F.lit(everyone["_all_limit"])) + slack_bits
+    mean = F.coalesce("_mean", F.lit(everyone["mean"]))
+    limit = F.coalesce("_limit", F.lit(everyone["limit"])) + slack_bits
     bits = (F.col("total") + PRIOR_CHARS * mean) / (F.col("length") + PRIOR_CHARS)
     keep = (bits <= limit) | F.col("doc_id").isNull()
     return both.select("doc_id", "lang", "length", F.pow(F.lit(2.0), bits).alias("perplexity"), F.pow(F.lit(2.0), limit).alias("limit"), keep.alias("keep"))
