@@ -14,11 +14,13 @@ similarity 0.8 always meet on one level.
 BANDS bands of ROWS registers make candidates: a pair of similarity 0.8 misses all
 with probability (1 - 0.8**4)**32, or 5e-8. In each band bucket members are paired
 with the bucket's smallest document only, verified on full sets, and joined to
-components. Buckets that still hold several components pair the members outside
-their largest component with all members of others, block by block, where the
-collision-corrected estimate of similarity is not below the threshold by more than
-ESTIMATE_SLACK (four standard errors); these pairs are verified too. So a bucket's
-cost follows its size, and no link between different components is lost.
+components. In buckets that still hold several components the members outside the
+largest one ask all members of others, block by block: in the first rounds each
+names the one of the best collision-corrected estimate of similarity, and when these
+rounds link no more, all whose estimate is not below the threshold by more than
+ESTIMATE_SLACK (four standard errors). What is named is verified. A pair is named in
+the first band that its members share only, and no link between different
+components is lost.
 
 Defined cases: null text, or text without words, has an empty set, which is linked
 with nothing; with fewer words than a shingle the whole text is one; rows without
@@ -38,17 +40,19 @@ from pagestrata.llm.components import connected
 from pagestrata.llm.tables import settle, small_side
 from pagestrata.llm.words import GOLDEN, WordHasher, mix, shingles
 
-BUCKETS, BUCKET_BITS = 256, 8
+BUCKETS, BUCKET_BITS = 512, 9
 BANDS, ROWS = 32, 4
 MANTISSA_BITS = 10
-FILL = 4096
-ESTIMATE_SLACK = 0.1
+FILL = 8192
+ESTIMATE_SLACK = 0.075
+BEST_ROUNDS = 4
 BLOCK = 512
 BROADCAST_IDS = 2_000_000
 #: Expected share of registers that agree by chance, after Yu and Weber (fixed value).
 CHANCE = 0.169919487159739 / 2**MANTISSA_BITS
 SETS = "doc_id long, n long, k1 long, k2 long, level1 int, sketch1 binary, level2 int, sketch2 binary"
 SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("level1", pa.int32()), ("sketch1", pa.binary()), ("level2", pa.int32()), ("sketch2", pa.binary())])
+NAMED = pa.schema([(c, pa.int64()) for c in ("key", "block", "asker", "doc")] + [("asked", pa.list_(pa.int64()))])
 #: Hash values sketched at a time.
 STEP = 1_000_000
 
@@ -157,42 +161,88 @@ def labelled(nodes: DataFrame, components: DataFrame) -> DataFrame:
     return nodes.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
-def open_pairs(buckets: DataFrame, components: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Untested pairs (a, b) of different components in one bucket that the estimate does not rule out."""
+def open_pairs(buckets: DataFrame, components: DataFrame, reps: DataFrame, threshold: float, best_only: bool) -> DataFrame:
+    """Pairs of different components in one bucket, apart from pairs with its least document.
+
+    best_only: for each member that asks, its best pair in the bucket; else all pairs that the estimate does not rule out.
+    A pair isn't a row of its own: rows (key, block, asker, doc, asked) list, for each member of a block, whom it asks.
+    """
     members = settle(labelled(buckets.where("size > 2").select("key", "doc", "least"), components))
-    split = settle(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"))
+    split = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
     rows = members.join(split, "key")
     main = rows.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rows = rows.join(main, "key").withColumn("blocks", 1 + F.floor(F.col("size") / BLOCK))
+    rows = rows.join(main, "key").withColumn("open", F.col("component") != F.col("main"))
+    opened = rows.groupBy("key").agg((1 + F.floor(F.count_if("open") / BLOCK)).alias("askers"))
+    rows = settle(rows.join(opened, "key").withColumn("blocks", 1 + F.floor(F.col("size") / BLOCK)))
     sketches = reps.select("doc", "level1", "sketch1", "level2", "sketch2")
-    stay = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("asks", F.lit(False))
-    ask = rows.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    columns = ["key", "block", "doc", "component", "least", "asks"]
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+    stay = rows.withColumn("block", own("blocks")).withColumn("asker", each("askers")).withColumn("asks", F.lit(False))
+    ask = rows.where("open").withColumn("block", each("blocks")).withColumn("asker", own("askers")).withColumn("asks", F.lit(True))
+    columns = ["key", "block", "asker", "doc", "component", "least", "open", "asks"]
     dealt = stay.select(*columns).unionByName(ask.select(*columns)).join(sketches, "doc")
 
     def pick(group: pa.Table) -> pa.Table:
-        asks = group["asks"].to_numpy(zero_copy_only=False)
+        asks, open_ = (group[c].to_numpy(zero_copy_only=False) for c in ("asks", "open"))
         doc, component, least = (group[c].to_numpy() for c in ("doc", "component", "least"))
-        found: list[tuple[int, int]] = []
-        one, two = ([(x, np.frombuffer(s, "<u2")) if s is not None else (None, None) for x, s in zip(group[f"level{w}"].to_pylist(), group[f"sketch{w}"].to_pylist(), strict=True)] for w in "12")
-        there = np.flatnonzero(~asks)
-        by_level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for level in {x for x, _ in [*one, *two] if x is not None}:
-            mine = [(i, s) for i in there for x, s in (one[i], two[i]) if x == level]
-            if mine:
-                by_level[level] = np.array([i for i, _ in mine]), np.stack([s for _, s in mine])
-        for i in np.flatnonzero(asks):
-            for level, own in (one[i], two[i]):
-                if level in by_level:
-                    rows, registers = by_level[level]
-                    agree = (registers == own).mean(axis=1)
-                    near = (agree - CHANCE) / (1 - CHANCE) >= threshold - ESTIMATE_SLACK
-                    near &= (component[rows] != component[i]) & (doc[rows] != least[i]) & (doc[i] != least[i])
-                    found += [(max(doc[i], doc[j]), min(doc[i], doc[j])) for j in rows[near]]
-        a, b = zip(*set(found), strict=True) if found else ((), ())
+        key = group["key"][0].as_py()
+        registers, band = np.zeros((len(doc), BUCKETS), "<u2"), np.full(len(doc), -1)
+        for which in "12":
+            levels, sketches = (group[f"{c}{which}"].to_pylist() for c in ("level", "sketch"))
+            for i, (level, own) in enumerate(zip(levels, sketches, strict=True)):
+                if own is not None and band[i] < 0:
+                    one = np.frombuffer(own, "<u2")
+                    at = np.flatnonzero(band_keys(level, one[None])[0] == key)
+                    if len(at):
+                        registers[i], band[i] = one, at[0]
+        words = np.ascontiguousarray(registers[:, : BANDS * ROWS]).view("<u8")
+        there = np.flatnonzero(~asks & (band >= 0))
+        found: dict[int, list[int]] = {}
+        for i in np.flatnonzero(asks & (band >= 0)):
+            rows = there[(component[there] != component[i]) & (doc[there] != least[i]) & (doc[i] != least[i])]
+            if not best_only:
+                rows = rows[~open_[rows] | (doc[rows] < doc[i])]
+                rows = rows[(words[rows] == words[i]).argmax(axis=1) == band[i]]
+            agree = ((registers[rows] == registers[i]).mean(axis=1) - CHANCE) / (1 - CHANCE)
+            near = agree >= threshold - ESTIMATE_SLACK
+            if best_only and near.any():
+                rows, near = rows[[agree.argmax()]], np.array([True])
+            if near.any():
+                found[int(doc[i])] = doc[rows[near]].tolist()
+        # a row for every member that some pair needs, with those that it asks
+        needed = sorted({*found, *(j for js in found.values() for j in js)})
+        n = len(needed)
+        return pa.table(
+            [pa.array([group[c][0].as_py()] * n, pa.int64()) for c in ("key", "block", "asker")] + [pa.array(needed, pa.int64()), pa.array([found.get(d, []) for d in needed], pa.list_(pa.int64()))],
+            schema=NAMED,
+        )
+
+    return dealt.groupBy("key", "block", "asker").applyInArrow(pick, "key long, block long, asker long, doc long, asked array<long>")
+
+
+def links_of(named: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): the named pairs whose full sets pass, compared where the members of a block meet."""
+    wanted = settle(named.select(F.col("doc").alias("_id")).distinct())
+    rows = docs.join(small_side(wanted, wanted.count(), BROADCAST_IDS), docs["doc_id"] == wanted["_id"], "left_semi")
+    sets = settle(full_sets(rows, size)).dropDuplicates(["doc", "elements"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        elements: dict[int, list[np.ndarray]] = {}
+        for d, e in zip(group["doc"].to_pylist(), group["elements"], strict=True):
+            elements.setdefault(d, []).append(np.sort(e.values.to_numpy()))
+        asked = dict(zip(group["doc"].to_pylist(), group["asked"].to_pylist(), strict=True))
+        found = set()
+        for d, others in asked.items():
+            for x in elements[d]:
+                for other in others:
+                    for y in elements[other]:
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        if 100 * common >= percent * (len(x) + len(y) - common):
+                            found.add((max(d, other), min(d, other)))
+        a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("key", "block").applyInArrow(pick, "a long, b long").distinct()
+    return named.join(sets, "doc").groupBy("key", "block", "asker").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -206,14 +256,18 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     all_bands = settle(bands(reps))
     least = all_bands.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), F.count("*").alias("size")).where("least < last").drop("last")
     buckets = settle(all_bands.join(least, "key"))
-    stars = settle(buckets.where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")).distinct())
-    links = settle(verified(stars, docs, size, percent))
+    stars = buckets.where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")).distinct()
+    links = settle(verified(settle(stars), docs, size, percent))
     components = settle(connected(links))
-    more = settle(open_pairs(buckets, components, reps, threshold).join(stars, ["a", "b"], "left_anti"))
-    if more.head(1):
-        more = settle(verified(more, docs, size, percent))
-        if more.head(1):
-            components = settle(connected(links.unionByName(more)))
+    best_only = [True] * BEST_ROUNDS
+    while best_only is not None:
+        named = settle(open_pairs(buckets, components, reps, threshold, bool(best_only)))
+        new = settle(links_of(named, docs, size, percent)) if named.head(1) else None
+        linked = new is not None and bool(new.head(1))
+        if linked:
+            links = links.unionByName(new)
+            components = settle(connected(links))
+        best_only = None if not best_only else best_only[1:] if linked else []
     out = marked.select("doc_id", F.col("n").alias("n_shingles"), "doc")
     found = out.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component_id", F.coalesce("component", "doc"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
