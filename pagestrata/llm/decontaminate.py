@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagestrata.llm.tables import settle, small_side
+from pagestrata.llm.tables import scratch, settle, small_side
 
 #: Marked words of each mask: 11101011 and 110100111.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
@@ -110,5 +110,6 @@ def contaminated(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that a benchmark item contaminates."""
-    out = settle(contaminated(docs, items).select(F.col("doc_id").alias("_id")).distinct())
+    with scratch(docs.sparkSession) as keep:
+        out = keep(contaminated(docs, items).select(F.col("doc_id").alias("_id")).distinct())
     return docs.join(small_side(out, out.count(), BROADCAST_IDS), docs["doc_id"] == out["_id"], "left_anti")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagestrata.llm.tables import settle
+from pagestrata.llm.tables import scratch, settle
 from pagestrata.llm.words import GOLDEN, mix
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -125,6 +125,11 @@ def _probe(probes: pa.Table, shards: pa.Table) -> pa.Table:
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
     """(doc_id, dropped): hashes of the lines that each document loses; documents that lose none are absent."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_repeated_lines(docs, min_chars))
+
+
+def _repeated_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), key_of), lambda k: F.char_length(k) >= min_chars))
     probes = settle(
         docs.where("doc_id is not null and text is not null")

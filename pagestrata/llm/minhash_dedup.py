@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata.llm.components import connected
-from pagestrata.llm.tables import settle, small_side
+from pagestrata.llm.tables import scratch, settle, small_side
 from pagestrata.llm.words import GOLDEN, WordHasher, mix, shingles
 
 BUCKETS, BUCKET_BITS = 512, 9
@@ -45,7 +45,7 @@ BANDS, ROWS = 32, 4
 MANTISSA_BITS = 10
 FILL = 8192
 ESTIMATE_SLACK = 0.075
-BEST_ROUNDS = 4
+BEST_ROUNDS = 2
 BLOCK = 512
 BROADCAST_IDS = 2_000_000
 #: Expected share of registers that agree by chance, after Yu and Weber (fixed value).
@@ -247,29 +247,40 @@ def links_of(named: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
 def near_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    threshold = percent / 100
-    rows = settle(set_rows(docs, size, threshold))
-    classes = rows.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
-    dupes = settle(classes.where("copies > 1").drop("copies"))
-    marked = rows.join(dupes, ["k1", "k2"], "left").withColumn("doc", F.coalesce("doc", "doc_id"))
-    reps = settle(marked.where("doc = doc_id and k1 is not null").dropDuplicates(["doc", "k1", "k2"]).select("doc", "level1", "sketch1", "level2", "sketch2"))
-    all_bands = settle(bands(reps))
-    least = all_bands.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), F.count("*").alias("size")).where("least < last").drop("last")
-    buckets = settle(all_bands.join(least, "key"))
-    stars = buckets.where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")).distinct()
-    links = settle(verified(settle(stars), docs, size, percent))
-    components = settle(connected(links))
+    with scratch(docs.sparkSession) as keep:
+        return keep(_near_classes(docs, size, percent))
+
+
+def _near_classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    spark, threshold = docs.sparkSession, percent / 100
+    with scratch(spark) as keep:
+        rows = settle(set_rows(docs, size, threshold))
+        classes = rows.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
+        dupes = settle(classes.where("copies > 1").drop("copies"))
+        every = rows.join(dupes, ["k1", "k2"], "left").withColumn("doc", F.coalesce("doc", "doc_id"))
+        reps = keep(every.where("doc = doc_id and k1 is not null").dropDuplicates(["doc", "k1", "k2"]).select("doc", "level1", "sketch1", "level2", "sketch2"))
+        marked = keep(every.select("doc_id", F.col("n").alias("n_shingles"), "doc"))
+    with scratch(spark) as keep:
+        all_bands = settle(bands(reps))
+        least = all_bands.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), F.count("*").alias("size")).where("least < last").drop("last")
+        buckets = keep(all_bands.join(least, "key"))
+    with scratch(spark) as keep:
+        stars = settle(buckets.where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")).distinct())
+        links = keep(verified(stars, docs, size, percent))
+    with scratch(spark) as keep:
+        components = keep(connected(links))
     best_only = [True] * BEST_ROUNDS
     while best_only is not None:
-        named = settle(open_pairs(buckets, components, reps, threshold, bool(best_only)))
-        new = settle(links_of(named, docs, size, percent)) if named.head(1) else None
+        with scratch(spark) as keep:
+            named = settle(open_pairs(buckets, components, reps, threshold, bool(best_only)))
+            new = keep(links_of(named, docs, size, percent)) if named.head(1) else None
         linked = new is not None and bool(new.head(1))
         if linked:
             links = links.unionByName(new)
-            components = settle(connected(links))
+            with scratch(spark) as keep:
+                components = keep(connected(links))
         best_only = None if not best_only else best_only[1:] if linked else []
-    out = marked.select("doc_id", F.col("n").alias("n_shingles"), "doc")
-    found = out.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component_id", F.coalesce("component", "doc"))
+    found = marked.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component_id", F.coalesce("component", "doc"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata.llm.char_model import ORDER, SPACE, Scorer, chunks, merged, units
-from pagestrata.llm.tables import settle, small_side
+from pagestrata.llm.tables import scratch, settle, small_side
 
 TABLE_KEYS = 4_000_000
 BROADCAST_IDS = 2_000_000
@@ -200,5 +200,6 @@ def judge_quality(docs: DataFrame, labels: DataFrame, table_keys: int = TABLE_KE
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the model rejects."""
-    out = settle(judge_quality(docs, labels).where("not keep").select(F.col("doc_id").alias("_id")).distinct())
+    with scratch(docs.sparkSession) as keep:
+        out = keep(judge_quality(docs, labels).where("not keep").select(F.col("doc_id").alias("_id")).distinct())
     return docs.join(small_side(out, out.count(), BROADCAST_IDS), docs["doc_id"] == out["_id"], "left_anti")
