@@ -46,7 +46,7 @@ MANTISSA_BITS = 10
 FILL = 8192
 ESTIMATE_SLACK = 0.075
 BEST_ROUNDS = 2
-BLOCK = 512
+BLOCK = 2048
 BROADCAST_IDS = 2_000_000
 #: Expected share of registers that agree by chance, after Yu and Weber (fixed value).
 CHANCE = 0.169919487159739 / 2**MANTISSA_BITS
@@ -177,13 +177,15 @@ def open_pairs(buckets: DataFrame, components: DataFrame, reps: DataFrame, thres
     sketches = reps.select("doc", "level1", "sketch1", "level2", "sketch2")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
-    stay = rows.withColumn("block", own("blocks")).withColumn("asker", each("askers")).withColumn("asks", F.lit(False))
-    ask = rows.where("open").withColumn("block", each("blocks")).withColumn("asker", own("askers")).withColumn("asks", F.lit(True))
-    columns = ["key", "block", "asker", "doc", "component", "least", "open", "asks"]
-    dealt = stay.select(*columns).unionByName(ask.select(*columns)).join(sketches, "doc")
+    rows = rows.withColumn("own_block", own("blocks")).withColumn("own_asker", own("askers"))
+    # every member stays in its own block, once per part of the askers; those that ask also visit the other blocks
+    stay = rows.withColumn("block", F.col("own_block")).withColumn("asker", each("askers")).withColumn("home", F.lit(True))
+    ask = rows.where("open").withColumn("block", each("blocks")).where("block <> own_block").withColumn("asker", F.col("own_asker")).withColumn("home", F.lit(False))
+    both = stay.unionByName(ask).withColumn("asks", F.col("open") & (F.col("asker") == F.col("own_asker")))
+    dealt = both.select("key", "block", "asker", "doc", "component", "least", "open", "asks", "home").join(sketches, "doc")
 
     def pick(group: pa.Table) -> pa.Table:
-        asks, open_ = (group[c].to_numpy(zero_copy_only=False) for c in ("asks", "open"))
+        asks, open_, home = (group[c].to_numpy(zero_copy_only=False) for c in ("asks", "open", "home"))
         doc, component, least = (group[c].to_numpy() for c in ("doc", "component", "least"))
         key = group["key"][0].as_py()
         registers, band = np.zeros((len(doc), BUCKETS), "<u2"), np.full(len(doc), -1)
@@ -196,7 +198,7 @@ def open_pairs(buckets: DataFrame, components: DataFrame, reps: DataFrame, thres
                     if len(at):
                         registers[i], band[i] = one, at[0]
         words = np.ascontiguousarray(registers[:, : BANDS * ROWS]).view("<u8")
-        there = np.flatnonzero(~asks & (band >= 0))
+        there = np.flatnonzero(home & (band >= 0))
         found: dict[int, list[int]] = {}
         for i in np.flatnonzero(asks & (band >= 0)):
             rows = there[(component[there] != component[i]) & (doc[there] != least[i]) & (doc[i] != least[i])]
