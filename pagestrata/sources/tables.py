@@ -5,13 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df under spark.checkpoint.dir (a temporary folder only where that is unset) and read it back."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """An unused path under spark.checkpoint.dir (a temporary folder only where that is unset)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagestrata-")
-    path = f"{folder.rstrip('/')}/pagestrata-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/pagestrata-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df to a new path of the shared folder and read it back."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
