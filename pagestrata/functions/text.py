@@ -48,7 +48,9 @@ def archive_filename(title: Column, host: Column) -> Column:
 def address(typed: Column, template: str) -> Column:
     """Where an address bar goes: nothing, a URL, a bare domain by https, or a search with %s as the place of the words."""
     t = F.trim(typed)
-    words = F.replace(F.url_encode(t), F.lit("+"), F.lit("%20"))
+    words = F.url_encode(t)
+    for code, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        words = F.replace(words, F.lit(code), F.lit(plain))
     before, place, after = template.partition("%s")
     found = F.concat(F.lit(before), words, F.lit(after if place else ""))
     return F.when(t == "", "about:blank").when(t.rlike(r"(?i)^https?://[^/?#\s]+"), t).when(t.rlike(BARE_DOMAIN) & ~t.contains(" "), F.concat(F.lit("https://"), t)).otherwise(found)

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagestrata.functions import html, urls
-from pagestrata.operators import catalog, container, crawl, journal, search
+from pagestrata.functions import forms, html, text, urls
+from pagestrata.operators import budget, catalog, container, crawl, forum, journal, search
 from pagestrata.plans import sql
-from pagestrata.sources import views
-from pagestrata.sources.tables import settle
+from pagestrata.sources import journal_log, views, zips
+from pagestrata.sources.tables import new_path, settle
+from pagestrata.streaming import visits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -414,3 +415,151 @@ def posts_once(spark, sf_dir):
     """WN-08, CP-07: one post per id."""
     rows = views.posts(spark, sf_dir).select(F.concat_ws("#", "thread_key", "post_number").alias("post_id"), "post_number", F.char_length("body").cast("long").alias("n_chars"))
     return catalog.upsert_last(rows, "post_id", "post_number")
+
+
+# Links with attributes, resources and forms
+
+
+@register(f"WITH {sql.ANCHORS} SELECT page_id, CAST(pos AS INTEGER) AS pos, url, text, rel, download, in_form FROM anchors")
+def link_details(spark, sf_dir):
+    """UD-02: anchors with their texts and attributes."""
+    return views.anchors(spark, sf_dir).select("page_id", "pos", "url", "text", "rel", "download", "in_form")
+
+
+@register(rf"""WITH {sql.DECORATED}, lists AS (SELECT page_id, unnest(regexp_extract_all(html, '<img [^>]*srcset="([^"]*)"', 1)) AS list FROM decorated), sets AS (SELECT page_id, unnest(string_split(list, ',')) AS part FROM lists)
+SELECT page_id, unnest(regexp_extract_all(html, '<link rel="stylesheet" href="([^"]*)"', 1)) AS href, 'stylesheet' AS kind FROM decorated
+UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '<img src="([^"]*)"', 1)), 'image' FROM decorated UNION ALL SELECT page_id, string_split(trim(part), ' ')[1], 'image' FROM sets""")
+def resource_extract(spark, sf_dir):
+    """UD-01: what pages load."""
+    return views.decorated_pages(spark, sf_dir).select("page_id", F.explode(forms.resources(F.col("html"))).alias("r")).select("page_id", "r.*")
+
+
+@register(rf"""WITH {sql.DECORATED}, c AS (SELECT page_id, regexp_replace(html, '(<input type="hidden"[^>]*?) value="[^"]*"', '\1 value=""', 'g') AS cleared FROM decorated)
+SELECT page_id, sha256(cleared) AS sha256, length(cleared) AS n_chars FROM c""")
+def html_without_credentials(spark, sf_dir):
+    """UD-04/05: pages whose credential fields have no values."""
+    cleared = views.decorated_pages(spark, sf_dir).select("page_id", forms.without_credentials(F.col("html")).alias("cleared"))
+    return cleared.select("page_id", F.sha2("cleared", 256).alias("sha256"), F.char_length("cleared").cast("long").alias("n_chars"))
+
+
+FORUM = forum.ForumScope("https://m.ththth.example.net/", domains=("example.net", "example.com"), max_depth=2)
+_U, _P = "url", "page_url"
+_SCOPE = f"({sql.origin(_U)} = 'https://m.ththth.example.net' OR {' OR '.join(f'{sql.host(_U)} = {chr(39)}{d}{chr(39)} OR {sql.host(_U)} LIKE {chr(39)}%.{d}{chr(39)}' for d in FORUM.domains)})"
+
+
+@register(rf"""WITH {sql.ANCHORS}, l AS (SELECT *, page_id % 3 AS depth, NOT starts_with({sql.path(_U)}, '/a') AS robots_allowed,
+  {sql.shape(_U, urls.PAGINATION_PATH, urls.PAGINATION_PARAM, urls.PAGINATION_OFFSET)} OR ({sql.is_http(_U)} AND regexp_matches(trim(text), '{urls.PAGINATION_TEXT}')) AS pagination FROM anchors),
+e AS (SELECT *, CASE WHEN NOT {sql.is_http(_U)} THEN 'drop' WHEN {sql.shape(_U, urls.DESTRUCTIVE_PATH, urls.DESTRUCTIVE_PARAM)} THEN 'skipped-sensitive' WHEN in_form OR rel = 'nofollow' THEN 'drop'
+  WHEN NOT {_SCOPE} THEN 'drop' WHEN NOT robots_allowed THEN 'skipped-non-content' WHEN {sql.shape(_U, urls.PRINT_PATH, urls.PRINT_PARAM)} THEN 'skipped-duplicate'
+  WHEN download OR {sql.attachment(_U)} THEN 'attachment' WHEN NOT pagination AND {sql.trap(_U)} THEN 'skipped-trap' END AS early FROM l),
+h AS (SELECT *, row_number() OVER (PARTITION BY {sql.thread_key(_P)}, pagination AND early IS NULL ORDER BY page_id, pos) AS hop, depth + CASE WHEN pagination THEN 0 ELSE 1 END AS next_depth FROM e)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, url, next_depth, CASE WHEN early IS NOT NULL THEN early WHEN pagination AND hop > {crawl.MAX_PAGINATION_HOPS} THEN 'skipped-trap'
+  WHEN {sql.shape(_U, urls.NON_CONTENT_PATH, urls.NON_CONTENT_PARAM)} THEN 'skipped-non-content' WHEN NOT pagination AND next_depth > 2 THEN 'drop' ELSE 'enqueue' END AS decision FROM h""")
+def forum_ladder(spark, sf_dir):
+    """PF-27, WN-14: every rule of a forum crawl's ladder."""
+    links = views.anchors(spark, sf_dir).withColumn("depth", F.col("page_id") % 3).withColumn("robots_allowed", ~urls.path(F.col("url")).startswith("/a"))
+    return forum.ladder(links, FORUM, ["page_id", "pos"]).select("page_id", "pos", "url", "next_depth", "decision")
+
+
+# Zips, journal lines and streams
+
+
+@register("SELECT 'documents/' || doc_id || '.txt' AS path, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS n_bytes FROM documents")
+def zip_roundtrip(spark, sf_dir):
+    """SRC-04/05/06/18: documents written to zips and read back."""
+    docs = views.table(spark, sf_dir, "documents")
+    files = docs.select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    packed = settle(zips.zipped(files)).withColumn("zip", F.sha2("content", 256))
+    return zips.entries(packed).where("error is null").select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@register(f"WITH {sql.JOURNAL} SELECT t, count(*) AS n FROM journal GROUP BY t UNION ALL SELECT 'malformed', count(*) FROM journal WHERE seq % 97 = 0")
+def journal_lines(spark, sf_dir):
+    """SRC-10/12: a journal of JSON lines with torn ones, read back."""
+    records, path = views.journal(spark, sf_dir).select("archive_id", "seq", "t", "norm", "value"), new_path(spark)
+    journal_log.append(records, path)
+    torn = records.where("seq % 97 = 0").select(F.substring(F.to_json(F.struct("*")), 1, 20).alias("value"))
+    torn.write.mode("append").text(path)
+    return journal_log.read(spark, path).groupBy(F.when(F.col("malformed"), "malformed").otherwise(F.col("t")).alias("t")).agg(F.count("*").alias("n"))
+
+
+@register(f"""WITH {sql.JOURNAL}, n AS (SELECT *, lead(ts) OVER (PARTITION BY archive_id ORDER BY ts, seq) AS nxt FROM journal), m AS (SELECT date_trunc('millisecond', max(ts)) AS mark FROM journal)
+SELECT archive_id, seq, norm FROM n, m WHERE (nxt IS NULL OR nxt - ts > INTERVAL 3 HOURS) AND ts + INTERVAL 3 HOURS <= mark""")
+def stream_debounced(spark, sf_dir):
+    """ST-01: a stream's last visits of bursts that the watermark has closed."""
+    records = views.as_journal(visits.arriving(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    return visits.appended(visits.debounced(records, "3 hours", "0 seconds"))
+
+
+@register(ORACLE_SQL["journal_state"])
+def stream_state(spark, sf_dir):
+    """ST-06: the folded state of a stream of records."""
+    return visits.completed(visits.state(views.as_journal(visits.arriving(spark, sf_dir, "events"))))
+
+
+# Budgets, retries and navigation
+
+TAKEN = f"{sql.JOURNAL}, taken AS (SELECT archive_id, seq, CAST(round(value * 100) AS BIGINT) AS size FROM journal WHERE t = 'page')"
+
+
+@register(f"""WITH {TAKEN}, b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY archive_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  row_number() OVER (PARTITION BY archive_id ORDER BY seq) - 1 AS done FROM taken), w AS (SELECT *, CASE WHEN before >= 10000 THEN 'bytes' WHEN done >= 3 THEN 'pages' END AS why FROM b)
+SELECT archive_id, count(*) FILTER (why IS NULL) AS n_pages, CAST(coalesce(sum(size) FILTER (why IS NULL), 0) AS BIGINT) AS n_bytes, arg_min(why, seq) FILTER (why IS NOT NULL) AS stopped_by FROM w GROUP BY archive_id""")
+def page_budget(spark, sf_dir):
+    """WN-13, ST-10: what a capture takes before its budget is used up."""
+    pages = views.journal(spark, sf_dir).where("t = 'page'").select("archive_id", "seq", F.round(F.col("value") * 100).cast("long").alias("size"))
+    return budget.within_budget(pages, 3, 10_000)
+
+
+@register(f"WITH {sql.JOURNAL}, n AS (SELECT *, lag(norm) OVER (PARTITION BY archive_id ORDER BY seq) AS prev FROM journal) SELECT archive_id, seq, norm FROM n WHERE prev IS NULL OR norm IS DISTINCT FROM prev")
+def navigation_once(spark, sf_dir):
+    """ST-02: visits that leave the page captured last."""
+    return budget.without_repeats(views.journal(spark, sf_dir)).select("archive_id", "seq", "norm")
+
+
+@register(f"""WITH {sql.JOURNAL}, k AS (SELECT *, lag(norm) OVER (PARTITION BY archive_id ORDER BY seq) AS discovered_on FROM journal), p AS (SELECT norm, min(archive_id % 4) AS depth FROM journal WHERE t = 'page' GROUP BY norm)
+SELECT k.archive_id, k.seq, coalesce(p.depth + 1, 0) AS depth FROM k LEFT JOIN p ON k.discovered_on = p.norm WHERE t = 'failure'""")
+def retry_depths(spark, sf_dir):
+    """JN-09: the depth at which failures are attempted again."""
+    records = views.journal(spark, sf_dir)
+    failed = journal.referrers(records).where("t = 'failure'").withColumnRenamed("referrer", "discovered_on")
+    pages = records.where("t = 'page'").select("norm", (F.col("archive_id") % 4).alias("depth"))
+    return budget.retry_depth(failed, pages).select("archive_id", "seq", "depth")
+
+
+@register("""WITH j AS (SELECT event_id AS seq, user_id || '/' || json_extract_string(props, '$.k') AS norm, event_type AS t FROM events)
+SELECT seq, norm FROM j WHERE t = 'purchase' AND norm NOT IN (SELECT norm FROM j WHERE t = 'error')""")
+def retry_keeps(spark, sf_dir):
+    """JN-08, CP-09: pages that a retry carries over."""
+    rows = views.journal(spark, sf_dir).select("seq", "t", F.concat_ws("/", "archive_id", "norm").alias("norm"))
+    return budget.carried_over(rows.where("t = 'page'"), rows.where("t = 'failure'")).select("seq", "norm")
+
+
+# Strings
+
+
+@register(r"""SELECT conv_id, turn, coalesce(array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: '"' || replace(w, '"', '""') || '"*'), ' '), '') AS query,
+replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM conversations WHERE text IS NOT NULL""")
+def text_escapes(spark, sf_dir):
+    """SC-S01/03: match queries and HTML escapes."""
+    rows = views.table(spark, sf_dir, "conversations").where("text is not null")
+    return rows.select("conv_id", "turn", text.match_query(F.col("text")).alias("query"), text.escaped(F.col("text")).alias("escaped"))
+
+
+@register(rf"""SELECT page_id, left(trim(regexp_replace({sql.title('html')}, '{text.UNSAFE_IN_NAMES}', '-', 'g')), 80) || '.sitearchive' AS filename,
+CASE WHEN length(html) < 1024 THEN length(html) || ' B' ELSE printf('%.1f', round(length(html) / 1024.0, 1)) || ' KB' END AS size,
+regexp_matches(url, '{text.SENSITIVE_URL}') AS sensitive FROM pages WHERE length(html) < 1048576 AND {sql.title('html')} <> ''""")
+def page_labels(spark, sf_dir):
+    """SC-U11, SC-S05, PF-25: file names, sizes and sensitive URLs."""
+    pages = views.table(spark, sf_dir, "pages").withColumn("n", F.char_length("html")).where((F.col("n") < 1 << 20) & (html.title(F.col("html")) != ""))
+    name = text.archive_filename(html.title(F.col("html")), urls.host(F.col("url")))
+    return pages.select("page_id", name.alias("filename"), text.file_size(F.col("n")).alias("size"), text.is_sensitive_url(F.col("url")).alias("sensitive"))
+
+
+@register(rf"""WITH typed AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN {sql.host('url')} ELSE 'find ' || {sql.host('url')} END AS t FROM pages)
+SELECT page_id, CASE WHEN starts_with(t, 'http') THEN t WHEN starts_with(t, 'find') THEN 'https://s.example/?q=' || url_encode(t) ELSE 'https://' || t END AS target FROM typed""")
+def address_bar(spark, sf_dir):
+    """SC-U10: what typed input opens."""
+    host = urls.host(F.col("url"))
+    typed = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, host).otherwise(F.concat(F.lit("find "), host))
+    return views.table(spark, sf_dir, "pages").select("page_id", text.address(typed, "https://s.example/?q=%s").alias("target"))

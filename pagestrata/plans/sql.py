@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagestrata.functions import html, urls
+from pagestrata.sources import views
 
 STOP = ", ".join(f"'{p}'" for p in urls.TRACKING_PARAMS)
 
@@ -113,6 +114,17 @@ JOURNAL = """journal AS (SELECT user_id AS archive_id, event_id AS seq, CASE eve
   json_extract_string(props, '$.k') AS norm, ts, value FROM events)"""
 
 
+DECORATED = f"decorated AS (SELECT page_id, url, html || replace('{views.EXTRA}', '{{id}}', CAST(page_id AS VARCHAR)) AS html FROM pages)"
+
+ANCHORS = rf"""{DECORATED}, outer_pieces AS (SELECT page_id, url AS page_url, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM (SELECT *, string_split(html, '</form>') AS ps FROM decorated)),
+inner_pieces AS (SELECT page_id, page_url, i, unnest(ps) AS piece, generate_subscripts(ps, 1) AS j FROM (SELECT *, string_split(piece, '<form') AS ps FROM outer_pieces)),
+tags AS (SELECT page_id, page_url, i, j, unnest(ts) AS whole, generate_subscripts(ts, 1) AS k FROM (SELECT *, regexp_extract_all(piece, '(?is)<a\s[^>]*>.*?</a>') AS ts FROM inner_pieces)),
+parts AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i, j, k) - 1 AS pos, regexp_extract(whole, '(?is)^<a\s[^>]*>') AS tag FROM tags),
+plain AS (SELECT page_id, page_url, pos, regexp_extract(tag, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(whole, '<[^>]*>', '', 'g'))[1:200] AS text,
+  regexp_extract(tag, 'rel="([^"]*)"', 1) AS rel, regexp_matches(tag, '\sdownload[\s=>/]') AS download, j > 1 AS in_form FROM parts),
+anchors AS (SELECT *, {resolve('href', 'page_url')} AS url FROM plain WHERE href <> '')"""
+
+
 def decision(u: str, page: str) -> str:
     return f"""CASE WHEN NOT {is_http(u)} THEN 'drop' WHEN {shape(u, urls.DESTRUCTIVE_PATH, urls.DESTRUCTIVE_PARAM)} THEN 'skipped-sensitive'
   WHEN {origin(u)} <> {origin(page)} THEN 'drop' WHEN {shape(u, urls.PRINT_PATH, urls.PRINT_PARAM)} THEN 'skipped-duplicate'

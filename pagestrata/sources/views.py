@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.functions import html, urls
+from pagestrata.functions import forms, html, urls
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -31,6 +31,27 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What decorated_pages() adds to each page: forms, resources and links with attributes, {id} being the page.
+EXTRA = (
+    '<link rel="stylesheet" href="/s/{id}.css"><img src="/i/{id}.png" srcset="/i/a.png 1x, /i/b.png 2x">'
+    '<form action="/login"><input type="hidden" name="csrf" value="{id}"><input name="q" value="kept"><a href="/inform/{id}">In</a></form>'
+    '<a href="/files/{id}.pdf" download>File</a><a rel="nofollow" href="/no/{id}">No</a><a href="/t/page/{id}">Next</a><a href="/members/{id}">Who</a>'
+)
+
+
+def decorated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages with forms, resources and links that they lack."""
+    extra = F.replace(F.lit(EXTRA), F.lit("{id}"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", extra).alias("html"))
+
+
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per anchor of decorated pages, with its attributes and the URL that it resolves to."""
+    pages = decorated_pages(spark, sf_dir)
+    found = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(forms.anchors(F.col("html"))).alias("pos", "a")).select("page_id", "page_url", "pos", "a.*")
+    return found.withColumn("url", urls.resolve(F.col("href"), F.col("page_url")))
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per anchor: page, position, href and the URL that it resolves to."""
     pages = table(spark, sf_dir, "pages")
@@ -43,9 +64,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_journal(table(spark, sf_dir, "events"))
+
+
+def as_journal(events: DataFrame) -> DataFrame:
     """Events as journal records of one capture per user, in order of event_id."""
     kinds = {"view": "enq", "click": "deq", "purchase": "page", "error": "failure"}
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("event_type")], F.lit("stat"))
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("archive_id"), F.col("event_id").alias("seq"), kind.alias("t"), F.get_json_object("props", "$.k").alias("norm"), "ts", "value"
-    )
+    return events.select(F.col("user_id").alias("archive_id"), F.col("event_id").alias("seq"), kind.alias("t"), F.get_json_object("props", "$.k").alias("norm"), "ts", "value")
