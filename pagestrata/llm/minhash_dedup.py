@@ -174,7 +174,8 @@ def open_pairs(buckets: DataFrame, components: DataFrame, reps: DataFrame, thres
     rows = rows.join(main, "key").withColumn("open", F.col("component") != F.col("main"))
     opened = rows.groupBy("key").agg((1 + F.floor(F.count_if("open") / BLOCK)).alias("askers"))
     rows = settle(rows.join(opened, "key").withColumn("blocks", 1 + F.floor(F.col("size") / BLOCK)))
-    sketches = reps.select("doc", "level1", "sketch1", "level2", "sketch2")
+    asked = settle(rows.select(F.col("doc").alias("_doc")).distinct())
+    sketches = reps.join(small_side(asked, asked.count(), BROADCAST_IDS), reps["doc"] == asked["_doc"], "left_semi")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
     rows = rows.withColumn("own_block", own("blocks")).withColumn("own_asker", own("askers"))
@@ -256,11 +257,14 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
 def _near_classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     spark, threshold = docs.sparkSession, percent / 100
     with scratch(spark) as keep:
-        rows = settle(set_rows(docs, size, threshold))
-        classes = rows.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
-        dupes = settle(classes.where("copies > 1").drop("copies"))
-        every = rows.join(dupes, ["k1", "k2"], "left").withColumn("doc", F.coalesce("doc", "doc_id"))
-        reps = keep(every.where("doc = doc_id and k1 is not null").dropDuplicates(["doc", "k1", "k2"]).select("doc", "level1", "sketch1", "level2", "sketch2"))
+        rows = keep(set_rows(docs, size, threshold).withColumn("row", F.monotonically_increasing_id()))
+        classes = rows.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies"))
+        dupes = keep(classes.where("copies > 1").select("k1", "k2", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("first")))
+        copied = dupes.count()
+        every = rows.join(small_side(dupes, copied, BROADCAST_IDS), ["k1", "k2"], "left").withColumn("doc", F.coalesce("doc", "doc_id"))
+        reps = every.where("k1 is not null and doc_id is not null and coalesce(first, row) = row").select("doc", "level1", "sketch1", "level2", "sketch2")
+        # sketches are most of what is stored: a broadcast finds them again without a second copy
+        reps = reps if copied <= BROADCAST_IDS else keep(reps)
         marked = keep(every.select("doc_id", F.col("n").alias("n_shingles"), "doc"))
     with scratch(spark) as keep:
         all_bands = settle(bands(reps))
