@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagestrata.llm import chat_format, char_model, decontaminate, language_id, line_dedup, minhash_dedup, packing, quality_model, secret_scan, substring_dedup, vector_topk
+from pagestrata.llm import chat_format, char_model, components, decontaminate, language_id, line_dedup, minhash_dedup, packing, quality_model, secret_scan, substring_dedup, vector_topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component string, k1 string"
 EN = "the quick brown fox jumps over the lazy dog while seven tall birds look down from an old stone bridge near river town "
@@ -169,3 +169,27 @@ def test_edges_do_not_crash(spark, f):
     f(edge(spark)).collect()
     f(edge(spark).limit(0)).collect()
     assert hashlib
+
+
+def test_components_equal_union_find(spark):
+    rng = np.random.default_rng(11)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(int(a), int(b)) for a, b in rng.integers(200, 300, (70, 2))] + [(500, i) for i in range(501, 540)] + [(7, 7), (9, 8), (8, 9)]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    out = {r.node: r.component for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(out.get(x, x) == low[x] for x in low)
+    assert not components.connected(spark.createDataFrame([], "a long, b long")).collect()
+
+
+def test_copies_and_repeated_ids_stay_whole(spark):
+    texts = [(5, EN), (3, EN.upper()), (3, "other words stand here alone"), (3, EN), (9, EN), (None, EN)]
+    for limit in (minhash_dedup.BROADCAST_IDS, 0):
+        before, minhash_dedup.BROADCAST_IDS = minhash_dedup.BROADCAST_IDS, limit
+        try:
+            out = minhash_dedup.near_classes(docs_of(spark, texts)).collect()
+        finally:
+            minhash_dedup.BROADCAST_IDS = before
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in out if r.doc_id is not None) == [(3, 3, True)] * 3 + [(5, 3, False), (9, 3, False)]
+        assert [(r.kept) for r in out if r.doc_id is None] == [True]
