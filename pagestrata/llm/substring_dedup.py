@@ -7,10 +7,11 @@ anchor, and every other document's occurrence is one match with that anchor, so
 seed that very many documents share makes as many matches as it has occurrences,
 never pairs. Matches of a document with one anchor document are chained: sorted by
 position, a match follows the predecessor with the best score less gap costs
-(GAP_COST per skipped word on either side), found by prefix maxima in a Fenwick
-tree over anchor positions. Chains are then aligned on the words themselves:
-stretches between seeds by edit distance in a band, ends by extension until DROP
-more words differ than agree. Spans of one document that touch, whatever their
+(GAP_COST per skipped word on either side) among all matches of the last BRIDGE
+words on both sides. Chains are then aligned on the words themselves: stretches
+between seeds by edit distance, ends by extension until DROP more words differ than
+agree. A chain of which less than MIN_EQUAL is equal is cut at its most unequal
+stretch, and so are its parts, until each is equal enough or too short. Spans of one document that touch, whatever their
 anchors, are merged; merged spans of MIN_WORDS words are repeated passages.
 
 Defined cases: null or empty texts and texts shorter than K words have no seeds and
@@ -21,8 +22,6 @@ that has a passage is reported as a source only; other columns are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -98,49 +97,21 @@ def matches(seeds: DataFrame) -> DataFrame:
     return listed.where(F.size("hits") >= MIN_SEEDS).withColumn("hits", F.array_sort("hits"))
 
 
-class PrefixMax:
-    """A Fenwick tree of prefix maxima of (score, index)."""
-
-    def __init__(self, n: int):
-        self.best: list[tuple[float, int]] = [(-1e18, -1)] * (n + 1)
-
-    def put(self, at: int, value: tuple[float, int]) -> None:
-        at += 1
-        while at < len(self.best):
-            if value > self.best[at]:
-                self.best[at] = value
-            at += at & -at
-
-    def get(self, before: int) -> tuple[float, int]:
-        """The maximum over positions under before."""
-        out = (-1e18, -1)
-        while before > 0:
-            out = max(out, self.best[before])
-            before -= before & -before
-        return out
-
-
 def chain(hits: list[tuple[int, int]], k: int = K) -> list[list[tuple[int, int]]]:
-    """Disjoint chains of MIN_SEEDS matches or more, best first; hits are sorted by position."""
-    places = sorted({b for _, b in hits})
-    tree, score, link = PrefixMax(len(places)), [0.0] * len(hits), [-1] * len(hits)
-    i = 0
-    while i < len(hits):
-        same = i
-        while same < len(hits) and hits[same][0] == hits[i][0]:
-            a, b = hits[same]
-            got, j = tree.get(bisect_left(places, b))
-            score[same] = float(k)
-            if j >= 0 and a - hits[j][0] <= BRIDGE and b - hits[j][1] <= BRIDGE:
-                step = min(k, a - hits[j][0], b - hits[j][1])
-                through = got - GAP_COST * (a + b) + step
-                if through > score[same]:
-                    score[same], link[same] = through, j
-            same += 1
-        for at in range(i, same):
-            a, b = hits[at]
-            tree.put(bisect_left(places, b), (score[at] + GAP_COST * (a + b), at))
-        i = same
+    """Disjoint chains of MIN_SEEDS matches or more, best first."""
+    hits = sorted(set(hits))
+    score, link = [float(k)] * len(hits), [-1] * len(hits)
+    low = 0
+    for i, (a, b) in enumerate(hits):
+        while a - hits[low][0] > BRIDGE:
+            low += 1
+        # a position has two seeds at most, so these are few
+        for j in range(low, i):
+            over_a, over_b = a - hits[j][0], b - hits[j][1]
+            if over_a and 0 < over_b <= BRIDGE:
+                through = score[j] + min(k, over_a, over_b) - GAP_COST * (over_a + over_b)
+                if through > score[i]:
+                    score[i], link[i] = through, j
     used, out = [False] * len(hits), []
     for end in sorted(range(len(hits)), key=lambda x: -score[x]):
         path = []
@@ -177,21 +148,36 @@ def extend(x: np.ndarray, y: np.ndarray) -> int:
     return best + 1 if upto[best] > 0 else 0
 
 
-def align(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], k: int = K) -> tuple[int, int, int]:
-    """(start, end, unequal words) in x of the passage that a chain stands for."""
-    unequal, (a, b) = 0, path[0]
-    end_a, end_b = a + k, b + k
-    for next_a, next_b in path[1:]:
-        gap_a, gap_b = x[end_a:next_a], y[end_b:next_b]
-        if next_a >= end_a and next_b >= end_b:
-            unequal += int((gap_a != gap_b).sum()) if len(gap_a) == len(gap_b) else edits(gap_a, gap_b)
+def align(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], k: int = K) -> list[tuple[int, int]]:
+    """(start, end) in x of the passages that a chain stands for: all of it, or the parts that its most unequal stretches leave."""
+    unequal = [0]
+    for (a, b), (next_a, next_b) in zip(path, path[1:], strict=False):
+        gap_a, gap_b = x[a + k : next_a], y[b + k : next_b]
+        if next_a >= a + k and next_b >= b + k:
+            n = int((gap_a != gap_b).sum()) if len(gap_a) == len(gap_b) else edits(gap_a, gap_b)
         else:
-            unequal += abs((next_a - end_a) - (next_b - end_b))
-        end_a, end_b = next_a + k, next_b + k
-    left = extend(x[:a][::-1], y[:b][::-1])
-    right = extend(x[end_a:], y[end_b:])
-    unequal += int((x[a - left : a] != y[b - left : b]).sum()) + int((x[end_a : end_a + right] != y[end_b : end_b + right]).sum())
-    return a - left, end_a + right, unequal
+            n = abs((next_a - a) - (next_b - b))
+        unequal.append(n)
+    upto = np.cumsum(unequal)
+    out, parts = [], [(0, len(path) - 1)]
+    while parts:
+        i, j = parts.pop()
+        (a, b), (end_a, end_b) = path[i], (path[j][0] + k, path[j][1] + k)
+        # a part reaches no further than the parts beside it
+        low_a, low_b = (path[i - 1][0] + k, path[i - 1][1] + k) if i else (0, 0)
+        high_a, high_b = path[j + 1] if j + 1 < len(path) else (len(x), len(y))
+        before, after = (x[low_a:a][::-1], y[low_b:b][::-1]), (x[end_a:high_a], y[end_b:high_b])
+        left, right = extend(*before), extend(*after)
+        start, end = a - left, end_a + right
+        n = int(upto[j] - upto[i]) + sum(int((p[:m] != q[:m]).sum()) for (p, q), m in ((before, left), (after, right)))
+        if end - start < MIN_PART:
+            continue
+        if n <= (1 - MIN_EQUAL) * (end - start):
+            out.append((start, end))
+        elif i < j:
+            cut = i + int(np.argmax(unequal[i + 1 : j + 1]))
+            parts += [(i, cut), (cut + 1, j)]
+    return out
 
 
 def chained(pairs: DataFrame) -> DataFrame:
@@ -228,7 +214,7 @@ def word_rows(docs: DataFrame) -> DataFrame:
 
 
 def aligned(chains: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, source, start, end): the aligned passage of each chain, in words of doc_id."""
+    """(doc_id, source, start, end): the aligned passages of each chain, in words of doc_id."""
     reach = 64
     wanted = settle(chains.select(F.col("doc_id").alias("_id")).union(chains.select("source")).distinct())
     words = settle(word_rows(docs.join(small_side(wanted, wanted.count(), BROADCAST_IDS), docs["doc_id"] == wanted["_id"], "left_semi")))
@@ -251,9 +237,7 @@ def aligned(chains: DataFrame, docs: DataFrame) -> DataFrame:
                 doc, source, x_low, y_low = (columns[c][i].as_py() for c in columns)
                 path = batch.column("path")[i].values
                 hits = list(zip((path.field("at").to_numpy() - x_low).tolist(), (path.field("source_at").to_numpy() - y_low).tolist(), strict=True))
-                start, end, unequal = align(x, y, hits)
-                if end - start >= MIN_PART and unequal <= (1 - MIN_EQUAL) * (end - start):
-                    rows.append((doc, source, start + x_low, end + x_low))
+                rows += [(doc, source, start + x_low, end + x_low) for start, end in align(x, y, hits)]
             if rows:
                 d, s, a, b = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "source", "start", "end"])
