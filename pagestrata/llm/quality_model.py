@@ -8,7 +8,14 @@ groupings of that table, and every n-gram's probability by joins of counts,
 contexts and the next lower order, all sharded by key. A document's perplexity is
 2 ** (bits per character), drawn towards its language's mean for short texts;
 documents above a quantile of trusted documents of their language, plus a slack,
-are rejected.
+are rejected. So are documents above such limits of two more measures:
+
+* contrast with a second model of the same kind over bad text, the documents labelled
+  toxic or with quality 0: the bits over BAD_BITS by which a character is likelier
+  there than in trusted text, summed and divided by the root of the length, so that
+  few words of bad text in much plain text still count;
+* the share of words that equal the word before them (words are what white space
+  separates). Perplexity doesn't show these: a rare word over and over isn't cheap.
 
 Texts meet the n-gram probabilities by a broadcast where the table is counted to
 hold TABLE_KEYS rows at most; beyond, texts and their own n-grams are dealt to
@@ -16,13 +23,17 @@ blocks and meet there.
 
 Defined cases: null or empty text has the neutral perplexity of its language and is
 kept; null lang is a language of its own; a language without trusted documents takes
-the limits of all; without trusted documents everything is kept; rows without
-doc_id are scored and kept; labels repeated for one document count if any of them
-is trusted and none toxic; repeated rows are each scored; other columns pass.
+the limits of all; without trusted documents everything is kept, and without bad
+ones nothing is rejected by contrast; rows without doc_id are scored and kept; labels
+repeated for one document count as trusted if any of them has quality 1 and none is
+toxic, and otherwise as bad if any has quality 0 or is toxic; repeated rows are each scored; other columns pass.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +49,14 @@ BLOCK_DOCS = 4096
 PRIOR_CHARS = 60
 QUANTILE = 0.995
 SLACK_BITS = 0.4
-COUNTS = pa.schema([("k", pa.int64()), ("n", pa.int64())])
+BAD_BITS = 4.0
+BAD_SLACK = 1.0
+#: Words' worth of no repeats that each text's share of repeats is mixed with.
+PRIOR_WORDS = 20
+REPEAT_SLACK = 0.05
+#: Labels of texts for counting.
+TRUSTED, BAD = 1, 2
+COUNTS = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("bad", pa.int64())])
 
 
 def read(text: str | None) -> np.ndarray:
@@ -49,32 +67,46 @@ def read(text: str | None) -> np.ndarray:
     return u[~(white & np.r_[True, white[:-1]])] if len(u) else u
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    good = F.max((F.coalesce("quality", F.lit(0)) == 1).cast("int")) == 1
-    return labels.where("doc_id is not null").groupBy("doc_id").agg((good & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).alias("_trusted")).where("_trusted")
+def repeats(text: str | None) -> tuple[int, int]:
+    """How many words equal the word before, and how many words there are."""
+    words = (text or "").split()
+    return sum(map(eq, words, islice(words, 1, None))), len(words)
+
+
+def label_kinds(labels: DataFrame) -> DataFrame:
+    """(doc_id, _kind): TRUSTED or BAD documents."""
+    toxic = F.max(F.coalesce("toxic", F.lit(0))) != 0
+    good = (F.max((F.coalesce("quality", F.lit(0)) == 1).cast("int")) == 1) & ~toxic
+    bad = toxic | (F.max((F.coalesce("quality", F.lit(1)) == 0).cast("int")) == 1)
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.when(good, TRUSTED).when(bad, BAD).alias("_kind")).where("_kind is not null")
 
 
 def count_keys(docs: DataFrame) -> DataFrame:
-    """(k, n) of all texts, n counting trusted ones only."""
+    """(k, n, bad) of all texts: counts in trusted and in bad ones only."""
 
     def count(batches):
-        found: list = []
+        found: dict[int, list] = {0: [], TRUSTED: [], BAD: []}
+
+        def give():
+            for kind, runs in found.items():
+                k, n = merged(runs)
+                none = np.zeros(len(k), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n if kind == TRUSTED else none), pa.array(n if kind == BAD else none)], schema=COUNTS)
+
         for batch in batches:
-            texts, flags = batch.column("text"), batch.column("trusted").to_numpy(zero_copy_only=False)
-            for trusted in (0, 1):
-                for _, k, _ in chunks((0, read(texts[int(i)].as_py())) for i in np.flatnonzero(flags == trusted)):
-                    k, n = np.unique(k, return_counts=True)
-                    found.append((k, n * trusted))
-                if len(found) > 8:
-                    found = [merged(found)]
-                if found and len(found[0][0]) > 10_000_000:
-                    k, n = merged(found)
-                    found = []
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], schema=COUNTS)
-        k, n = merged(found)
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], schema=COUNTS)
-
-    return docs.select("text", "trusted").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+            texts, kinds = batch.column("text"), batch.column("kind").to_numpy(zero_copy_only=False)
+            for kind, runs in found.items():
+                for _, k, _ in chunks((0, read(texts[int(i)].as_py())) for i in np.flatnonzero(kinds == kind)):
+                    runs.append(np.unique(k, return_counts=True))
+                if len(runs) > 8:
+                    runs[:] = [merged(runs)]
+            if sum(len(k) for runs in found.values() for k, _ in runs) > 10_000_000:
+                yield from give()
+                for runs in found.values():
+                    runs.clear()
+        yield from give()
+
+    return docs.select("text", "kind").mapInArrow(count, "k long, n long, bad long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
 def discounts(level: DataFrame) -> tuple[float, float, float]:
@@ -113,31 +145,48 @@ def probabilities(counts: DataFrame) -> DataFrame:
     return p.select("k", (-F.log2("p")).alias("bits"))
 
 
-def _sums(texts, k: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    scorer = Scorer(lambda wanted: bits[np.searchsorted(k, wanted), None], 1)
+def weights(counts: DataFrame) -> DataFrame:
+    """(k, bits, excess): bits in trusted text, and those over BAD_BITS that bad text would save."""
+    own = probabilities(counts.select("k", "n"))
+    if not counts.where("bad > 0").head(1):
+        return own.withColumn("excess", F.lit(0.0))
+    bad = probabilities(counts.select("k", F.col("bad").alias("n"))).withColumnRenamed("bits", "_bad")
+    return own.join(bad, "k").select("k", "bits", F.greatest(F.col("bits") - F.col("_bad") - BAD_BITS, F.lit(0.0)).alias("excess"))
+
+
+SUMS = "doc_id long, lang string, trusted boolean, total double, excess double, length long, repeats long, words long"
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their (bits, excess)."""
+    k = table["k"].to_numpy().view(np.uint64)
+    order = np.argsort(k)
+    return k[order], np.stack([table["bits"].to_numpy(), table["excess"].to_numpy()], axis=1)[order]
+
+
+def _judged(rows: pa.RecordBatch | pa.Table, scorer: Scorer) -> list[pa.Array]:
+    """The columns of SUMS."""
+    texts = [t.as_py() for t in rows.column("text")]
     total, length = scorer.sums(((i, read(t)) for i, t in enumerate(texts)), len(texts))
-    return total[:, 0], length
+    again = np.array([repeats(t) for t in texts], np.int64).reshape(-1, 2)
+    kind = rows.column("kind").to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column("kind").to_numpy()
+    return [rows.column("doc_id"), rows.column("lang"), pa.array(kind == TRUSTED), pa.array(total[:, 0]), pa.array(total[:, 1]), pa.array(length), pa.array(again[:, 0]), pa.array(again[:, 1])]
+
 
+NAMES = [c.split()[0] for c in SUMS.split(", ")]
 
-SUMS = "doc_id long, lang string, trusted boolean, total double, length long"
+
+def _scorer(k: np.ndarray, values: np.ndarray) -> Scorer:
+    return Scorer(lambda wanted: values[np.searchsorted(k, wanted)], 2)
 
 
 def score_with_broadcast(docs: DataFrame, table: DataFrame) -> DataFrame:
-    t = table.toArrow()
-    k, bits = t["k"].to_numpy().view(np.uint64), t["bits"].to_numpy()
-    order = np.argsort(k)
-    shared = docs.sparkSession.sparkContext.broadcast((k[order], bits[order]))
+    shared = docs.sparkSession.sparkContext.broadcast(_arrays(table.toArrow()))
 
     def judge(batches):
-        k, bits = shared.value
-        scorer = Scorer(lambda wanted: bits[np.searchsorted(k, wanted), None], 1)
+        scorer = _scorer(*shared.value)
         for batch in batches:
-            texts = batch.column("text")
-            total, length = scorer.sums(((i, read(texts[i].as_py())) for i in range(batch.num_rows)), batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), batch.column("trusted"), pa.array(total[:, 0]), pa.array(length)],
-                names=["doc_id", "lang", "trusted", "total", "length"],
-            )
+            yield pa.RecordBatch.from_arrays(_judged(batch, scorer), names=NAMES)
 
     return docs.mapInArrow(judge, SUMS)
 
@@ -153,10 +202,7 @@ def score_by_blocks(docs: DataFrame, table: DataFrame, blocks: int) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k)], names=["block", "k"])
 
     def judge(texts: pa.Table, own: pa.Table) -> pa.Table:
-        k = own["k"].to_numpy().view(np.uint64)
-        order = np.argsort(k)
-        total, length = _sums(texts["text"].to_pylist(), k[order], own["bits"].to_numpy()[order])
-        return texts.select(["doc_id", "lang", "trusted"]).append_column("total", pa.array(total)).append_column("length", pa.array(length))
+        return pa.Table.from_arrays(_judged(texts, _scorer(*_arrays(own))), names=NAMES)
 
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     wanted = dealt.select("block", "text").mapInArrow(distinct, "block long, k long").distinct().join(table, "k")
@@ -165,14 +211,14 @@ def score_by_blocks(docs: DataFrame, table: DataFrame, blocks: int) -> DataFrame
 
 def judge_quality(docs: DataFrame, labels: DataFrame, table_keys: int = TABLE_KEYS, quantile: float = QUANTILE, slack_bits: float = SLACK_BITS) -> DataFrame:
     """(doc_id, lang, length, perplexity, limit, keep) for every row of docs."""
-    good = settle(trusted_ids(labels).select(F.col("doc_id").alias("_id"), "_trusted"))
-    flagged = docs.join(small_side(good, good.count(), BROADCAST_IDS), docs["doc_id"] == good["_id"], "left").select(
+    kinds = settle(label_kinds(labels).select(F.col("doc_id").alias("_id"), "_kind"))
+    flagged = docs.join(small_side(kinds, kinds.count(), BROADCAST_IDS), docs["doc_id"] == kinds["_id"], "left").select(
         docs["doc_id"].cast("long").alias("doc_id"),
         docs["lang"].cast("string").alias("lang"),
         docs["text"].cast("string").alias("text"),
-        F.coalesce("_trusted", F.lit(False)).alias("trusted"),
+        F.coalesce("_kind", F.lit(0)).alias("kind"),
     )
-    table = settle(probabilities(settle(count_keys(flagged))))
+    table = settle(weights(settle(count_keys(flagged))))
     if table.count() <= table_keys:
         scored = settle(score_with_broadcast(flagged, table))
     else:
@@ -180,7 +226,10 @@ def judge_quality(docs: DataFrame, labels: DataFrame, table_keys: int = TABLE_KE
     known = scored.where("trusted and length > 0")
 
     average = F.sum("total") / F.sum("length")
-    everyone = known.agg(average.alias("mean"), F.percentile_approx(F.col("total") / F.col("length"), quantile, 10_000).alias("limit")).first()
+    excess = F.col("excess") / F.sqrt(F.col("length") + PRIOR_CHARS)
+    share = F.col("repeats") / (F.col("words") + PRIOR_WORDS)
+    top = lambda value, name: F.percentile_approx(value, quantile, 10_000).alias(name)
+    everyone = known.agg(average.alias("mean"), top(F.col("total") / F.col("length"), "limit"), top(excess, "excess"), top(share, "share")).first()
     if everyone["mean"] is None:
         return scored.select("doc_id", "lang", "length", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("limit"), F.lit(True).alias("keep"))
     means = known.groupBy(F.col("lang").alias("_lang")).agg(average.alias("_mean"))
@@ -188,13 +237,14 @@ def judge_quality(docs: DataFrame, labels: DataFrame, table_keys: int = TABLE_KE
     per_lang = (
         known.join(F.broadcast(means), known["lang"].eqNullSafe(means["_lang"]))
         .groupBy("_lang")
-        .agg(F.first("_mean").alias("_mean"), F.percentile_approx(own, quantile, 10_000).alias("_limit"))
+        .agg(F.first("_mean").alias("_mean"), top(own, "_limit"), top(excess, "_excess"), top(share, "_share"))
     )
     both = scored.join(F.broadcast(per_lang), scored["lang"].eqNullSafe(per_lang["_lang"]), "left")
     mean = F.coalesce("_mean", F.lit(everyone["mean"]))
     limit = F.coalesce("_limit", F.lit(everyone["limit"])) + slack_bits
     bits = (F.col("total") + PRIOR_CHARS * mean) / (F.col("length") + PRIOR_CHARS)
-    keep = (bits <= limit) | F.col("doc_id").isNull()
+    usual = (excess <= F.coalesce("_excess", F.lit(everyone["excess"])) + BAD_SLACK) & (share <= F.coalesce("_share", F.lit(everyone["share"])) + REPEAT_SLACK)
+    keep = ((bits <= limit) & usual) | F.col("doc_id").isNull()
     return both.select("doc_id", "lang", "length", F.pow(F.lit(2.0), bits).alias("perplexity"), F.pow(F.lit(2.0), limit).alias("limit"), keep.alias("keep"))
 
 

@@ -177,6 +177,29 @@ def test_language_and_quality(spark):
     assert quality_model.judge_quality(bad, labels.limit(0)).where("not keep").count() == 0
 
 
+def test_toxic_and_repeated_words_are_rejected(spark):
+    rng = np.random.default_rng(2)
+    syllables = ["an", "der", "sto", "mil", "ra", "ken", "ou", "fel", "ti", "bos"]
+
+    def prose(n):
+        return ["".join(rng.choice(syllables, 3)) for _ in range(n)]
+
+    def insulted(n):
+        words = prose(n)
+        for at in rng.integers(0, n, 4):
+            words[at] = str(rng.choice(["zwyxqy", "pjkvug", "hcwgyx"]))
+        return words
+
+    texts = [(i, " ".join(insulted(80) if i >= 400 else prose(80))) for i in range(440)]
+    texts += [(500 + i, " ".join(insulted(80))) for i in range(10)] + [(600 + i, " ".join(prose(80))) for i in range(10)]
+    texts += [(700 + i, " ".join(prose(5) + prose(1) * 60)) for i in range(10)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 400)) for i in range(440)], "doc_id long, quality int, toxic int")
+    for limit in (quality_model.TABLE_KEYS, 0):
+        keep = {r.doc_id: r.keep for r in quality_model.judge_quality(docs_of(spark, texts), labels, table_keys=limit).collect()}
+        assert not any(keep[i] for i in [*range(500, 510), *range(700, 710)])
+        assert all(keep[i] for i in range(600, 610))
+
+
 def test_kneser_ney_sums_to_one():
     k, n = char_model.merged([np.unique(char_model.keys([char_model.units("abracadabra abracadabra")]), return_counts=True)])
     model = char_model.KneserNey(k, n, 6)
