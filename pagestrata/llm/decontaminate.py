@@ -4,9 +4,8 @@ Texts are lower-cased and split into words of letters and digits, each hashed to
 bits. A seed is the hash of the words that a fixed mask marks; words where a mask
 has 0 may differ. Seeds of documents join seeds of benchmark items; hits of one
 document and item on one diagonal are one candidate, whatever their number. A
-candidate is verified on the words themselves: along the diagonal an equal word
-counts 1 and a different one -MISMATCH, and the segment of the largest sum is the
-overlap. A document is contaminated by an item if an overlap spans MIN_WORDS words,
+candidate is verified on the words themselves: the longest window along the
+diagonal with MIN_EQUAL of its words equal is the overlap. A document is contaminated by an item if an overlap spans MIN_WORDS words,
 or all words of a shorter item, with MIN_EQUAL of them equal.
 
 Spark broadcasts the benchmark's seeds only while they are under its size limit,
@@ -29,7 +28,6 @@ from pagestrata.llm.tables import scratch, settle, small_side
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 MIN_WORDS = 13
 MIN_EQUAL = 0.8
-MISMATCH = 2
 BROADCAST_IDS = 2_000_000
 
 
@@ -62,31 +60,29 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     return hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
-def overlap(words: Column, item: Column, shift: Column) -> Column:
-    """(start, n, equal) of the best segment along the diagonal, in words of the item."""
+def overlap(words: Column, item: Column, shift: Column, min_equal: float = MIN_EQUAL) -> Column:
+    """(start, n, equal) of the longest window along the diagonal with min_equal of its words equal, in words of the item; n is 0 without one."""
     first = F.greatest(F.lit(0), -shift)
     last = F.least(F.size(item), F.size(words) - shift) - 1
     same = F.transform(F.sequence(first, last), lambda i: (F.get(item, i) == F.get(words, i + shift)).cast("int"))
-    zero = F.struct(*[F.lit(0).alias(c) for c in ("at", "sum", "start", "equal", "best", "best_start", "best_n", "best_equal")])
+    # equal: equal words up to each place; low: the least surplus (equal words less min_equal a word) up to it
+    zero = F.struct(F.array(F.lit(0)).alias("equal"), F.array(F.lit(0.0)).alias("low"))
 
     def step(acc: Column, hit: Column) -> Column:
-        fresh = acc["sum"] <= 0
-        total = F.when(fresh, 0).otherwise(acc["sum"]) + F.when(hit == 1, 1).otherwise(-MISMATCH)
-        start = F.when(fresh, acc["at"]).otherwise(acc["start"])
-        equal = F.when(fresh, 0).otherwise(acc["equal"]) + hit
-        better = total > acc["best"]
-        return F.struct(
-            (acc["at"] + 1).alias("at"),
-            total.alias("sum"),
-            start.alias("start"),
-            equal.alias("equal"),
-            F.when(better, total).otherwise(acc["best"]).alias("best"),
-            F.when(better, start).otherwise(acc["best_start"]).alias("best_start"),
-            F.when(better, acc["at"] + 1 - start).otherwise(acc["best_n"]).alias("best_n"),
-            F.when(better, equal).otherwise(acc["best_equal"]).alias("best_equal"),
-        )
-
-    return F.aggregate(same, zero, step, lambda a: F.struct((first + a["best_start"]).alias("start"), a["best_n"].alias("n"), a["best_equal"].alias("equal")))
+        equal = F.element_at(acc["equal"], -1) + hit
+        surplus = equal - min_equal * F.size(acc["equal"])
+        return F.struct(F.array_append(acc["equal"], equal).alias("equal"), F.array_append(acc["low"], F.least(F.element_at(acc["low"], -1), surplus)).alias("low"))
+
+    def longest(acc: Column) -> Column:
+        def ending(equal: Column, at: Column) -> Column:
+            # the first place whose surplus isn't over the one here begins the longest window that ends here
+            begin = F.size(F.filter(acc["low"], lambda low: low > equal - min_equal * at + 1e-9))
+            return F.struct((at - begin).alias("n"), (equal - F.get(acc["equal"], begin)).alias("equal"), (-begin).alias("minus"))
+
+        return F.array_max(F.transform(acc["equal"], ending))
+
+    best = F.aggregate(same, zero, step, longest)
+    return F.struct((first - best["minus"]).alias("start"), best["n"].alias("n"), best["equal"].alias("equal"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL) -> DataFrame:
@@ -97,8 +93,8 @@ def contaminated(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
     wanted = hashed_words(items, "item_id").withColumnRenamed("words", "item")
     pairs = found.join(near, "doc_id").join(wanted, "item_id")
     pairs = pairs.where(F.least(F.size("item"), F.size("words") - F.col("shift")) > F.greatest(F.lit(0), -F.col("shift")))
-    held = pairs.select("doc_id", "item_id", "shift", F.size("item").alias("item_n"), overlap(F.col("words"), F.col("item"), F.col("shift")).alias("o"))
-    enough = (F.col("o.n") >= F.least(F.lit(min_words), F.col("item_n"))) & (F.col("o.equal") >= min_equal * F.col("o.n"))
+    held = pairs.select("doc_id", "item_id", "shift", F.size("item").alias("item_n"), overlap(F.col("words"), F.col("item"), F.col("shift"), min_equal).alias("o"))
+    enough = (F.col("o.n") >= F.least(F.lit(min_words), F.col("item_n"))) & (F.col("o.equal") >= min_equal * F.col("o.n") - 1e-9)
     best = F.max(F.struct(F.col("o.n").alias("n"), F.col("o.equal").alias("equal"), (-(F.col("o.start") + F.col("shift"))).alias("minus")))
     return (
         held.where(enough)

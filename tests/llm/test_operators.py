@@ -119,6 +119,17 @@ def test_decontamination_tolerates_substitutions(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(docs_of(spark, texts), items).collect()} == {2, 3, 4, None}
 
 
+def test_short_items_with_substitutions_near_their_ends(spark):
+    items, texts = [], []
+    for i, (n, at) in enumerate([(13, [1]), (13, [11]), (15, [1, 13]), (15, [0, 2, 14]), (18, [1, 2, 16]), (20, [1, 3, 17, 18]), (13, [0, 5, 12])]):
+        words = [f"i{i}w{k}" for k in range(n)]
+        items.append((i, " ".join(words)))
+        texts.append((i, " ".join(["before", *["zz" if k in at else w for k, w in enumerate(words)], "after"])))
+    items = spark.createDataFrame(items, "item_id long, text string")
+    out = {(r.doc_id, r.item_id, r.start_word, r.n_words, r.n_equal) for r in decontaminate.contaminated(docs_of(spark, texts), items).collect()}
+    assert out == {(0, 0, 1, 13, 12), (1, 1, 1, 13, 12), (2, 2, 1, 15, 13), (3, 3, 1, 15, 12), (4, 4, 1, 18, 15), (5, 5, 1, 20, 16)}
+
+
 def test_repeated_passages(spark):
     passage = " ".join(f"p{i}" for i in range(80))
     edited = passage.replace("p40", "zz")
