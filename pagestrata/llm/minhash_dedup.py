@@ -12,15 +12,16 @@ size; sets near the border of two levels are sketched for both, so two sets of
 similarity 0.8 always meet on one level.
 
 BANDS bands of ROWS registers make candidates: a pair of similarity 0.8 misses all
-with probability (1 - 0.8**4)**32, or 5e-8. In each band bucket members are paired
-with the bucket's smallest document only, verified on full sets, and joined to
-components. In buckets that still hold several components the members outside the
-largest one ask all members of others, block by block: in the first rounds each
-names the one of the best collision-corrected estimate of similarity, and when these
-rounds link no more, all whose estimate is not below the threshold by more than
-ESTIMATE_SLACK (four standard errors). What is named is verified. A pair is named in
-the first band that its members share only, and no link between different
-components is lost.
+with probability (1 - 0.8**4)**32, or 5e-8. Bands are taken in turn: in each bucket
+the members outside the component of most of them are paired with one of its
+members only; pairs whose collision-corrected estimate of similarity is not below
+the threshold by more than ESTIMATE_SLACK (four standard errors) are verified on full
+sets and joined to components, so members of a large group leave after a band or two.
+In buckets that still hold several components the members outside the
+largest one ask all members of others, block by block: first each names the one of
+the best estimate, then all whose estimate does not rule them out. What is named is
+verified. A pair is named in the first band that its members share only, and no link
+between different components is lost.
 
 Defined cases: null text, or text without words, has an empty set, which is linked
 with nothing; with fewer words than a shingle the whole text is one; rows without
@@ -45,7 +46,9 @@ BANDS, ROWS = 32, 4
 MANTISSA_BITS = 10
 FILL = 8192
 ESTIMATE_SLACK = 0.075
-BEST_ROUNDS = 2
+#: Bands whose members meet their buckets' hubs in one round: first and one past the last.
+HUB_ROUNDS = ((0, 4), (4, BANDS))
+BEST_ROUNDS = 1
 BLOCK = 2048
 BROADCAST_IDS = 2_000_000
 #: Expected share of registers that agree by chance, after Yu and Weber (fixed value).
@@ -117,7 +120,7 @@ def band_keys(level: int, registers: np.ndarray) -> np.ndarray:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(key, doc): the band buckets of representatives."""
+    """(key, doc, band): the band buckets of representatives."""
 
     def make(batches):
         for batch in batches:
@@ -128,9 +131,9 @@ def bands(reps: DataFrame) -> DataFrame:
                 for level in sorted({x for x in levels if x is not None}):
                     mine = [i for i, x in enumerate(levels) if x == level]
                     registers = np.frombuffer(b"".join(sketches[i] for i in mine), "<u2").reshape(len(mine), BUCKETS)
-                    yield pa.RecordBatch.from_arrays([pa.array(band_keys(level, registers).ravel()), pa.array(np.repeat(docs[mine], BANDS))], names=["key", "doc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(band_keys(level, registers).ravel()), pa.array(np.repeat(docs[mine], BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(mine)))], names=["key", "doc", "band"])
 
-    return reps.mapInArrow(make, "key long, doc long")
+    return reps.mapInArrow(make, "key long, doc long, band int")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -147,33 +150,81 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc long, elements array<long>")
 
 
+def beside(pairs: DataFrame, data: DataFrame) -> DataFrame:
+    """pairs (a, b) with the other columns of data (doc, ...) as x of a and y of b; a frequent b is copied once per BLOCK of its pairs."""
+    often = settle(pairs.groupBy("b").agg((1 + F.floor(F.count("*") / BLOCK)).alias("parts")).where("parts > 1"))
+    often = small_side(often, often.count(), BROADCAST_IDS)
+    whole = F.struct(*[c for c in data.columns if c != "doc"])
+    left = pairs.join(data.select(F.col("doc").alias("a"), whole.alias("x")), "a").join(often, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))))
+    right = data.select(F.col("doc").alias("b"), whole.alias("y")).join(often, "b", "left")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.drop("parts").join(right, ["b", "part"]).drop("part")
+
+
+def of_pairs(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """rows whose key is in a pair (a, b)."""
+    wanted = settle(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
+    return rows.join(small_side(wanted, wanted.count(), BROADCAST_IDS), rows[key] == wanted["_id"], "left_semi")
+
+
+def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose collision-corrected estimate of similarity does not rule them out."""
+
+    def near(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sides = [[(batch.column(side).field(f"level{w}").to_pylist(), batch.column(side).field(f"sketch{w}").to_pylist()) for w in "12"] for side in "xy"]
+            for i in range(batch.num_rows):
+                x, y = ({levels[i]: registers[i] for levels, registers in side if levels[i] is not None} for side in sides)
+                for level in x.keys() & y.keys():
+                    agree = (np.frombuffer(x[level], "<u2") == np.frombuffer(y[level], "<u2")).mean()
+                    keep[i] |= (agree - CHANCE) / (1 - CHANCE) >= threshold - ESTIMATE_SLACK
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return beside(pairs, of_pairs(reps, "doc", pairs)).select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    wanted = settle(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
-    rows = docs.join(small_side(wanted, wanted.count(), BROADCAST_IDS), docs["doc_id"] == wanted["_id"], "left_semi")
-    sets = settle(full_sets(rows, size))
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("elements").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+    sets = settle(full_sets(of_pairs(docs, "doc_id", pairs), size))
+    common = F.size(F.array_intersect("x.elements", "y.elements")).cast("long")
+    return beside(pairs, sets).where(100 * common >= percent * (F.size("x.elements") + F.size("y.elements") - common)).select("a", "b").distinct()
 
 
-def labelled(nodes: DataFrame, components: DataFrame) -> DataFrame:
+def labelled(nodes: DataFrame, components: DataFrame | None) -> DataFrame:
+    if components is None:
+        return nodes.withColumn("component", F.col("doc"))
     return nodes.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
-def open_pairs(buckets: DataFrame, components: DataFrame, reps: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """Pairs of different components in one bucket, apart from pairs with its least document.
+def open_buckets(rows: DataFrame) -> DataFrame:
+    """(key, size, main, hub, open) of the buckets of rows (key, doc, component) that hold several components.
+
+    main is the component of most members, hub its least member there, and open counts the others.
+    """
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("doc").alias("hub"))
+    best = F.max(F.struct("n", "component", "hub"))
+    found = parts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("size"), best.alias("b")).where("kinds > 1")
+    return found.select("key", "size", F.col("b.component").alias("main"), F.col("b.hub").alias("hub"), (F.col("size") - F.col("b.n")).alias("open"))
+
+
+def hub_pairs(bands: DataFrame, components: DataFrame | None) -> DataFrame:
+    """(a, b): each member of a bucket outside the main component, with the hub."""
+    rows = settle(labelled(bands, components))
+    hubs = open_buckets(rows).select(F.col("key").alias("_key"), "main", "hub")
+    met = rows.join(hubs, (rows["key"] == hubs["_key"]) & (rows["component"] != hubs["main"]))
+    return met.select(F.greatest("doc", "hub").alias("a"), F.least("doc", "hub").alias("b")).distinct()
+
+
+def open_pairs(bands: DataFrame, components: DataFrame | None, reps: DataFrame, threshold: float, best_only: bool) -> DataFrame:
+    """Pairs of different components in one bucket.
 
     best_only: for each member that asks, its best pair in the bucket; else all pairs that the estimate does not rule out.
     A pair isn't a row of its own: rows (key, block, asker, doc, asked) list, for each member of a block, whom it asks.
     """
-    members = settle(labelled(buckets.where("size > 2").select("key", "doc", "least"), components))
-    split = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-    rows = members.join(split, "key")
-    main = rows.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rows = rows.join(main, "key").withColumn("open", F.col("component") != F.col("main"))
-    opened = rows.groupBy("key").agg((1 + F.floor(F.count_if("open") / BLOCK)).alias("askers"))
-    rows = settle(rows.join(opened, "key").withColumn("blocks", 1 + F.floor(F.col("size") / BLOCK)))
+    members = settle(labelled(bands, components))
+    found = open_buckets(members).select(F.col("key").alias("_key"), "main", (1 + F.floor(F.col("open") / BLOCK)).alias("askers"), (1 + F.floor(F.col("size") / BLOCK)).alias("blocks"))
+    rows = settle(members.join(found, members["key"] == found["_key"]).drop("_key").withColumn("open", F.col("component") != F.col("main")))
     asked = settle(rows.select(F.col("doc").alias("_doc")).distinct())
     sketches = reps.join(small_side(asked, asked.count(), BROADCAST_IDS), reps["doc"] == asked["_doc"], "left_semi")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -183,11 +234,11 @@ def open_pairs(buckets: DataFrame, components: DataFrame, reps: DataFrame, thres
     stay = rows.withColumn("block", F.col("own_block")).withColumn("asker", each("askers")).withColumn("home", F.lit(True))
     ask = rows.where("open").withColumn("block", each("blocks")).where("block <> own_block").withColumn("asker", F.col("own_asker")).withColumn("home", F.lit(False))
     both = stay.unionByName(ask).withColumn("asks", F.col("open") & (F.col("asker") == F.col("own_asker")))
-    dealt = both.select("key", "block", "asker", "doc", "component", "least", "open", "asks", "home").join(sketches, "doc")
+    dealt = both.select("key", "block", "asker", "doc", "component", "open", "asks", "home").join(sketches, "doc")
 
     def pick(group: pa.Table) -> pa.Table:
         asks, open_, home = (group[c].to_numpy(zero_copy_only=False) for c in ("asks", "open", "home"))
-        doc, component, least = (group[c].to_numpy() for c in ("doc", "component", "least"))
+        doc, component = (group[c].to_numpy() for c in ("doc", "component"))
         key = group["key"][0].as_py()
         registers, band = np.zeros((len(doc), BUCKETS), "<u2"), np.full(len(doc), -1)
         for which in "12":
@@ -202,7 +253,7 @@ def open_pairs(buckets: DataFrame, components: DataFrame, reps: DataFrame, thres
         there = np.flatnonzero(home & (band >= 0))
         found: dict[int, list[int]] = {}
         for i in np.flatnonzero(asks & (band >= 0)):
-            rows = there[(component[there] != component[i]) & (doc[there] != least[i]) & (doc[i] != least[i])]
+            rows = there[component[there] != component[i]]
             if not best_only:
                 rows = rows[~open_[rows] | (doc[rows] < doc[i])]
                 rows = rows[(words[rows] == words[i]).argmax(axis=1) == band[i]]
@@ -268,24 +319,34 @@ def _near_classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
         marked = keep(every.select("doc_id", F.col("n").alias("n_shingles"), "doc"))
     with scratch(spark) as keep:
         all_bands = settle(bands(reps))
-        least = all_bands.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), F.count("*").alias("size")).where("least < last").drop("last")
-        buckets = keep(all_bands.join(least, "key"))
-    with scratch(spark) as keep:
-        stars = settle(buckets.where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")).distinct())
-        links = keep(verified(stars, docs, size, percent))
-    with scratch(spark) as keep:
-        components = keep(connected(links))
-    best_only = [True] * BEST_ROUNDS
-    while best_only is not None:
+        shared = all_bands.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
+        shared = settle(shared)
+        buckets = keep(all_bands.join(small_side(shared, shared.count(), BROADCAST_IDS), "key", "left_semi"))
+    links, components = None, None
+
+    def add(new: DataFrame) -> bool:
+        nonlocal links, components
+        if not new.head(1):
+            return False
+        links = new if links is None else links.unionByName(new)
+        with scratch(spark) as keep:
+            components = keep(connected(links))
+        return True
+
+    for first, last in HUB_ROUNDS:
+        with scratch(spark) as keep:
+            pairs = settle(hub_pairs(buckets.where(F.col("band").between(first, last - 1)).drop("band"), components))
+            near = settle(estimated(pairs, reps, threshold))
+            new = keep(verified(near, docs, size, percent))
+        add(new)
+    for best_only in (*[True] * BEST_ROUNDS, False):
         with scratch(spark) as keep:
-            named = settle(open_pairs(buckets, components, reps, threshold, bool(best_only)))
+            named = settle(open_pairs(buckets.drop("band"), components, reps, threshold, best_only))
             new = keep(links_of(named, docs, size, percent)) if named.head(1) else None
-        linked = new is not None and bool(new.head(1))
-        if linked:
-            links = links.unionByName(new)
-            with scratch(spark) as keep:
-                components = keep(connected(links))
-        best_only = None if not best_only else best_only[1:] if linked else []
+        if new is not None:
+            add(new)
+    if components is None:
+        components = spark.createDataFrame([], "node long, component long")
     found = marked.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component_id", F.coalesce("component", "doc"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
