@@ -1,21 +1,25 @@
 """Secret scans by patterns and a randomness test battery, with DataFrame functions only.
 
 Base spans come from three patterns. The battery judges every other token of
-TOKEN characters: its encoding is inferred (hex, base32 or base64, the smallest
-alphabet that holds it), and three statistics compare it with uniform draws from
+TOKEN characters: its encoding is inferred (hex, base32, letters of one case with digits, or
+base64, the smallest alphabet that holds it), and three statistics compare it with uniform draws from
 that alphabet: chi-squared of symbol counts (Wilson-Hilferty scale), the number of
 runs of character classes, and the lag-1 serial correlation of symbols. Their sum
-of squares is small for random strings and large for words.
+of squares T is small for random strings and large for words.
 
-False discoveries are controlled per class of length: word-like tokens (letters of
-one case, or digits only) of a class give the empirical null distribution of the
-statistic, a token's p-value is the share of them at or below its own, and the
-Benjamini-Hochberg step-up over binned p-values decides what the class adds. The
-bins are few and fixed, so the thresholds are the only thing that is broadcast.
+The null hypothesis is that a token is made of words. Its distribution comes from
+the corpus: every text, without what separates its words, is cut into pieces of the length classes, and the mean and deviation of the root of T over
+all pieces of a class give each token of that class a normal p-value, so a class
+needs no word-like token of its own and the same text gives like p-values at any
+size of the corpus. False discoveries are controlled per class by the
+Benjamini-Hochberg step-up over binned p-values. Tokens of one case of letters, or
+of digits only, are words to the battery and never added.
 
 Defined cases: null or empty text has no spans; rows are judged each, repeated ones
-too; rows without doc_id keep their null; a class of length without word-like tokens
-adds nothing; other columns are not read.
+too; rows without doc_id keep their null; an empty table gives no rows; of equal
+p-values all or none are added; a table whose texts have no piece of a class adds
+nothing in it; long texts: matches become rows, so the work grows with their number
+and not with its square; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,28 +36,35 @@ MIN_VALUE = 6
 KINDS = ("assign", "access", "hex", "random")
 #: A token of the battery: so many characters of base64, with no such character on either side.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-LENGTH_CLASSES = (24, 32, 48, 96)
-FALSE_DISCOVERY_RATE = 0.01
-BINS = 400
-BIN_WIDTH = 0.5
-
-
-def spans_of(text: Column, pattern: str, value: int | None = None) -> Column:
-    """Array of (start, end, size): leftmost non-overlapping matches in code points; size is that of the value group."""
+LENGTH_CLASSES = (20, 24, 32, 48, 96)
+FALSE_DISCOVERY_RATE = 0.05
+#: Bins of p-values, and bins a power of ten.
+BINS, BINS_A_TENTH = 400, 10
+#: Coefficients of the normal tail after Zelen and Severo (fixed values).
+TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+TAIL_SCALE = 0.2316419
+SPAN = "struct<start:int,end:int,size:int>"
+MATCH = "struct<kind:int,gap:int,n:int,size:int,token:string>"
+
+
+def matches_of(text: Column, pattern: str, kind: str, value: int | None = None) -> Column:
+    """Array of MATCH: leftmost non-overlapping matches with the characters since the match before; size is that of the value group."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(value)), F.char_length) if value else F.transform(whole, F.char_length)
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    steps = F.zip_with(F.zip_with(F.transform(whole, F.char_length), sizes, lambda n, v: F.struct(n.alias("n"), v.alias("v"))), gaps, lambda m, gap: F.struct(gap.alias("gap"), m["n"].alias("n"), m["v"].alias("v")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,size:int>>").alias("out"))
-    folded = F.aggregate(
-        F.filter(steps, lambda s: s["n"].isNotNull()),
-        empty,
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["n"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["n"]).alias("end"), s["v"].alias("size"))).alias("out"),
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else whole
+    gaps = F.split(text, pattern, -1)
+    both = F.zip_with(whole, values, lambda m, v: F.struct(m.alias("m"), F.char_length(v).alias("v")))
+    steps = F.zip_with(
+        both,
+        gaps,
+        lambda b, gap: F.struct(
+            F.lit(KINDS.index(kind)).alias("kind"),
+            F.char_length(gap).alias("gap"),
+            F.char_length(b["m"]).alias("n"),
+            b["v"].alias("size"),
+            (b["m"] if kind == "random" else F.lit(None).cast("string")).alias("token"),
         ),
     )
-    return F.when(F.regexp_like(text, F.lit(pattern)), folded["out"]).otherwise(empty["out"])
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.filter(steps, lambda s: s["n"].isNotNull())).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
 def kind_spans(spans: Column, kind: str) -> Column:
@@ -65,76 +76,109 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def with_base_spans(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).select(
-        "doc_id",
-        "text",
-        F.filter(spans_of(F.col("text"), ASSIGN, 1), lambda s: s["size"] >= MIN_VALUE).alias("assign"),
-        spans_of(F.col("text"), ACCESS).alias("access"),
-        spans_of(F.col("text"), HEX).alias("hex"),
-        spans_of(F.col("text"), TOKEN).alias("tokens"),
-    )
-
-
-def battery(token: Column) -> tuple[Column, Column]:
-    """(statistic, word-like) of a token."""
-    n = F.char_length(token).cast("double")
-    size = F.when(token.rlike("^[0-9a-f]+$"), 16.0).when(token.rlike("^[A-Z2-7]+=*$"), 32.0).otherwise(64.0)
-    chars = F.split(token, "")
-    chars = F.filter(chars, lambda c: c != "")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.char_length(F.replace(token, c, F.lit(""))), F.lit(2)))
-    free = size - 1
+def with_matches(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, matches) of every row of docs."""
+    text = F.col("text")
+    found = F.concat(matches_of(text, ASSIGN, "assign", 1), matches_of(text, ACCESS, "access"), matches_of(text, HEX, "hex"), matches_of(text, TOKEN, "random"))
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("matches"))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(row, kind, start, end, size, token): base spans, and the tokens that meet none of them."""
+    each = found.where(F.size("matches") > 0).select("row", F.posexplode("matches").alias("pos", "m")).select("row", "pos", "m.*")
+    upto = Window.partitionBy("row", "kind").orderBy("pos")
+    end = F.sum(F.col("gap") + F.col("n")).over(upto).cast("int")
+    spans = each.select("row", "kind", end.alias("end"), "n", "size", "token").withColumn("start", F.col("end") - F.col("n"))
+    is_token = F.col("kind") == KINDS.index("random")
+    spans = spans.where(is_token | (F.col("kind") != KINDS.index("assign")) | (F.col("size") >= MIN_VALUE))
+    # the furthest end of base spans that start before, or with, a token, and the next start of one after it
+    before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumn("reached", F.max(F.when(~is_token, F.col("end"))).over(before)).withColumn("next", F.min(F.when(~is_token, F.col("start"))).over(after))
+    free = F.coalesce(F.col("reached") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))
+    return spans.where(~is_token | free).select("row", "kind", "start", "end", "size", "token")
+
+
+def battery(tokens: DataFrame) -> DataFrame:
+    """tokens (token, ...) with root, that of the summed squares of the three statistics, and word_like."""
+    token, n = F.col("token"), F.col("_n")
+    encodings = [(r"^([0-9a-f]+|[0-9A-F]+)$", 16.0), (r"^[A-Z2-7]+=*$", 32.0), (r"^([0-9a-z]+|[0-9A-Z]+)$", 36.0)]
+    size = F.coalesce(*[F.when(token.rlike(pattern), k) for pattern, k in encodings], F.lit(64.0))
+    # chance that a uniform draw starts a new run; an upper case run and the lower case one after it, as in names, are one
+    change = F.when(F.col("_size") == 16, 0.46875).when(F.col("_size") == 32, 0.3046875).when(F.col("_size") == 36, 0.4012345679).otherwise(0.4697265625)
+    squares = lambda kinds: F.aggregate(kinds, F.lit(0.0), lambda acc, c: acc + F.pow(n - F.char_length(F.replace(token, c, F.lit(""))), F.lit(2)))
+    zero = F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("sp"))
+
+    def add(acc: Column, x: Column) -> Column:
+        return F.struct(x.alias("last"), (acc["s"] + x).alias("s"), (acc["ss"] + x * x).alias("ss"), (acc["sp"] + acc["last"] * x).alias("sp"))
+
+    rows = tokens.withColumn("_n", F.char_length(token).cast("double")).withColumn("_size", size).withColumn("_chars", F.filter(F.split(token, ""), lambda c: c != ""))
+    rows = rows.withColumn("_squares", squares(F.array_distinct("_chars"))).withColumn("_sums", F.aggregate(F.transform("_chars", lambda c: F.ascii(c).cast("double")), zero, add))
+    free = F.col("_size") - 1
     scale = 2 / (9 * free)
-    chi = (F.cbrt(F.greatest(size / n * squares - n, F.lit(0.0)) / free) - (1 - scale)) / F.sqrt(scale)
-    runs = F.size(F.regexp_extract_all(token, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0)))
-    change = F.when(size == 16.0, 0.46875).when(size == 32.0, 0.3046875).otherwise(0.634765625)
+    chi = (F.cbrt(F.greatest(F.col("_size") / n * F.col("_squares") - n, F.lit(0.0)) / free) - (1 - scale)) / F.sqrt(scale)
+    runs = F.size(F.regexp_extract_all(token, F.lit("[A-Z]*[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0)))
     run = (runs - 1 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
-    codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate(codes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    pairs = F.zip_with(codes, F.slice(codes, 2, F.char_length(token)), lambda a, b: (a - mean) * (F.coalesce(b, mean) - mean))
-    serial = F.when(spread > 0, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / spread * F.sqrt(n)).otherwise(F.sqrt(n))
-    return F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2)) + run * run + serial * serial, token.rlike("^([a-z]+|[A-Z][a-z]*|[A-Z]+|[0-9]+)$")
-
-
-def with_tokens(base: DataFrame) -> DataFrame:
-    """The battery's tokens per row, without those that meet a base span."""
-    meets = lambda t: F.exists(F.concat("assign", "access", "hex"), lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))
-    return base.withColumn("tokens", F.filter("tokens", lambda t: ~meets(t)))
-
-
-def judged_tokens(tokens: DataFrame) -> DataFrame:
-    """tokens (token, ...) with class (of length), bin (of the statistic) and word_like."""
-    cls = sum((F.col("n") >= n).cast("int") for n in LENGTH_CLASSES)
-    statistic, word_like = battery(F.col("token"))
-    return (
-        tokens.withColumn("n", F.char_length("token"))
-        .withColumn("class", cls)
-        .withColumn("bin", F.least(F.floor(statistic / BIN_WIDTH), F.lit(BINS - 1)).cast("int"))
-        .withColumn("word_like", word_like)
-    )
+    mean = F.col("_sums.s") / n
+    spread = F.col("_sums.ss") - n * mean * mean
+    lagged = F.col("_sums.sp") - mean * (2 * F.col("_sums.s") - F.ascii(token) - F.col("_sums.last")) + (n - 1) * mean * mean
+    serial = F.when(spread > 1e-9, lagged / spread * F.sqrt(n)).otherwise(F.sqrt(n))
+    rows = rows.withColumn("_chi", F.greatest(chi, F.lit(0.0))).withColumn("_run", run).withColumn("_serial", serial)
+    root = F.sqrt(F.col("_chi") * F.col("_chi") + F.col("_run") * F.col("_run") + F.col("_serial") * F.col("_serial"))
+    return rows.select(*tokens.columns, root.alias("root"), token.rlike("^([a-z]+|[A-Z][a-z]*|[A-Z]+|[0-9]+)$").alias("word_like"))
+
+
+def null_pieces(docs: DataFrame) -> DataFrame:
+    """(class, token): whole texts without what separates words, cut into pieces of the length classes in turn."""
+    joined = F.regexp_replace("text", "[^A-Za-z0-9]+", "")
+    cut = "".join([f"(.{{{LENGTH_CLASSES[0]}}})", *[f"(.{{{n}}}|)" for n in LENGTH_CLASSES[1:]]])
+    of = lambda c: F.transform(F.regexp_extract_all("joined", F.lit(cut), F.lit(c + 1)), lambda t: F.struct(F.lit(c).alias("class"), t.alias("token")))
+    pieces = F.filter(F.concat(*[of(c) for c in range(len(LENGTH_CLASSES))]), lambda p: p["token"] != "")
+    return docs.select(joined.alias("joined")).select(F.explode(pieces).alias("p")).select("p.*")
 
 
-def thresholds(bins: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
-    """(class, last_bin): the largest bin that the step-up procedure accepts in each class of length."""
-    upto = Window.partitionBy("class").orderBy("bin")
-    all_ = Window.partitionBy("class")
-    counted = bins.groupBy("class", "bin").agg(F.count_if("word_like").alias("null_n"), F.count_if(~F.col("word_like")).alias("own_n"))
-    p = (1 + F.sum("null_n").over(upto)) / (1 + F.sum("null_n").over(all_))
-    share = F.sum("own_n").over(upto) / F.greatest(F.sum("own_n").over(all_), F.lit(1))
-    return counted.withColumn("p", p).withColumn("share", share).where((F.col("p") <= rate * F.col("share")) & (F.col("share") > 0)).groupBy("class").agg(F.max("bin").alias("last_bin"))
+def null_moments(docs: DataFrame) -> DataFrame:
+    """(class, mean, deviation) of the root of the battery's statistic over all null pieces."""
+    moments = battery(null_pieces(docs)).groupBy("class").agg(F.avg("root").alias("mean"), F.stddev_pop("root").alias("deviation"))
+    return moments.where("deviation > 0")
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z <= z) for a normal Z, for z below 0; 1 above."""
+    x = F.abs(z)
+    t = 1 / (1 + TAIL_SCALE * x)
+    poly = F.lit(0.0)
+    for c in reversed(TAIL):
+        poly = (poly + c) * t
+    return F.when(z < 0, F.exp(-x * x / 2) * 0.3989422804014327 * poly).otherwise(1.0)
+
+
+def judged_tokens(tokens: DataFrame, moments: DataFrame) -> DataFrame:
+    """tokens (token, ...) that aren't word-like, with class (of length) and bin (of the p-value, smaller p-values higher)."""
+    cls = sum((F.char_length("token") >= n).cast("int") for n in LENGTH_CLASSES) - 1
+    z = (F.col("root") - F.col("mean")) / F.col("deviation")
+    bin_ = F.floor(-F.log10(F.greatest(normal_tail(z), F.lit(1e-300))) * BINS_A_TENTH)
+    judged = battery(tokens).where(~F.col("word_like")).withColumn("class", cls).join(F.broadcast(moments), "class")
+    return judged.withColumn("bin", F.least(bin_, F.lit(BINS)).cast("int")).drop("root", "word_like", "mean", "deviation", "token")
+
+
+def thresholds(judged: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
+    """(class, first_bin): the lowest bin that the step-up procedure accepts in each class of length."""
+    counted = judged.groupBy("class", "bin").agg(F.count("*").alias("n"))
+    share = F.sum("n").over(Window.partitionBy("class").orderBy(F.desc("bin"))) / F.sum("n").over(Window.partitionBy("class"))
+    return counted.withColumn("share", share).where(F.pow(F.lit(10.0), -F.col("bin") / BINS_A_TENTH) <= rate * F.col("share")).groupBy("class").agg(F.min("bin").alias("first_bin"))
 
 
 def scan(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
     """(doc_id, assign, access, hex, random): arrays of (start, end, size) for every row of docs."""
-    base = with_tokens(with_base_spans(docs))
-    cut = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.col("text").substr(t["start"] + 1, t["end"] - t["start"]).alias("token"))
-    found = settle(
-        base.select("doc_id", "assign", "access", "hex", F.transform("tokens", cut).alias("tokens")).withColumn("row", F.monotonically_increasing_id())
-    )
-    bins = settle(judged_tokens(found.select("row", F.explode("tokens").alias("t")).select("row", "t.start", "t.end", "t.token")).drop("token"))
-    accepted = bins.join(F.broadcast(thresholds(bins, rate)), "class").where((F.col("bin") <= F.col("last_bin")) & ~F.col("word_like"))
-    added = accepted.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("n").alias("size")))).alias("random"))
-    empty = F.array().cast("array<struct<start:int,end:int,size:int>>")
-    return found.join(added, "row", "left").select("doc_id", "assign", "access", "hex", F.coalesce("random", empty).alias("random"))
+    found = settle(with_matches(docs))
+    spans = settle(placed(found))
+    # at most one row a length class: these broadcasts are bounded
+    moments = settle(null_moments(docs))
+    judged = settle(judged_tokens(spans.where(F.col("kind") == KINDS.index("random")), moments))
+    added = judged.join(F.broadcast(thresholds(judged, rate)), "class").where(F.col("bin") >= F.col("first_bin"))
+    every = spans.where(F.col("kind") != KINDS.index("random")).select("row", "kind", "start", "end", "size").unionByName(added.select("row", "kind", "start", "end", "size"))
+    listed = every.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "size", "kind"))).alias("spans"))
+    both = found.select("row", "doc_id").join(listed, "row", "left")
+    of = lambda kind: F.transform(F.filter("spans", lambda s: s["kind"] == KINDS.index(kind)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["size"].alias("size")))
+    return both.select("doc_id", *[F.coalesce(of(k), F.array().cast(f"array<{SPAN}>")).alias(k) for k in KINDS])
