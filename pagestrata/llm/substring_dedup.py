@@ -5,19 +5,23 @@ least hash; a seed that occurs again in its document is also one with its ordina
 Each seed's first occurrence (smallest document, then position) is its
 anchor, and every other document's occurrence is one match with that anchor, so a
 seed that very many documents share makes as many matches as it has occurrences,
-never pairs. Matches of a document with one anchor document are chained: sorted by
-position, a match follows the predecessor with the best score less gap costs
-(GAP_COST per skipped word on either side) among all matches of the last BRIDGE
-words on both sides. Chains are then aligned on the words themselves: stretches
-between seeds by edit distance, ends by extension until DROP more words differ than
-agree. A chain of which less than MIN_EQUAL is equal is cut at its most unequal
-stretch, and so are its parts, until each is equal enough or too short. Spans of one document that touch, whatever their
-anchors, are merged; merged spans of MIN_WORDS words are repeated passages.
+never pairs. Matches of a document with one anchor document are chained: in order of
+position, a match follows the earlier one on both sides with the best score less gap
+costs (GAP_COST a word on either side), found as a prefix maximum in a Fenwick tree
+over the anchors' positions. Chains are cut where either side skips more than BRIDGE
+words, and aligned on the words themselves: stretches between seeds by edit
+distance, ends by extension until DROP more words differ than agree. A chain of
+which less than MIN_EQUAL is equal is cut at its most unequal stretch, and so are
+its parts, until each is equal enough or too short. Spans of one document that
+touch, whatever their anchors, are merged; merged spans of MIN_WORDS words are
+repeated passages.
 
 Defined cases: null or empty texts and texts shorter than K words have no seeds and
-no passages; rows without doc_id take no part; repeated rows of one doc_id are one
-document, and repeats inside a document alone aren't reported; the first document
-that has a passage is reported as a source only; other columns are not read.
+no passages, and an empty table has none; rows without doc_id take no part; repeated
+rows of one doc_id are one document, and repeats inside a document alone aren't
+reported; the first document that has a passage (ties: the smallest doc_id) is
+reported as a source only; long texts are read whole, and only their seeds and
+matches travel; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ MIN_EQUAL = 0.8
 MIN_WORDS = 45
 MIN_PART = 16
 DROP = 4
-#: Chains don't bridge stretches of more words than this; each side starts a chain of its own.
+#: Chains are cut at stretches of more words than this.
 BRIDGE = 128
 BROADCAST_IDS = 4_000_000
 
@@ -97,31 +101,63 @@ def matches(seeds: DataFrame) -> DataFrame:
     return listed.where(F.size("hits") >= MIN_SEEDS).withColumn("hits", F.array_sort("hits"))
 
 
+class Fenwick:
+    """Prefix maxima of (value, which) over places 1 to n."""
+
+    def __init__(self, n: int):
+        self.best = [(float("-inf"), -1)] * (n + 1)
+
+    def put(self, at: int, value: tuple[float, int]) -> None:
+        while at < len(self.best):
+            self.best[at] = max(self.best[at], value)
+            at += at & -at
+
+    def upto(self, at: int) -> tuple[float, int]:
+        found = self.best[0]
+        while at:
+            found = max(found, self.best[at])
+            at -= at & -at
+        return found
+
+
+def scores(hits: list[tuple[int, int]], k: int = K) -> tuple[list[float], list[int]]:
+    """Best score of a chain that ends at each of the sorted hits, and the match before it (-1: none).
+
+    A match adds k, and costs GAP_COST for each word from the match before on either side.
+    """
+    places = {b: i for i, b in enumerate(sorted({b for _, b in hits}), 1)}
+    tree, score, link = Fenwick(len(places)), [float(k)] * len(hits), [-1] * len(hits)
+    at = 0
+    while at < len(hits):
+        run = at
+        while run < len(hits) and hits[run][0] == hits[at][0]:
+            a, b = hits[run]
+            before, which = tree.upto(places[b] - 1)
+            if before - GAP_COST * (a + b) > 0:
+                score[run], link[run] = k + before - GAP_COST * (a + b), which
+            run += 1
+        for i in range(at, run):
+            tree.put(places[hits[i][1]], (score[i] + GAP_COST * sum(hits[i]), i))
+        at = run
+    return score, link
+
+
 def chain(hits: list[tuple[int, int]], k: int = K) -> list[list[tuple[int, int]]]:
-    """Disjoint chains of MIN_SEEDS matches or more, best first."""
+    """Disjoint chains of MIN_SEEDS matches or more, best first; a chain is cut where either side skips more than BRIDGE words."""
     hits = sorted(set(hits))
-    score, link = [float(k)] * len(hits), [-1] * len(hits)
-    low = 0
-    for i, (a, b) in enumerate(hits):
-        while a - hits[low][0] > BRIDGE:
-            low += 1
-        # a position has two seeds at most, so these are few
-        for j in range(low, i):
-            over_a, over_b = a - hits[j][0], b - hits[j][1]
-            if over_a and 0 < over_b <= BRIDGE:
-                through = score[j] + min(k, over_a, over_b) - GAP_COST * (over_a + over_b)
-                if through > score[i]:
-                    score[i], link[i] = through, j
+    score, link = scores(hits, k)
     used, out = [False] * len(hits), []
     for end in sorted(range(len(hits)), key=lambda x: -score[x]):
-        path = []
+        path: list[tuple[int, int]] = []
         while end >= 0 and not used[end]:
             used[end] = True
+            if path and max(path[-1][0] - hits[end][0], path[-1][1] - hits[end][1]) > BRIDGE:
+                out.append(path[::-1])
+                path = []
             path.append(hits[end])
             end = link[end]
-        if len(path) >= MIN_SEEDS:
-            out.append(path[::-1])
-    return out
+        out.append(path[::-1])
+    return [path for path in out if len(path) >= MIN_SEEDS]
 
 
 def edits(x: np.ndarray, y: np.ndarray) -> int:
