@@ -8,7 +8,7 @@ runs of character classes, and the lag-1 serial correlation of symbols. Their su
 of squares T is small for random strings and large for words.
 
 The null hypothesis is that a token is made of words. Its distribution comes from
-the corpus: every text, without what separates its words, is cut into pieces of the length classes, and the mean and deviation of the root of T over
+the corpus: every text, without such tokens and what separates its words, is cut into pieces of the length classes, and the mean and deviation of the root of T over
 all pieces of a class give each token of that class a normal p-value, so a class
 needs no word-like token of its own and the same text gives like p-values at any
 size of the corpus. False discoveries are controlled per class by the
@@ -129,8 +129,8 @@ def battery(tokens: DataFrame) -> DataFrame:
 
 
 def null_pieces(docs: DataFrame) -> DataFrame:
-    """(class, token): whole texts without what separates words, cut into pieces of the length classes in turn."""
-    joined = F.regexp_replace("text", "[^A-Za-z0-9]+", "")
+    """(class, token): whole texts, but for the battery's tokens and what separates words, cut into pieces of the length classes in turn."""
+    joined = F.regexp_replace(F.regexp_replace("text", TOKEN, " "), "[^A-Za-z0-9]+", "")
     cut = "".join([f"(.{{{LENGTH_CLASSES[0]}}})", *[f"(.{{{n}}}|)" for n in LENGTH_CLASSES[1:]]])
     of = lambda c: F.transform(F.regexp_extract_all("joined", F.lit(cut), F.lit(c + 1)), lambda t: F.struct(F.lit(c).alias("class"), t.alias("token")))
     pieces = F.filter(F.concat(*[of(c) for c in range(len(LENGTH_CLASSES))]), lambda p: p["token"] != "")
