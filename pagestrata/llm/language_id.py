@@ -1,39 +1,38 @@
 """Language ID by interpolated Kneser-Ney character models, one per language.
 
-Counts of character 4-grams are gathered from all training rows: summed per task,
-then per key over a shuffle. One model per language is built from them, held in
-sorted hash arrays. A text's language is the one of the lowest cross-entropy per
-character; calibrated rejection flags texts whose cross-entropy lies above the
-given quantile of the training texts of that language.
+Counts of character 4-grams are gathered from all training rows, summed per task and
+then per key over a shuffle, without a cap. One model per language is built from
+them by sharded joins and held in sorted hash arrays (see ngram_table). A text's
+language is the one of the lowest cross-entropy per character; calibrated rejection
+flags texts whose cross-entropy lies above the given quantile of the training texts
+of that language.
 
-The models are broadcast. Their size is bounded by MODEL_KEYS: where a corpus has
-more distinct 4-grams, those of the lowest counts are left out of the highest order
-(their characters still count in lower orders' contexts), for all languages alike.
+The distinct languages are a small set of names; their list is the only thing that
+is collected besides the bounded table.
 
 Texts are lower-cased; runs of characters that are not letters are one space.
+Letters over U+FFFF are one symbol.
 Defined cases: null text or no letter gives und with score 0; without training rows
 every text gives und; rows without lang or doc_id teach nothing, and rows without
 doc_id aren't held out; ties go to the first language in order of name; repeated
-rows are scored each; other columns are not read.
+rows are scored each; an empty table gives no rows; long texts are read whole, in
+runs of characters; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagestrata.llm.char_model import SPACE, KneserNey, Scorer, chunks, letters, merged, units
+from pagestrata.llm.char_model import SPACE, letters, units
+from pagestrata.llm.ngram_table import TABLE_VALUES, count_keys, model_table, scored
 from pagestrata.llm.tables import settle
 
 HELD_OUT = 2
-MODEL_KEYS = 8_000_000
 REJECT_ABOVE = 0.995
 #: A text's characters count towards the score's sharpness up to here.
 SHARP_CHARS = 40
-COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int64()), ("n", pa.int64())])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,104 +48,45 @@ class Reader:
     def __call__(self, text: str | None) -> np.ndarray:
         u = units((text or "").lower())
         space = ~self.letters[u]
+        if len(far := np.flatnonzero(u == 0xFFFF)):
+            lower = (text or "").lower()
+            space[far] = [not lower[i].isalpha() for i in far]
         u[space] = SPACE
         return u[~(space & np.r_[True, space[:-1]])] if len(u) else u
 
 
-def count_keys(docs: DataFrame) -> DataFrame:
-    """(lang, k, n): 4-gram counts of the training rows."""
-
-    def count(batches):
-        read, found, size = Reader(), {}, 0
-
-        def give():
-            for lang, runs in found.items():
-                k, n = merged(runs)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n)], schema=COUNTS)
-
-        for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text")
-            for lang in set(langs):
-                mine = ((0, read(texts[i].as_py())) for i, x in enumerate(langs) if x == lang)
-                for _, k, _ in chunks(mine):
-                    found.setdefault(lang, []).append(np.unique(k, return_counts=True))
-                    size += len(found[lang][-1][0])
-                if len(found.get(lang, [])) > 8:
-                    found[lang] = [merged(found[lang])]
-            if size > 20_000_000:
-                yield from give()
-                found, size = {}, 0
-        yield from give()
-
-    train = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    return train.select("lang", "text").mapInArrow(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, model_keys: int = MODEL_KEYS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Sorted keys and counts per language, model_keys keys at most in all."""
-    counts = settle(count_keys(docs))
-    if (size := counts.count()) > model_keys:
-        by_count = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect()
-        total = np.cumsum([r["count"] for r in by_count])
-        least = next((r["n"] + 1 for r, t in zip(by_count, total, strict=True) if t > model_keys), 1)
-        counts = counts.where(F.col("n") >= int(least))
-    table = counts.toArrow() if size else None
-    out = {}
-    for lang in sorted(set(table["lang"].to_pylist())) if table is not None else []:
-        mine = table.filter(pa.compute.equal(table["lang"], lang))
-        out[lang] = merged([(mine["k"].to_numpy().view(np.uint64), mine["n"].to_numpy())])
-    return out
-
-
-def score(docs: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(doc_id, held_out, lang, lang_pred, score, bits) of every row; lang is only passed on, for calibration."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(model)
-
-    def judge(batches):
-        read = Reader()
-        vocabulary = max(2, len(np.unique(np.concatenate([k & np.uint64(0xFFFF) for k, _ in shared.value.values()])))) + 1 if names else 2
-        models = [KneserNey(k, n, vocabulary) for k, n in shared.value.values()]
-        scorer = Scorer(lambda k: np.stack([-np.log2(m.probability(k)) for m in models], axis=1), len(models))
-        for batch in batches:
-            texts, rows = batch.column("text"), batch.num_rows
-            real = np.zeros(rows, bool)
-
-            def parts(texts=texts, rows=rows, real=real):
-                for i in range(rows):
-                    u = read(texts[i].as_py())
-                    real[i] = bool(len(u)) and bool((u != SPACE).any())
-                    yield i, u
-
-            if names:
-                total, length = scorer.sums(parts(), rows)
-                bits = total / np.maximum(length, 1)[:, None]
-                best = bits.argmin(axis=1)
-                sharp = np.minimum(length, SHARP_CHARS)[:, None] * np.log(2)
-                share = np.exp(-(bits - bits.min(axis=1, keepdims=True)) * sharp)
-                chosen = (share / share.sum(axis=1, keepdims=True))[np.arange(rows), best]
-            pred = [names[best[i]] if names and real[i] else "und" for i in range(rows)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    batch.column("lang"),
-                    pa.array(pred),
-                    pa.array(np.where(real, chosen, 0.0) if names else np.zeros(rows)),
-                    pa.array(bits.min(axis=1) if names else np.zeros(rows)),
-                ],
-                names=["doc_id", "held_out", "lang", "lang_pred", "score", "bits"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(judge, "doc_id long, held_out boolean, lang string, lang_pred string, score double, bits double")
+def has_letter(text: str | None) -> int:
+    return int(any(map(str.isalpha, text or "")))
 
 
-def identify(docs: DataFrame, model_keys: int = MODEL_KEYS, reject_above: float = REJECT_ABOVE) -> DataFrame:
+def identify(docs: DataFrame, table_values: int = TABLE_VALUES, reject_above: float = REJECT_ABOVE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits, rejected) for every row of docs (doc_id, text, lang)."""
-    scored = settle(score(docs, fit(docs, model_keys)))
-    own = scored.where((F.col("lang") == F.col("lang_pred")) & ~F.col("held_out"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    teaches = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~F.col("held_out")
+    names = [r["lang"] for r in rows.where(teaches).select("lang").distinct().orderBy("lang").collect()]
+    if not names:
+        none = F.lit(0.0)
+        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), none.alias("score"), none.alias("bits"), F.lit(True).alias("rejected"))
+    which = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")) - 1
+    kind = F.when(teaches, which).otherwise(-1).cast("int")
+    table = model_table(settle(count_keys(rows.select(kind.alias("kind"), "text"), Reader)), len(names), modified=False)
+    sums = settle(scored(rows, table, len(names), Reader, has_letter, table_values=table_values))
+    bits = F.transform("totals", lambda t: t / F.greatest(F.col("length"), F.lit(1)))
+    sharp = F.least(F.col("length"), F.lit(SHARP_CHARS)) * float(np.log(2))
+    least = F.array_min("_bits")
+    share = 1 / F.aggregate(F.transform("_bits", lambda b: F.exp(-(b - least) * sharp)), F.lit(0.0), lambda a, x: a + x)
+    real = F.col("more") > 0
+    judged = sums.withColumn("_bits", bits).select(
+        "doc_id",
+        "held_out",
+        "lang",
+        F.when(real, F.get(F.array(*[F.lit(x) for x in names]), (F.array_position("_bits", least) - 1).cast("int"))).otherwise("und").alias("lang_pred"),
+        F.when(real, share).otherwise(0.0).alias("score"),
+        least.alias("bits"),
+    )
+    own = judged.where((F.col("lang") == F.col("lang_pred")) & ~F.col("held_out"))
+    # one row a language: this broadcast is bounded
     limits = own.groupBy("lang_pred").agg(F.percentile_approx("bits", reject_above, 10_000).alias("_limit"))
-    return scored.join(F.broadcast(limits), "lang_pred", "left").select(
+    return judged.join(F.broadcast(limits), "lang_pred", "left").select(
         "doc_id", "held_out", "lang_pred", "score", "bits", (F.coalesce(F.col("bits") > F.col("_limit"), F.lit(True))).alias("rejected")
     )
