@@ -1,32 +1,31 @@
 """Quality by an interpolated modified Kneser-Ney character model of trusted text.
 
-Trusted text are the documents labelled with quality 1 and not toxic. One pass over
-all texts gives every distinct character 4-gram with its count in trusted text (0
-for those that only other texts have), summed per task and then per key. Counts of
-lower orders, context totals and the three discounts of each order follow by
-groupings of that table, and every n-gram's probability by joins of counts,
-contexts and the next lower order, all sharded by key. A document's perplexity is
-2 ** (bits per character), drawn towards its language's mean for short texts;
-documents above a quantile of trusted documents of their language, plus a slack,
-are rejected. So are documents above such limits of two more measures:
-
-* contrast with a second model of the same kind over bad text, the documents labelled
-  toxic or with quality 0: the bits over BAD_BITS by which a character is likelier
-  there than in trusted text, summed and divided by the root of the length, so that
-  few words of bad text in much plain text still count;
+Trusted text are the documents labelled with quality 1 and not toxic; one in
+HELD_OUT of them, by a hash of the id, doesn't train the model but sets its limits.
+One pass over all texts gives every distinct character 4-gram with its count in
+trusted text and in bad text (labelled toxic or with quality 0), summed per task and
+then per key; sharded count joins give every n-gram's bits under both models (see
+ngram_table). A document's perplexity is 2 ** (bits per character), drawn towards
+its language's mean for short texts; documents above a quantile of held-out trusted
+documents of their language, plus a slack, are rejected. So are documents above such
+limits of two more measures:
+
+* contrast: the bits over BAD_BITS by which a character is likelier in bad text than
+  in trusted text, summed and divided by the root of the length, so that few words of
+  bad text in much plain text still count;
 * the share of words that equal the word before them (words are what white space
   separates). Perplexity doesn't show these: a rare word over and over isn't cheap.
 
-Texts meet the n-gram probabilities by a broadcast where the table is counted to
-hold TABLE_KEYS rows at most; beyond, texts and their own n-grams are dealt to
-blocks and meet there.
-
 Defined cases: null or empty text has the neutral perplexity of its language and is
-kept; null lang is a language of its own; a language without trusted documents takes
-the limits of all; without trusted documents everything is kept, and without bad
+kept; null lang is a language of its own; a language without held-out trusted
+documents takes the limits of all, and where nothing is held out all trusted
+documents set them; without trusted documents everything is kept, and without bad
 ones nothing is rejected by contrast; rows without doc_id are scored and kept; labels
 repeated for one document count as trusted if any of them has quality 1 and none is
-toxic, and otherwise as bad if any has quality 0 or is toxic; repeated rows are each scored; other columns pass.
+toxic, and otherwise as bad if any has quality 0 or is toxic; a value at a limit is
+kept; repeated rows are each scored; an empty table gives no rows; long texts are
+read whole, in runs of characters; other columns are not read, and pass
+keep_quality() whatever their names.
 """
 
 from __future__ import annotations
@@ -35,16 +34,14 @@ from itertools import islice
 from operator import eq
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagestrata.llm.char_model import ORDER, SPACE, Scorer, chunks, merged, units
+from pagestrata.llm.char_model import SPACE, units
+from pagestrata.llm.ngram_table import TABLE_VALUES, count_keys, model_table, scored, total
 from pagestrata.llm.tables import scratch, settle, small_side
 
-TABLE_KEYS = 4_000_000
 BROADCAST_IDS = 2_000_000
-BLOCK_DOCS = 4096
 #: Characters' worth of the language's mean that each text's mean is mixed with.
 PRIOR_CHARS = 60
 QUANTILE = 0.995
@@ -54,9 +51,10 @@ BAD_SLACK = 1.0
 #: Words' worth of no repeats that each text's share of repeats is mixed with.
 PRIOR_WORDS = 20
 REPEAT_SLACK = 0.05
-#: Labels of texts for counting.
-TRUSTED, BAD = 1, 2
-COUNTS = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("bad", pa.int64())])
+#: One trusted document in so many sets limits only.
+HELD_OUT = 8
+#: The models of the table.
+TRUSTED, BAD = 0, 1
 
 
 def read(text: str | None) -> np.ndarray:
@@ -67,10 +65,10 @@ def read(text: str | None) -> np.ndarray:
     return u[~(white & np.r_[True, white[:-1]])] if len(u) else u
 
 
-def repeats(text: str | None) -> tuple[int, int]:
-    """How many words equal the word before, and how many words there are."""
+def repeats(text: str | None) -> int:
+    """How many words equal the word before, times 2 ** 32, and how many words there are."""
     words = (text or "").split()
-    return sum(map(eq, words, islice(words, 1, None))), len(words)
+    return (sum(map(eq, words, islice(words, 1, None))) << 32) + len(words)
 
 
 def label_kinds(labels: DataFrame) -> DataFrame:
@@ -81,169 +79,47 @@ def label_kinds(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.when(good, TRUSTED).when(bad, BAD).alias("_kind")).where("_kind is not null")
 
 
-def count_keys(docs: DataFrame) -> DataFrame:
-    """(k, n, bad) of all texts: counts in trusted and in bad ones only."""
-
-    def count(batches):
-        found: dict[int, list] = {0: [], TRUSTED: [], BAD: []}
-
-        def give():
-            for kind, runs in found.items():
-                k, n = merged(runs)
-                none = np.zeros(len(k), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n if kind == TRUSTED else none), pa.array(n if kind == BAD else none)], schema=COUNTS)
-
-        for batch in batches:
-            texts, kinds = batch.column("text"), batch.column("kind").to_numpy(zero_copy_only=False)
-            for kind, runs in found.items():
-                for _, k, _ in chunks((0, read(texts[int(i)].as_py())) for i in np.flatnonzero(kinds == kind)):
-                    runs.append(np.unique(k, return_counts=True))
-                if len(runs) > 8:
-                    runs[:] = [merged(runs)]
-            if sum(len(k) for runs in found.values() for k, _ in runs) > 10_000_000:
-                yield from give()
-                for runs in found.values():
-                    runs.clear()
-        yield from give()
-
-    return docs.select("text", "kind").mapInArrow(count, "k long, n long, bad long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-
-
-def discounts(level: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of modified Kneser-Ney, from how many n-grams occur once to four times."""
-    c = level.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    if not all(c):
-        return 0.5, 0.75, 0.9
-    y = c.n1 / (c.n1 + 2 * c.n2)
-    raw = [i - (i + 1) * y * c[f"n{i + 1}"] / c[f"n{i}"] for i in (1, 2, 3)]
-    return tuple(min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1))
-
-
-def probabilities(counts: DataFrame) -> DataFrame:
-    """(k, bits) of every 4-gram in counts, by joins of sharded counts from the lowest order up."""
-    levels = [counts]
-    for order in range(ORDER - 1, 0, -1):
-        suffix = F.col("k").bitwiseAND(F.lit((1 << 16 * order) - 1))
-        levels.append(levels[-1].groupBy(suffix.alias("k")).agg(F.count_if(F.col("n") > 0).alias("n")))
-        if order == ORDER - 1:
-            levels[-1] = settle(levels[-1])
-    p = None
-    for level in reversed(levels):
-        order = ORDER - levels.index(level)
-        d1, d2, d3 = discounts(level)
-        context = F.shiftrightunsigned("k", 16)
-        by = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        held = level.where("n > 0").groupBy(context.alias("c")).agg(F.sum("n").alias("total"), F.sum(by).alias("mass"))
-        both = level.withColumn("c", context).join(held, "c", "left")
-        if p is None:
-            both = both.withColumn("lower", F.lit(1.0 / (level.count() + 1)))
-        else:
-            suffix = F.col("k").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1))
-            both = both.withColumn("s", suffix).join(p.select(F.col("k").alias("s"), F.col("p").alias("lower")), "s")
-        own = F.when(F.col("n") > 0, F.col("n") - by).otherwise(0.0)
-        p = both.select("k", F.when(F.col("total").isNull(), F.col("lower")).otherwise((own + F.col("mass") * F.col("lower")) / F.col("total")).alias("p"))
-    return p.select("k", (-F.log2("p")).alias("bits"))
-
-
-def weights(counts: DataFrame) -> DataFrame:
-    """(k, bits, excess): bits in trusted text, and those over BAD_BITS that bad text would save."""
-    own = probabilities(counts.select("k", "n"))
-    if not counts.where("bad > 0").head(1):
-        return own.withColumn("excess", F.lit(0.0))
-    bad = probabilities(counts.select("k", F.col("bad").alias("n"))).withColumnRenamed("bits", "_bad")
-    return own.join(bad, "k").select("k", "bits", F.greatest(F.col("bits") - F.col("_bad") - BAD_BITS, F.lit(0.0)).alias("excess"))
-
-
-SUMS = "doc_id long, lang string, trusted boolean, total double, excess double, length long, repeats long, words long"
-
-
-def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their (bits, excess)."""
-    k = table["k"].to_numpy().view(np.uint64)
-    order = np.argsort(k)
-    return k[order], np.stack([table["bits"].to_numpy(), table["excess"].to_numpy()], axis=1)[order]
-
-
-def _judged(rows: pa.RecordBatch | pa.Table, scorer: Scorer) -> list[pa.Array]:
-    """The columns of SUMS."""
-    texts = [t.as_py() for t in rows.column("text")]
-    total, length = scorer.sums(((i, read(t)) for i, t in enumerate(texts)), len(texts))
-    again = np.array([repeats(t) for t in texts], np.int64).reshape(-1, 2)
-    kind = rows.column("kind").to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column("kind").to_numpy()
-    return [rows.column("doc_id"), rows.column("lang"), pa.array(kind == TRUSTED), pa.array(total[:, 0]), pa.array(total[:, 1]), pa.array(length), pa.array(again[:, 0]), pa.array(again[:, 1])]
-
-
-NAMES = [c.split()[0] for c in SUMS.split(", ")]
-
-
-def _scorer(k: np.ndarray, values: np.ndarray) -> Scorer:
-    return Scorer(lambda wanted: values[np.searchsorted(k, wanted)], 2)
-
-
-def score_with_broadcast(docs: DataFrame, table: DataFrame) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(_arrays(table.toArrow()))
-
-    def judge(batches):
-        scorer = _scorer(*shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(_judged(batch, scorer), names=NAMES)
-
-    return docs.mapInArrow(judge, SUMS)
-
-
-def score_by_blocks(docs: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
-    """The same sums where the table is too large to broadcast: texts and the n-grams they hold meet block by block."""
-
-    def distinct(batches):
-        for batch in batches:
-            for text, block in zip(batch.column("text"), batch.column("block").to_pylist(), strict=True):
-                for _, k, _ in chunks([(0, read(text.as_py()))]):
-                    k = np.unique(k).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k)], names=["block", "k"])
-
-    def judge(texts: pa.Table, own: pa.Table) -> pa.Table:
-        return pa.Table.from_arrays(_judged(texts, _scorer(*_arrays(own))), names=NAMES)
-
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    wanted = dealt.select("block", "text").mapInArrow(distinct, "block long, k long").distinct().join(table, "k")
-    return dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(judge, SUMS)
+def excess(bits: np.ndarray) -> np.ndarray:
+    """Bits in trusted text, and those over BAD_BITS that bad text would save."""
+    return np.stack([bits[:, TRUSTED], np.maximum(bits[:, TRUSTED] - bits[:, BAD] - BAD_BITS, 0)], axis=1)
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, table_keys: int = TABLE_KEYS, quantile: float = QUANTILE, slack_bits: float = SLACK_BITS) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, table_values: int = TABLE_VALUES, quantile: float = QUANTILE, slack_bits: float = SLACK_BITS) -> DataFrame:
     """(doc_id, lang, length, perplexity, limit, keep) for every row of docs."""
     kinds = settle(label_kinds(labels).select(F.col("doc_id").alias("_id"), "_kind"))
-    flagged = docs.join(small_side(kinds, kinds.count(), BROADCAST_IDS), docs["doc_id"] == kinds["_id"], "left").select(
-        docs["doc_id"].cast("long").alias("doc_id"),
-        docs["lang"].cast("string").alias("lang"),
-        docs["text"].cast("string").alias("text"),
-        F.coalesce("_kind", F.lit(0)).alias("kind"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0
+    trusted = F.coalesce(F.col("_kind") == TRUSTED, F.lit(False))
+    flagged = rows.join(small_side(kinds, kinds.count(), BROADCAST_IDS), rows["doc_id"] == kinds["_id"], "left").select(
+        "doc_id", "lang", "text", trusted.alias("trusted"), (trusted & held).alias("held"), F.when(trusted & held, -1).otherwise(F.coalesce("_kind", F.lit(-1))).cast("int").alias("kind")
     )
-    table = settle(weights(settle(count_keys(flagged))))
-    if table.count() <= table_keys:
-        scored = settle(score_with_broadcast(flagged, table))
-    else:
-        scored = settle(score_by_blocks(flagged, table, 1 + docs.count() // BLOCK_DOCS))
-    known = scored.where("trusted and length > 0")
+    counts = settle(count_keys(flagged, lambda: read))
+    any_bad = bool(counts.where(F.col("kind") == BAD).head(1))
+    table = model_table(counts, 2, modified=True)
+    sums = scored(flagged.drop("kind"), table, 2, lambda: read, repeats, excess, table_values)
+    found = settle(sums.select("doc_id", "lang", "trusted", "held", total(0).alias("total"), (total(1) if any_bad else F.lit(0.0)).alias("excess"), "length", F.shiftright("more", 32).alias("repeats"), F.col("more").bitwiseAND(F.lit(2**32 - 1)).alias("words")))
+    own = found.where("trusted and length > 0")
+    known = own.where("held") if own.where("held").head(1) else own
 
     average = F.sum("total") / F.sum("length")
-    excess = F.col("excess") / F.sqrt(F.col("length") + PRIOR_CHARS)
+    worse = F.col("excess") / F.sqrt(F.col("length") + PRIOR_CHARS)
     share = F.col("repeats") / (F.col("words") + PRIOR_WORDS)
     top = lambda value, name: F.percentile_approx(value, quantile, 10_000).alias(name)
-    everyone = known.agg(average.alias("mean"), top(F.col("total") / F.col("length"), "limit"), top(excess, "excess"), top(share, "share")).first()
+    everyone = known.agg(average.alias("mean"), top(F.col("total") / F.col("length"), "limit"), top(worse, "excess"), top(share, "share")).first()
     if everyone["mean"] is None:
-        return scored.select("doc_id", "lang", "length", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("limit"), F.lit(True).alias("keep"))
+        return found.select("doc_id", "lang", "length", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("limit"), F.lit(True).alias("keep"))
     means = known.groupBy(F.col("lang").alias("_lang")).agg(average.alias("_mean"))
     own = (F.col("total") + PRIOR_CHARS * F.col("_mean")) / (F.col("length") + PRIOR_CHARS)
     per_lang = (
         known.join(F.broadcast(means), known["lang"].eqNullSafe(means["_lang"]))
         .groupBy("_lang")
-        .agg(F.first("_mean").alias("_mean"), top(own, "_limit"), top(excess, "_excess"), top(share, "_share"))
+        .agg(F.first("_mean").alias("_mean"), top(own, "_limit"), top(worse, "_excess"), top(share, "_share"))
     )
-    both = scored.join(F.broadcast(per_lang), scored["lang"].eqNullSafe(per_lang["_lang"]), "left")
+    both = found.join(F.broadcast(per_lang), found["lang"].eqNullSafe(per_lang["_lang"]), "left")
     mean = F.coalesce("_mean", F.lit(everyone["mean"]))
     limit = F.coalesce("_limit", F.lit(everyone["limit"])) + slack_bits
     bits = (F.col("total") + PRIOR_CHARS * mean) / (F.col("length") + PRIOR_CHARS)
-    usual = (excess <= F.coalesce("_excess", F.lit(everyone["excess"])) + BAD_SLACK) & (share <= F.coalesce("_share", F.lit(everyone["share"])) + REPEAT_SLACK)
+    usual = (worse <= F.coalesce("_excess", F.lit(everyone["excess"])) + BAD_SLACK) & (share <= F.coalesce("_share", F.lit(everyone["share"])) + REPEAT_SLACK)
     keep = ((bits <= limit) & usual) | F.col("doc_id").isNull()
     return both.select("doc_id", "lang", "length", F.pow(F.lit(2.0), bits).alias("perplexity"), F.pow(F.lit(2.0), limit).alias("limit"), keep.alias("keep"))
 
