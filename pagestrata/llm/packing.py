@@ -2,18 +2,20 @@
 
 Every document is encoded once, in batches inside the tasks; only the lengths and
 checksums of its pieces travel on. A document over the window is cut into full
-windows, which need no search, and one rest. Rests are dealt by a hash of document
-and content to shards of about REST_PER_SHARD pieces and packed there, longest
-first, into the tightest open window, which a segment tree over remaining
-capacities finds in logarithmic time. No shard grows with the input.
+windows, which need no search, and one rest. Rests are dealt to shards of about
+PIECES_PER_SHARD of them and packed there, longest first, into the tightest open
+window, which a segment tree over remaining capacities finds in logarithmic time.
+Full windows have shards of their own, counted alike, so no shard grows with the input.
 
 Ids come from the rank file of the byte-level vocabulary, which gives the ids of
 the JSON file of the same vocabulary (tests compare both) at a third of the cost;
 a .json path is read by the tokenizers library instead.
 
 Defined cases: null text is empty, an empty document is its end id alone; rows
-without doc_id are packed like others; repeated rows are packed each; an empty
-table gives no pieces; other columns are not read.
+without doc_id are packed like others; repeated rows are packed each; pieces of equal
+length are placed in order of doc_id, start and checksum; long texts are cut into
+as many windows as they fill; an empty table gives no pieces; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagestrata.llm.tables import settle
+
 WINDOW = 2048
 END_ID = 1
-REST_PER_SHARD = 4096
+PIECES_PER_SHARD = 4096
 #: Characters encoded at a time in a task.
 BATCH_CHARS = 2_000_000
 PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
@@ -146,8 +150,9 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece with its sequence and offset; sequence_id is shard * 2**32 + number in the shard."""
-    path = path or default_vocabulary()
-    shards = 1 + docs.count() // REST_PER_SHARD
+    pieces = settle(pieces_of(docs, path or default_vocabulary(), window))
+    n = pieces.agg(F.count_if(F.col("length") == window).alias("full"), F.count_if(F.col("length") < window).alias("rest")).first()
+    shards, more = (1 + n[c] // PIECES_PER_SHARD for c in ("rest", "full"))
 
     def place(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32")])
@@ -155,5 +160,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
         ids = which + (shard["_shard"][0].as_py() << 32)
         return shard.drop(["_shard"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
 
-    dealt = pieces_of(docs, path, window).withColumn("_shard", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(shards)))
+    # dealt by row, so that repeated rows are not one shard
+    row = F.xxhash64(F.monotonically_increasing_id())
+    dealt = pieces.withColumn("_shard", F.when(F.col("length") < window, F.pmod(row, F.lit(shards))).otherwise(shards + F.pmod(row, F.lit(more))))
     return dealt.groupBy("_shard").applyInArrow(place, PLACED)
