@@ -3,8 +3,8 @@
 The distinct keys of lines that several documents hold are hashed to 128 bits and
 dealt to shards by their hash. Each shard is one minimal perfect hash (levels of
 bit vectors, a key rests at the first level where no other key shares its slot)
-over compact arrays: a fingerprint, a count of documents and the smallest
-document for each key. Documents send the hashes of their lines to the shards and
+over compact arrays: a fingerprint, a count (of rows, for dealing probes) and the
+smallest document for each key. Documents send the hashes of their lines to the shards and
 probe the arrays; lines are never joined with lines.
 
 A shard holds about KEYS_PER_SHARD probes. A key that a large part of all
@@ -13,7 +13,10 @@ kB) are copied and its probes are dealt out by document over the copies.
 
 Defined cases: null or empty text is one empty line; lines with short keys stay;
 rows without doc_id stay as they are and count for no one; repeated rows of one
-doc_id count as one document and are treated alike; other columns pass through.
+doc_id count as one document and are treated alike; a line that several documents
+hold stays in the smallest doc_id, each time it stands there; long texts are split
+whole; an empty table gives no rows; other columns pass through, whatever their
+names, but for those that a function says it replaces.
 """
 
 from __future__ import annotations
@@ -132,7 +135,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame
 def _repeated_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), key_of), lambda k: F.char_length(k) >= min_chars))
     probes = settle(
-        docs.where("doc_id is not null and text is not null")
+        docs.select("doc_id", "text").where("doc_id is not null and text is not null")
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(keys).alias("k"))
         .select("doc_id", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"))
     )
@@ -156,18 +159,33 @@ def _repeated_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.collect_set("h1").alias("dropped"))
 
 
+def _judged(docs: DataFrame, min_chars: int) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, whose names are returned: the lines, and those of them that stay."""
+
+    def fresh(name: str) -> str:
+        return name if name not in docs.columns else fresh(f"_{name}")
+
+    key, lost, lines, kept = (fresh(f"_{c}") for c in ("id", "dropped", "lines", "kept"))
+    gone = repeated_lines(docs, min_chars).select(F.col("doc_id").alias(key), F.col("dropped").alias(lost))
+    both = docs.join(gone, docs["doc_id"] == gone[key], "left").drop(key).withColumn(lines, lines_of(docs["text"]))
+    stays = lambda line: ~((F.char_length(key_of(line)) >= min_chars) & F.array_contains(F.col(lost), F.xxhash64(key_of(line))))
+    return both.withColumn(kept, F.when(F.col(lost).isNull(), F.col(lines)).otherwise(F.filter(lines, stays))).drop(lost), lines, kept
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
-    """docs with kept_text, n_lines (before) and n_dropped beside their own columns."""
-    lost = repeated_lines(docs, min_chars).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    both = docs.join(lost, docs["doc_id"] == lost["_id"], "left")
-    stays = lambda line: ~(
-        (F.char_length(key_of(line)) >= min_chars) & F.array_contains(F.col("_dropped"), F.xxhash64(key_of(line)))
-    )
-    kept = F.when(F.col("_dropped").isNull(), lines_of(docs["text"])).otherwise(F.filter(lines_of(docs["text"]), stays))
-    return (
-        both.withColumn("_kept", kept)
-        .withColumn("n_lines", F.size(lines_of(docs["text"])).cast("long"))
-        .withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-        .withColumn("kept_text", F.array_join("_kept", "\n"))
-        .drop("_kept", "_id", "_dropped")
-    )
+    """docs with n_lines (before), n_dropped and kept_text beside their other columns; columns of these names are replaced."""
+    found, lines, kept = _judged(docs, min_chars)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    n = F.size(lines).cast("long")
+    return found.select(*own, n.alias("n_lines"), (n - F.size(kept)).alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"))
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
+    """docs whose texts have lost the lines that an earlier document has; n_chars, if there, follows the text."""
+    found, lines, kept = _judged(docs, min_chars)
+    lost = F.size(kept) < F.size(lines)
+    text = F.array_join(kept, "\n")
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[F.when(lost, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else c for c in docs.columns])

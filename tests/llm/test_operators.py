@@ -182,7 +182,7 @@ def test_language_and_quality(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     bad = docs_of(spark, [*texts, (200, "%$ &*# @@! ^^ %% $$ ## !! ~~ zz|qq " * 9)])
     near = {r.doc_id: r for r in quality_model.judge_quality(bad, labels).collect()}
-    far = {r.doc_id: r for r in quality_model.judge_quality(bad, labels, table_keys=0).collect()}
+    far = {r.doc_id: r for r in quality_model.judge_quality(bad, labels, table_values=0).collect()}
     assert not near[200].keep and all(near[i].keep for i in range(60))
     assert all(abs(near[i].perplexity - far[i].perplexity) < 1e-9 for i in near)
     assert quality_model.judge_quality(bad, labels.limit(0)).where("not keep").count() == 0
@@ -205,8 +205,8 @@ def test_toxic_and_repeated_words_are_rejected(spark):
     texts += [(500 + i, " ".join(insulted(80))) for i in range(10)] + [(600 + i, " ".join(prose(80))) for i in range(10)]
     texts += [(700 + i, " ".join(prose(5) + prose(1) * 60)) for i in range(10)]
     labels = spark.createDataFrame([(i, 1, int(i >= 400)) for i in range(440)], "doc_id long, quality int, toxic int")
-    for limit in (quality_model.TABLE_KEYS, 0):
-        keep = {r.doc_id: r.keep for r in quality_model.judge_quality(docs_of(spark, texts), labels, table_keys=limit).collect()}
+    for limit in (quality_model.TABLE_VALUES, 0):
+        keep = {r.doc_id: r.keep for r in quality_model.judge_quality(docs_of(spark, texts), labels, table_values=limit).collect()}
         assert not any(keep[i] for i in [*range(500, 510), *range(700, 710)])
         assert all(keep[i] for i in range(600, 610))
 
