@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagestrata.llm.decontaminate import keep_clean
-from pagestrata.llm.line_dedup import dedup_lines
+from pagestrata.llm.line_dedup import without_repeated_lines
 from pagestrata.llm.minhash_dedup import keep_one_of_each
 from pagestrata.llm.packing import pack
 from pagestrata.llm.quality_model import keep_quality
@@ -20,11 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document has; n_chars follows the text."""
-    out = dedup_lines(docs).withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(docs["text"]))
-    if "n_chars" in docs.columns:
-        chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, chars).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return without_repeated_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
