@@ -26,7 +26,8 @@ def connected(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         # settled if all pairs are stars: each node has one lower node, which has none itself
         tops = pairs.select(F.col("b").alias("a")).distinct()
-        if pairs.join(tops, "a", "left_semi").isEmpty() and pairs.groupBy("a").count().where("count > 1").isEmpty():
+        below_top = pairs.join(tops, "a", "left_semi").select("a")
+        if below_top.unionByName(pairs.groupBy("a").count().where("count > 1").select("a")).isEmpty():
             break
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _toward_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

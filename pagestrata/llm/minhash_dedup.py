@@ -12,12 +12,12 @@ size; sets near the border of two levels are sketched for both, so two sets of
 similarity 0.8 always meet on one level.
 
 BANDS bands of ROWS registers make candidates: a pair of similarity 0.8 misses all
-with probability (1 - 0.8**4)**32, or 5e-8. Bands are taken in turn: in each bucket
-the members outside the component of most of them are paired with one of its
-members only; pairs whose collision-corrected estimate of similarity is not below
-the threshold by more than ESTIMATE_SLACK (four standard errors) are verified on full
-sets and joined to components, so members of a large group leave after a band or two.
-In buckets that still hold several components the members outside the
+with probability (1 - 0.8**4)**32, or 5e-8. In the first HUB_BANDS bands each member
+of a bucket is paired with the least one only; pairs whose collision-corrected
+estimate of similarity is not below the threshold by more than ESTIMATE_SLACK (four
+standard errors) are verified on full sets and joined to components, which is enough
+for most members of a large group. In buckets of any band that still hold several
+components the members outside the
 largest one ask all members of others, block by block: first each names the one of
 the best estimate, then all whose estimate does not rule them out. What is named is
 verified. A pair is named in the first band that its members share only, and no link
@@ -46,9 +46,8 @@ BANDS, ROWS = 32, 4
 MANTISSA_BITS = 10
 FILL = 8192
 ESTIMATE_SLACK = 0.075
-#: Bands whose members meet their buckets' hubs in one round: first and one past the last.
-HUB_ROUNDS = ((0, 4), (4, BANDS))
-BEST_ROUNDS = 1
+#: Bands in which members meet their bucket's hub before any others.
+HUB_BANDS = 4
 BLOCK = 2048
 BROADCAST_IDS = 2_000_000
 #: Expected share of registers that agree by chance, after Yu and Weber (fixed value).
@@ -152,8 +151,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 def beside(pairs: DataFrame, data: DataFrame) -> DataFrame:
     """pairs (a, b) with the other columns of data (doc, ...) as x of a and y of b; a frequent b is copied once per BLOCK of its pairs."""
-    often = settle(pairs.groupBy("b").agg((1 + F.floor(F.count("*") / BLOCK)).alias("parts")).where("parts > 1"))
-    often = small_side(often, often.count(), BROADCAST_IDS)
+    often = pairs.groupBy("b").agg((1 + F.floor(F.count("*") / BLOCK)).alias("parts")).where("parts > 1")
     whole = F.struct(*[c for c in data.columns if c != "doc"])
     left = pairs.join(data.select(F.col("doc").alias("a"), whole.alias("x")), "a").join(often, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))))
     right = data.select(F.col("doc").alias("b"), whole.alias("y")).join(often, "b", "left")
@@ -198,22 +196,19 @@ def labelled(nodes: DataFrame, components: DataFrame | None) -> DataFrame:
 
 
 def open_buckets(rows: DataFrame) -> DataFrame:
-    """(key, size, main, hub, open) of the buckets of rows (key, doc, component) that hold several components.
+    """(key, size, main, open) of the buckets of rows (key, doc, component) that hold several components.
 
-    main is the component of most members, hub its least member there, and open counts the others.
+    main is the component of most members, and open counts the others.
     """
-    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("doc").alias("hub"))
-    best = F.max(F.struct("n", "component", "hub"))
-    found = parts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("size"), best.alias("b")).where("kinds > 1")
-    return found.select("key", "size", F.col("b.component").alias("main"), F.col("b.hub").alias("hub"), (F.col("size") - F.col("b.n")).alias("open"))
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    found = parts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("b")).where("kinds > 1")
+    return found.select("key", "size", F.col("b.component").alias("main"), (F.col("size") - F.col("b.n")).alias("open"))
 
 
-def hub_pairs(bands: DataFrame, components: DataFrame | None) -> DataFrame:
-    """(a, b): each member of a bucket outside the main component, with the hub."""
-    rows = settle(labelled(bands, components))
-    hubs = open_buckets(rows).select(F.col("key").alias("_key"), "main", "hub")
-    met = rows.join(hubs, (rows["key"] == hubs["_key"]) & (rows["component"] != hubs["main"]))
-    return met.select(F.greatest("doc", "hub").alias("a"), F.least("doc", "hub").alias("b")).distinct()
+def hub_pairs(bands: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's hub, its least member."""
+    hubs = bands.groupBy("key").agg(F.min("doc").alias("b"))
+    return bands.join(hubs, "key").where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
 
 
 def open_pairs(bands: DataFrame, components: DataFrame | None, reps: DataFrame, threshold: float, best_only: bool) -> DataFrame:
@@ -256,7 +251,7 @@ def open_pairs(bands: DataFrame, components: DataFrame | None, reps: DataFrame,
             rows = there[component[there] != component[i]]
             if not best_only:
                 rows = rows[~open_[rows] | (doc[rows] < doc[i])]
-                rows = rows[(words[rows] == words[i]).argmax(axis=1) == band[i]]
+            rows = rows[(words[rows] == words[i]).argmax(axis=1) == band[i]]
             agree = ((registers[rows] == registers[i]).mean(axis=1) - CHANCE) / (1 - CHANCE)
             near = agree >= threshold - ESTIMATE_SLACK
             if best_only and near.any():
@@ -322,24 +317,21 @@ def _near_classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
         shared = all_bands.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
         shared = settle(shared)
         buckets = keep(all_bands.join(small_side(shared, shared.count(), BROADCAST_IDS), "key", "left_semi"))
-    links, components = None, None
+    components = None
 
-    def add(new: DataFrame) -> bool:
-        nonlocal links, components
-        if not new.head(1):
-            return False
-        links = new if links is None else links.unionByName(new)
-        with scratch(spark) as keep:
-            components = keep(connected(links))
-        return True
+    def add(links: DataFrame) -> None:
+        nonlocal components
+        if links.head(1):
+            # what is linked already comes in as stars, which need few rounds
+            known = links.limit(0) if components is None else components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            with scratch(spark) as keep:
+                components = keep(connected(links.unionByName(known)))
 
-    for first, last in HUB_ROUNDS:
-        with scratch(spark) as keep:
-            pairs = settle(hub_pairs(buckets.where(F.col("band").between(first, last - 1)).drop("band"), components))
-            near = settle(estimated(pairs, reps, threshold))
-            new = keep(verified(near, docs, size, percent))
-        add(new)
-    for best_only in (*[True] * BEST_ROUNDS, False):
+    with scratch(spark) as keep:
+        pairs = settle(hub_pairs(buckets.where(F.col("band") < HUB_BANDS).drop("band")))
+        links = keep(verified(settle(estimated(pairs, reps, threshold)), docs, size, percent))
+    add(links)
+    for best_only in (True, False):
         with scratch(spark) as keep:
             named = settle(open_pairs(buckets.drop("band"), components, reps, threshold, best_only))
             new = keep(links_of(named, docs, size, percent)) if named.head(1) else None
