@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 START_MARK, END_MARK = "\u0001", "\u0002"
+# Characters that names can't hold, and what passes for a bare domain.
 UNSAFE_IN_NAMES = r'[/\\?%*:|"<>]'
 BARE_DOMAIN = r"(?i)^[a-z0-9.-]+\.[a-z]{2,}(:\d+)?(/.*)?$"
 # URLs and content types that signal credentials.
@@ -45,12 +46,18 @@ def archive_filename(title: Column, host: Column) -> Column:
     return F.concat(F.when(short == "", host).otherwise(short), F.lit(".sitearchive"))
 
 
+def component(text: Column) -> Column:
+    """Text as a component of a URL."""
+    out = F.url_encode(text)
+    for code, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
 def address(typed: Column, template: str) -> Column:
     """Where an address bar goes: nothing, a URL, a bare domain by https, or a search with %s as the place of the words."""
     t = F.trim(typed)
-    words = F.url_encode(t)
-    for code, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
-        words = F.replace(words, F.lit(code), F.lit(plain))
+    words = component(t)
     before, place, after = template.partition("%s")
     found = F.concat(F.lit(before), words, F.lit(after if place else ""))
     return F.when(t == "", "about:blank").when(t.rlike(r"(?i)^https?://[^/?#\s]+"), t).when(t.rlike(BARE_DOMAIN) & ~t.contains(" "), F.concat(F.lit("https://"), t)).otherwise(found)

@@ -110,8 +110,8 @@ def canonicalize(url: Column) -> Column:
 
 
 def thread_key(url: Column) -> Column:
-    """The URL without its page number, in path or parameters."""
-    p = F.regexp_replace(F.regexp_replace(path(url), r"(?i)/page/\d+(/|$)", "$1"), "/+$", "")
+    """The URL without its first page number in the path, and without those in parameters."""
+    p = F.regexp_replace(F.regexp_replace(path(url), r"(?i)^(.*?)/page/\d+(/.*|)$", "$1$2"), "/+$", "")
     kept = F.filter(params(url), lambda x: ~param_key(x).rlike(PAGINATION_KEY))
     return F.when(is_http(url), _join_query(F.concat(origin(url), F.when(p == "", "/").otherwise(p)), kept)).otherwise(url)
 
@@ -140,6 +140,16 @@ def same_host_or_under(url: Column, base: Column) -> Column:
     return (host(url) == base) | host(url).endswith(F.concat(F.lit("."), base))
 
 
+def is_safe_remote(url: Column) -> Column:
+    """http(s) only."""
+    return scheme(url).isin("http", "https")
+
+
+def is_safe_external(url: Column) -> Column:
+    """What may be handed to other programs: http(s) and mail addresses."""
+    return scheme(url).isin("http", "https", "mailto")
+
+
 def looks_destructive(url: Column) -> Column:
     return is_http(url) & (path(url).rlike(DESTRUCTIVE_PATH) | query(url).rlike(DESTRUCTIVE_PARAM))
 

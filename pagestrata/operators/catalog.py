@@ -85,3 +85,8 @@ def upsert_last(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key, the last in order."""
     last = F.max_by(F.struct(*rows.columns), order)
     return rows.groupBy(key).agg(last.alias("r")).select("r.*")
+
+
+def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per key, the first in order."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")

@@ -30,9 +30,9 @@ def ladder(links: DataFrame, forum: bool = False, domains: tuple[str, ...] = ())
 
 
 def first_per_url(rows: DataFrame, order: list[str]) -> DataFrame:
-    """The first row per normalised URL."""
-    by = Window.partitionBy(F.coalesce(urls.normalize(F.col("url")), F.col("url"))).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(by)).where("_rn = 1").drop("_rn")
+    """The first row per normalised URL; partial minima keep a frequent URL from being one task."""
+    key = F.coalesce(urls.normalize(F.col("url")), F.col("url")).alias("_key")
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
 
 
 def fair_order(items: DataFrame, bucket: str, order: list[str]) -> DataFrame:
@@ -46,28 +46,36 @@ def fair_order(items: DataFrame, bucket: str, order: list[str]) -> DataFrame:
 
 def capped_failures(failures: DataFrame, order: str) -> DataFrame:
     """At most MAX_SKIPS_PER_KIND of each skip kind, then at most MAX_FAILURES in order."""
-    per_kind = F.row_number().over(Window.partitionBy("kind").orderBy(order))
-    kept = failures.withColumn("_rn", per_kind).where(~F.col("kind").startswith("skipped-") | (F.col("_rn") <= MAX_SKIPS_PER_KIND)).drop("_rn")
-    return kept.orderBy(order).limit(MAX_FAILURES)
+    is_skip = F.col("kind").startswith("skipped-")
+    ranked = failures.where(is_skip).withColumn("_rn", F.row_number().over(Window.partitionBy("kind").orderBy(order)))
+    kept = ranked.where(F.col("_rn") <= MAX_SKIPS_PER_KIND).drop("_rn")
+    others = failures.where(~is_skip).orderBy(order).limit(MAX_FAILURES)
+    return kept.unionByName(others).orderBy(order).limit(MAX_FAILURES)
 
 
 def robots_allowed(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """paths with allowed: the longest rule that is a prefix decides, a tie allows, no match allows."""
-    hit = paths.join(F.broadcast(rules.where("rule <> ''")), F.col("path").startswith(F.col("rule")), "left")
-    best = F.max(F.struct(F.char_length("rule").alias("n"), F.col("allow").alias("allow")))
-    return hit.groupBy(*paths.columns).agg(best.alias("b")).select(*paths.columns, F.coalesce(F.col("b.allow"), F.lit(True)).alias("allowed"))
+    """paths (path) with allowed: the longest rule (rule, allow) that is a prefix decides, a tie allows, no match allows.
+
+    Rules and paths with a host each meet within their host. A path's prefixes are
+    joined to rules by equality, so rules of any number are no nested loop.
+    """
+    by = [c for c in ("host",) if c in rules.columns]
+    prefixes = F.when(F.length("path") > 0, F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.substring("path", F.lit(1), n)))
+    each = paths.distinct().withColumn("rule", F.explode(prefixes))
+    best = each.join(rules.groupBy(*by, "rule").agg(F.max("allow").alias("allow")), [*by, "rule"]).groupBy(*paths.columns).agg(F.max_by("allow", F.length("rule")).alias("_allow"))
+    return paths.join(best, paths.columns, "left").select(*paths.columns, F.coalesce("_allow", F.lit(True)).alias("allowed"))
 
 
 def parse_robots(lines: DataFrame) -> DataFrame:
-    """(rule, allow) of the * groups of a file given as lines (line_no, line)."""
+    """(host, rule, allow) of the * groups of each host's file, given as lines (host, line_no, line)."""
     body = F.trim(F.regexp_replace("line", "#.*$", ""))
-    rows = lines.select("line_no", F.lower(F.trim(F.substring_index(body, ":", 1))).alias("field"), F.trim(F.regexp_extract(body, r"^[^:]*:(.*)$", 1)).alias("value"), body.contains(":").alias("ok"))
+    rows = lines.select("host", "line_no", F.lower(F.trim(F.substring_index(body, ":", 1))).alias("field"), F.trim(F.regexp_extract(body, r"^[^:]*:(.*)$", 1)).alias("value"), body.contains(":").alias("ok"))
     rows = rows.where("ok and field in ('user-agent', 'allow', 'disallow')")
-    order = Window.orderBy("line_no")
+    order = Window.partitionBy("host").orderBy("line_no")
     rows = rows.withColumn("fresh", ((F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(order), F.lit("allow")) != "user-agent")).cast("int"))
     rows = rows.withColumn("grp", F.sum("fresh").over(order))
-    star = F.max(((F.col("field") == "user-agent") & (F.col("value") == "*")).cast("int")).over(Window.partitionBy("grp"))
-    return rows.withColumn("star", star).where("star = 1 and field <> 'user-agent'").select(F.col("value").alias("rule"), (F.col("field") == "allow").alias("allow"))
+    star = F.max(((F.col("field") == "user-agent") & (F.col("value") == "*")).cast("int")).over(Window.partitionBy("host", "grp"))
+    return rows.withColumn("star", star).where("star = 1 and field <> 'user-agent'").select("host", F.col("value").alias("rule"), (F.col("field") == "allow").alias("allow"))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int, settle) -> DataFrame:

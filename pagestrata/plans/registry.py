@@ -177,7 +177,7 @@ def fts_postings(spark, sf_dir):
     return search.postings(views.table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@register()
+@register(f"WITH {sql.ARCHIVES} SELECT id, {sql.snippet('body', 'then', 10, chr(1), chr(2))} AS snippet FROM archives WHERE NOT deleted AND {sql.has_prefix('body', 'then')}")
 def fts_snippet(spark, sf_dir):
     """FT-06/07: snippets of matching pages."""
     found = active(spark, sf_dir).where(F.exists(search.tokens(F.col("body")), lambda t: t.startswith("then")))
@@ -237,11 +237,13 @@ def robots_longest_match(spark, sf_dir):
     return crawl.robots_allowed(views.table(spark, sf_dir, "pages").select(urls.path(F.col("url")).alias("path")).distinct(), rules)
 
 
-@register(f"""SELECT {sql.path('url')} AS path, {sql.path('url')} LIKE '/de/5%' OR {sql.path('url')} NOT LIKE '/de%' AS allowed FROM pages GROUP BY ALL""")
+@register(f"""SELECT {sql.host('url')} AS host, {sql.path('url')} AS path, length({sql.host('url')}) % 2 = 1 OR {sql.path('url')} LIKE '/de/5%' OR {sql.path('url')} NOT LIKE '/de%' AS allowed FROM pages GROUP BY ALL""")
 def robots_parsed(spark, sf_dir):
-    """UD-10, SRC-16: a robots file parsed from its lines, applied to every path."""
-    lines = spark.createDataFrame(list(enumerate(ROBOTS_LINES)), "line_no int, line string")
-    return crawl.robots_allowed(views.table(spark, sf_dir, "pages").select(urls.path(F.col("url")).alias("path")).distinct(), crawl.parse_robots(lines))
+    """UD-10, SRC-16: robots files of half of the hosts parsed from their lines; hosts without a file allow everything."""
+    paths = views.table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path")).distinct()
+    hosts = paths.select("host").distinct().where(F.length("host") % 2 == 0)
+    lines = hosts.select("host", F.posexplode(F.array(*[F.lit(x) for x in ROBOTS_LINES])).alias("line_no", "line"))
+    return crawl.robots_allowed(paths, crawl.parse_robots(lines))
 
 
 # HTML and crawl
@@ -410,11 +412,11 @@ def forum_summary(spark, sf_dir):
     return posts.agg(F.count_distinct("thread_key").alias("n_threads"), F.count_distinct("author").alias("n_sections"), F.count("*").alias("n_posts"), F.sum(F.char_length("body")).alias("n_chars"))
 
 
-@register("SELECT conv_id || '#' || turn AS post_id, min(turn) AS post_number, any_value(length(text)) AS n_chars FROM conversations GROUP BY conv_id, turn")
+@register("SELECT conv_id || '#' || turn % 3 AS post_id, arg_min(length(text), turn) AS n_chars, min(turn) AS post_number FROM conversations WHERE text IS NOT NULL GROUP BY ALL")
 def posts_once(spark, sf_dir):
-    """WN-08, CP-07: one post per id."""
-    rows = views.posts(spark, sf_dir).select(F.concat_ws("#", "thread_key", "post_number").alias("post_id"), "post_number", F.char_length("body").cast("long").alias("n_chars"))
-    return catalog.upsert_last(rows, "post_id", "post_number")
+    """WN-08, CP-07: the first post of each id."""
+    rows = views.posts(spark, sf_dir).where("body is not null").select(F.concat_ws("#", "thread_key", F.col("post_number") % 3).alias("post_id"), "post_number", F.char_length("body").cast("long").alias("n_chars"))
+    return catalog.first_of(rows, "post_id", "post_number")
 
 
 # Links with attributes, resources and forms
@@ -539,21 +541,27 @@ def retry_keeps(spark, sf_dir):
 
 
 @register(r"""SELECT conv_id, turn, coalesce(array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: '"' || replace(w, '"', '""') || '"*'), ' '), '') AS query,
-replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM conversations WHERE text IS NOT NULL""")
+replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM conversations""")
 def text_escapes(spark, sf_dir):
     """SC-S01/03: match queries and HTML escapes."""
-    rows = views.table(spark, sf_dir, "conversations").where("text is not null")
-    return rows.select("conv_id", "turn", text.match_query(F.col("text")).alias("query"), text.escaped(F.col("text")).alias("escaped"))
+    rows = views.table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.coalesce(text.match_query(F.col("text")), F.lit("")).alias("query"), text.escaped(F.col("text")).alias("escaped"))
 
 
-@register(rf"""SELECT page_id, left(trim(regexp_replace({sql.title('html')}, '{text.UNSAFE_IN_NAMES}', '-', 'g')), 80) || '.sitearchive' AS filename,
-CASE WHEN length(html) < 1024 THEN length(html) || ' B' ELSE printf('%.1f', round(length(html) / 1024.0, 1)) || ' KB' END AS size,
-regexp_matches(url, '{text.SENSITIVE_URL}') AS sensitive FROM pages WHERE length(html) < 1048576 AND {sql.title('html')} <> ''""")
+NAMED = "CASE WHEN page_id % 9 = 4 THEN '' ELSE {t} END"
+
+
+@register(rf"""WITH p AS (SELECT page_id, url, {NAMED.format(t=sql.title('html'))} AS t, {sql.host('url')} AS h, length(html) * CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1024 ELSE 1048576 END AS n FROM pages)
+SELECT page_id, left(trim(regexp_replace(CASE WHEN t = '' THEN h ELSE t END, '[/\\?%*:|"<>]', '-', 'g')), 80) || '.sitearchive' AS filename,
+CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', round(n / 1024.0, 1)) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', round(n / 1048576.0, 1)) || ' MB' ELSE printf('%.1f', round(n / 1073741824.0, 1)) || ' GB' END AS size,
+regexp_matches(url, '{text.SENSITIVE_URL}') AS sensitive FROM p""")
 def page_labels(spark, sf_dir):
-    """SC-U11, SC-S05, PF-25: file names, sizes and sensitive URLs."""
-    pages = views.table(spark, sf_dir, "pages").withColumn("n", F.char_length("html")).where((F.col("n") < 1 << 20) & (html.title(F.col("html")) != ""))
-    name = text.archive_filename(html.title(F.col("html")), urls.host(F.col("url")))
-    return pages.select("page_id", name.alias("filename"), text.file_size(F.col("n")).alias("size"), text.is_sensitive_url(F.col("url")).alias("sensitive"))
+    """SC-U11, SC-S05, PF-25: file names, sizes in every unit and sensitive URLs; a page without a title takes its host's name."""
+    i = F.col("page_id")
+    title = F.when(i % 9 == 4, "").otherwise(html.title(F.col("html")))
+    n = F.char_length("html").cast("long") * F.when(i % 3 == 0, 1).when(i % 3 == 1, 1024).otherwise(1048576)
+    pages = views.table(spark, sf_dir, "pages").select("page_id", "url", title.alias("title"), n.alias("n"))
+    return pages.select("page_id", text.archive_filename(F.col("title"), urls.host(F.col("url"))).alias("filename"), text.file_size(F.col("n")).alias("size"), text.is_sensitive_url(F.col("url")).alias("sensitive"))
 
 
 @register(rf"""WITH typed AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN {sql.host('url')} ELSE 'find ' || {sql.host('url')} END AS t FROM pages)
@@ -563,3 +571,6 @@ def address_bar(spark, sf_dir):
     host = urls.host(F.col("url"))
     typed = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, host).otherwise(F.concat(F.lit("find "), host))
     return views.table(spark, sf_dir, "pages").select("page_id", text.address(typed, "https://s.example/?q=%s").alias("target"))
+
+
+from pagestrata.plans import archive_queries  # noqa: E402, F401

@@ -58,7 +58,7 @@ def canonicalize(u: str) -> str:
 
 
 def thread_key(u: str) -> str:
-    p = rf"coalesce(nullif(regexp_replace(regexp_replace({path(u)}, '(?i)/page/\d+(/|$)', '\1', 'g'), '/+$', ''), ''), '/')"
+    p = rf"coalesce(nullif(regexp_replace(regexp_replace({path(u)}, '(?i)/page/\d+(/|$)', '\1'), '/+$', ''), ''), '/')"
     kept = f"list_filter({params(u)}, lambda x: NOT regexp_matches(string_split(x, '=')[1], '{urls.PAGINATION_KEY}'))"
     return f"CASE WHEN {is_http(u)} THEN {joined(f'{origin(u)} || {p}', kept)} ELSE {u} END"
 
@@ -144,3 +144,14 @@ def search(docs: str, words: list[str], weights: dict[str, int]) -> str:
     return f"""split AS (SELECT *, {split} FROM {docs}), counted AS (SELECT *, {dl} AS dl, {counted} FROM split),
 stats AS (SELECT count(*) AS n, avg(dl) AS av, {stats} FROM counted),
 found AS (SELECT counted.*, 0.0{score} AS score FROM counted, stats WHERE {match})"""
+
+
+def has_prefix(c: str, prefix: str) -> str:
+    return rf"len(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda t: starts_with(t, '{prefix}'))) > 0"
+
+
+def snippet(c: str, prefix: str, width: int, before: str = "", after: str = "") -> str:
+    """The first window of width words of column c that starts at a hit, hits marked."""
+    marks = [f"chr({ord(m)})" if m else "''" for m in (before, after)]
+    return rf"""(WITH w AS (SELECT list_filter(string_split_regex({c}, '\s+'), lambda x: x <> '') AS ws), a AS (SELECT ws, coalesce(list_filter(list_transform(ws, lambda x, i: CASE WHEN {has_prefix('x', prefix)} THEN i END), lambda i: i IS NOT NULL)[1], 1) AS s FROM w)
+  SELECT CASE WHEN s > 1 THEN '…' ELSE '' END || array_to_string(list_transform(ws[s:s + {width} - 1], lambda x: CASE WHEN {has_prefix('x', prefix)} THEN {marks[0]} || x || {marks[1]} ELSE x END), ' ') || CASE WHEN len(ws) > s - 1 + {width} THEN '…' ELSE '' END FROM a)"""

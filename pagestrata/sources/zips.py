@@ -86,7 +86,7 @@ def entries(zips: DataFrame) -> DataFrame:
                             with opened.open(info) as entry:
                                 data = entry.read(MAX_ENTRY_BYTES + 1)
                             yield row(own, info.filename, data, None)
-                except zipfile.BadZipFile:
+                except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
                     yield row(own, None, None, "not-a-zip")
 
     return zips.select("zip", "content").mapInArrow(read, "zip string, path string, content binary, error string")
