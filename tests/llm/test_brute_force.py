@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagestrata.llm import decontaminate, language_id, line_dedup, ngram_table, packing, quality_model, queries, secret_scan, substring_dedup
+from pagestrata.llm import decontaminate, language_id, line_dedup, ngram_table, packing, quality_model, queries, secret_scan, substring_dedup, vector_topk
 from pagestrata.llm.tables import table
 
 CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _id string, _dropped string, _kept string, n_lines string, n_dropped string, kept_text string, _kind string, kind string, trusted string, component string, row string"
@@ -332,3 +333,18 @@ def test_columns_whose_names_clash(spark):
     assert line_dedup.without_repeated_lines(df).columns == df.columns
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality_model.keep_quality(df, labels).columns == df.columns
+
+
+@pytest.mark.parametrize("roots", [vector_topk.ROOT_VALUES, 0])
+def test_top_k_of_clusters_and_common_vectors(spark, monkeypatch, roots):
+    monkeypatch.setattr(vector_topk, "ROOT_VALUES", roots)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(6, 4)) * 3
+    rows = [(i, [float(x) for x in np.round(centres[i % 6] + rng.normal(size=4) * 0.2, 3)]) for i in range(900)]
+    rows += [(1000 + i, [1.0, -1.0, 0.5, 2.0]) for i in range(300)] + [(2000 + i, [0.0] * 4) for i in range(50)] + [(3000 + i, []) for i in range(7)] + [(0, [5.0, 5.0, 5.0, 5.0])]
+    df = spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<double>")
+    out = vector_topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=64, block_queries=7).collect()
+    v = [(i, [math.floor(256 * c) for c in x]) for i, x in rows]
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for i, x in v if i == q for j, y in v if j != q and len(y) == len(x))[:5]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)] == best
