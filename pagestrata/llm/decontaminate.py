@@ -5,8 +5,9 @@ bits. A seed is the hash of the words that a fixed mask marks; words where a mas
 has 0 may differ. Seeds of documents join seeds of benchmark items; hits of one
 document and item on one diagonal are one candidate, whatever their number. A
 candidate is verified on the words themselves: the longest window along the
-diagonal with MIN_EQUAL of its words equal is the overlap. A document is contaminated by an item if an overlap spans MIN_WORDS words,
-or all words of a shorter item, with MIN_EQUAL of them equal.
+diagonal with MIN_EQUAL of its words equal is the overlap, found by halving for each
+place it may end at. A document is contaminated by an item if an overlap spans MIN_WORDS
+words, or all words of a shorter item, with MIN_EQUAL of them equal.
 
 Spark broadcasts the benchmark's seeds only while they are under its size limit,
 and joins by shuffle, with skewed keys split, beyond.
@@ -14,7 +15,9 @@ and joins by shuffle, with skewed keys split, beyond.
 Defined cases: null or empty texts and items have no words and match nothing; items
 shorter than the shortest mask have no seed and match nothing; rows without doc_id
 or item_id take no part (such documents are kept); repeated rows of an id count
-once in results; other columns are not read.
+once in results; of equally long overlaps the one with more equal words, then the
+first, is reported; empty tables give no overlaps and keep every document; long texts
+and items are compared whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -74,9 +77,19 @@ def overlap(words: Column, item: Column, shift: Column, min_equal: float = MIN_E
         return F.struct(F.array_append(acc["equal"], equal).alias("equal"), F.array_append(acc["low"], F.least(F.element_at(acc["low"], -1), surplus)).alias("low"))
 
     def longest(acc: Column) -> Column:
+        halvings = F.sequence(F.lit(1), F.ceil(F.log2(F.size(acc["low"]) + 1)).cast("int"))
+
         def ending(equal: Column, at: Column) -> Column:
-            # the first place whose surplus isn't over the one here begins the longest window that ends here
-            begin = F.size(F.filter(acc["low"], lambda low: low > equal - min_equal * at + 1e-9))
+            # the first place whose surplus isn't over the one here begins the longest window that ends here; low never rises, so halving finds it
+            most = equal - min_equal * at + 1e-9
+            both = F.struct(F.lit(0).alias("from"), at.alias("to"))
+
+            def halve(b: Column, _: Column) -> Column:
+                middle = F.floor((b["from"] + b["to"]) / 2).cast("int")
+                over = F.get(acc["low"], middle) > most
+                return F.struct(F.when(over, F.least(middle + 1, b["to"])).otherwise(b["from"]).alias("from"), F.when(over, b["to"]).otherwise(middle).alias("to"))
+
+            begin = F.aggregate(halvings, both, halve, lambda b: b["from"])
             return F.struct((at - begin).alias("n"), (equal - F.get(acc["equal"], begin)).alias("equal"), (-begin).alias("minus"))
 
         return F.array_max(F.transform(acc["equal"], ending))

@@ -348,3 +348,27 @@ def test_top_k_of_clusters_and_common_vectors(spark, monkeypatch, roots):
     for q in {i for i, _ in rows if i % 50 == 0}:
         best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for i, x in v if i == q for j, y in v if j != q and len(y) == len(x))[:5]
         assert [(-r.score, r.vec_id) for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)] == best
+
+
+def test_longest_overlap_equals_every_window(spark):
+    draw, rows, want = random.Random(3), [], {}
+    for i in range(200):
+        item, words = ([draw.randrange(3) for _ in range(draw.randint(1, n))] for n in (40, 60))
+        shift = draw.randint(1 - len(item), len(words) - 1)
+        both = range(max(0, -shift), min(len(item), len(words) - shift))
+        if i % 2:
+            words = [item[k - shift] if k - shift in both and draw.random() < 0.85 else w for k, w in enumerate(words)]
+        same = {k: item[k] == words[k + shift] for k in both}
+        windows = [(y + 1 - x, sum(same[k] for k in range(x, y + 1))) for x in both for y in range(x, both.stop)]
+        want[i] = max([w for w in windows if w[1] >= decontaminate.MIN_EQUAL * w[0] - 1e-9], default=(0, 0))
+        rows.append((i, words, item, shift))
+    df = spark.createDataFrame(rows, "id int, words array<long>, item array<long>, shift int")
+    got = df.select("id", decontaminate.overlap(F.col("words"), F.col("item"), F.col("shift")).alias("o")).collect()
+    assert {r.id: (r.o.n, r.o.equal) for r in got} == want
+
+
+def test_overlap_of_very_long_texts(spark):
+    words = [k * 7 % 1000 for k in range(10_000)]
+    item = [w if k % 9 else -1 for k, w in enumerate(words)]
+    df = spark.createDataFrame([(words, item)], "words array<long>, item array<long>")
+    assert tuple(df.select(decontaminate.overlap(F.col("words"), F.col("item"), F.lit(0)).alias("o")).first().o) == (0, 10_000, sum(w >= 0 for w in item))
