@@ -1,6 +1,7 @@
 """The numbered operators against plain Python versions of the same rules."""
 
 import math
+import random
 import re
 import string
 import zlib
