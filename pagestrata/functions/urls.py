@@ -47,11 +47,16 @@ def scheme(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#:]*)", 1))
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#]*@)?([^/?#:@]*)", 1))
+
+
+def user_info(url: Column) -> Column:
+    """What stands before the host, with its @."""
+    return F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*@)", 1)
 
 
 def port(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[A-Za-z]+://[^/?#:]*:([0-9]+)", 1)
+    return F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#]*@)?[^/?#:@]*:([0-9]+)", 1)
 
 
 def path(url: Column) -> Column:
@@ -92,14 +97,20 @@ def _join_query(base: Column, kept: Column) -> Column:
     return F.concat(base, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
+def _decoded(part: Column) -> Column:
+    """A part of a query as form data; one with a broken escape stays as it is."""
+    return F.coalesce(F.try_url_decode(part), part)
+
+
 def normalize(url: Column) -> Column:
-    """Crawl identity: no tracking parameters, the rest in stable order of key, no fragment, no trailing slash; null unless http(s)."""
-    kept = F.filter(params(url), lambda p: ~F.lower(param_key(p)).isin(*TRACKING_PARAMS))
-    keyed = F.transform(kept, lambda p, i: F.struct(param_key(p).alias("k"), i.alias("i"), p.alias("p")))
-    ordered = F.transform(F.array_sort(keyed), lambda s: s["p"])
+    """Crawl identity: no tracking parameters, the rest written as form data in stable order of key, no fragment, no trailing slash; null unless http(s)."""
+    keyed = F.transform(params(url), lambda p, i: F.struct(_decoded(param_key(p)).alias("k"), i.alias("i"), _decoded(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v")))
+    kept = F.filter(keyed, lambda s: ~F.lower(s["k"]).isin(*TRACKING_PARAMS))
+    ordered = F.transform(F.array_sort(kept), lambda s: F.concat(F.url_encode(s["k"]), F.lit("="), F.url_encode(s["v"])))
     p = path(url)
     p = F.when((F.char_length(p) > 1) & p.endswith("/"), F.regexp_replace(p, "/$", "")).otherwise(p)
-    return F.when(is_http(url), _join_query(F.concat(origin(url), p), ordered))
+    start = F.concat(scheme(url), F.lit("://"), user_info(url), host(url), non_default_port(url))
+    return F.when(is_http(url), _join_query(F.concat(start, p), ordered))
 
 
 def canonicalize(url: Column) -> Column:
@@ -193,8 +204,26 @@ def looks_print_view(url: Column) -> Column:
     return is_http(url) & (query(url).rlike(PRINT_PARAM) | path(url).rlike(PRINT_PATH))
 
 
+def without_dots(url: Column) -> Column:
+    """url with the steps . and .. of its path taken; steps above the root stay there."""
+    segments = F.split(path(url), "/")
+
+    def step(taken: Column, segment: Column) -> Column:
+        up = F.slice(taken, 1, F.greatest(F.size(taken) - 1, F.lit(0)))
+        return F.when(segment == "..", up).when(segment == ".", taken).otherwise(F.array_append(taken, segment))
+
+    taken = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"), step)
+    ends = F.when(path(url).rlike(r"/\.\.?$") & (F.size(taken) > 0), "/").otherwise("")
+    head, tail = F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]*)", 1), F.regexp_extract(url, r"([?#].*)$", 1)
+    return F.when(path(url).rlike(r"/\.\.?(/|$)"), F.concat(head, F.lit("/"), F.array_join(taken, "/"), ends, tail)).otherwise(url)
+
+
 def resolve(href: Column, base: Column) -> Column:
-    """href against base, for the usual shapes: absolute, //host, /path, ?query, #fragment and relative paths without dots."""
+    """href against base: absolute, //host, /path, ?query, #fragment and relative paths, with steps of dots taken."""
+    return without_dots(_resolved(href, base))
+
+
+def _resolved(href: Column, base: Column) -> Column:
     bare = F.regexp_replace(base, r"[?#].*$", "")
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)

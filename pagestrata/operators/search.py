@@ -1,12 +1,13 @@
 """Full-text search: prefix-AND match, column-weighted BM25 and snippets.
 
-Words of a query are ANDed; each matches tokens by prefix, in any column. Scores are
+Words are lower-cased and lose the single accents of Latin letters. Words of a query are ANDed; each matches tokens by prefix, in any column. Scores are
 negative, lower is better; document frequencies and lengths cover every active
 document, whatever filters apply later.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping
 from functools import reduce
 
@@ -18,15 +19,27 @@ SEPARATOR = r"[^\p{L}\p{N}]+"
 LIBRARY_WEIGHTS = {"title": 2, "final_url": 1, "domain": 1, "body": 1}
 
 
+#: Combining marks, which words lose, and lower-case Latin letters with one such mark, by their decompositions.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+ACCENTED = {c: d[0] for c in map(chr, range(0x80, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) == 2 and d[0].isascii() and d[0].islower() and d[1] in MARKS}
+
+
+def folded(text: Column) -> Column:
+    """text in lower case, without accents; plain text skips the table."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, "".join(ACCENTED) + MARKS, "".join(ACCENTED.values()))).otherwise(low)
+
+
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), lambda t: t != "")
+    return F.filter(F.split(folded(text), SEPARATOR), lambda t: t != "")
 
 
 def query_words(text: str) -> list[list[str]]:
     """Each word of a query as its tokens; more than one token is a phrase whose last token is a prefix."""
     import re
 
-    words = [[t for t in re.split(r"[\W_]+", w.lower()) if t] for w in text.split()]
+    fold = str.maketrans(ACCENTED | dict.fromkeys(MARKS))
+    words = [[t for t in re.split(r"[\W_]+", w.lower().translate(fold)) if t] for w in text.split()]
     return [w for w in words if w]
 
 

@@ -170,7 +170,7 @@ def post_search(spark, sf_dir):
     return search.search(views.posts(spark, sf_dir), "assist en", {"author": 1, "body": 1}).select("thread_key", "post_number", "author", F.round("score", 6).alias("score"))
 
 
-@register(r"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM documents),
+@register(r"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM documents),
 g AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_hits FROM g GROUP BY term""")
 def fts_postings(spark, sf_dir):
     """FT-02/09: term statistics of the index."""
@@ -260,6 +260,17 @@ def link_extract(spark, sf_dir):
     return views.links(spark, sf_dir).select("page_id", "pos", "href", "url")
 
 
+STEPS = f"""WITH d AS (SELECT page_id, {sql.origin('url')} AS o, string_split({sql.path('url')}, '/') AS s FROM pages), f AS (SELECT page_id, o, s[2:len(s) - 1] AS folder FROM d)
+SELECT page_id, o || '/' || array_to_string(list_concat(folder[1:len(folder) - 1], ['p' || page_id, '?x=../y']), '/') AS url FROM f"""
+
+
+@register(STEPS)
+def link_steps(spark, sf_dir):
+    """SC-U06: relative links with steps up and in place, against every page."""
+    href = F.concat(F.lit(".././p"), F.col("page_id").cast("string"), F.lit("/q/r/../../.?x=../y"))
+    return views.table(spark, sf_dir, "pages").select("page_id", urls.resolve(href, F.col("url")).alias("url"))
+
+
 @register(f"WITH {sql.LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, url, {sql.decision('url', 'page_url')} AS decision FROM links")
 def link_ladder(spark, sf_dir):
     """PF-27: the decision for every link."""

@@ -13,11 +13,11 @@ def scheme(u: str) -> str:
 
 
 def host(u: str) -> str:
-    return rf"lower(regexp_extract({u}, '^[A-Za-z]+://([^/?#:]*)', 1))"
+    return rf"lower(regexp_extract({u}, '^[A-Za-z]+://(?:[^/?#]*@)?([^/?#:@]*)', 1))"
 
 
 def port(u: str) -> str:
-    return rf"regexp_extract({u}, '^[A-Za-z]+://[^/?#:]*:([0-9]+)', 1)"
+    return rf"regexp_extract({u}, '^[A-Za-z]+://(?:[^/?#]*@)?[^/?#:@]*:([0-9]+)', 1)"
 
 
 def path(u: str) -> str:
@@ -47,7 +47,7 @@ def joined(base: str, kept: str) -> str:
 
 def normalize(u: str) -> str:
     kept = f"list_filter({params(u)}, lambda p: lower(string_split(p, '=')[1]) NOT IN ({STOP}))"
-    ordered = f"list_transform(list_sort(list_transform({kept}, lambda p, i: {{'k': string_split(p, '=')[1], 'i': i, 'p': p}})), lambda s: s.p)"
+    ordered = f"list_transform(list_sort(list_transform({kept}, lambda p, i: {{'k': string_split(p, '=')[1], 'i': i, 'p': p}})), lambda s: CASE WHEN contains(s.p, '=') THEN s.p ELSE s.p || '=' END)"
     p = f"CASE WHEN length({path(u)}) > 1 AND {path(u)} LIKE '%/' THEN regexp_replace({path(u)}, '/$', '') ELSE {path(u)} END"
     return f"CASE WHEN {is_http(u)} THEN {joined(f'{origin(u)} || {p}', ordered)} END"
 
@@ -133,7 +133,7 @@ def decision(u: str, page: str) -> str:
 
 def search(docs: str, words: list[str], weights: dict[str, int]) -> str:
     """SELECT of id and score over a relation docs."""
-    tok = lambda c: rf"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    tok = lambda c: rf"list_filter(regexp_split_to_array(lower(strip_accents({c})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
     split = ", ".join(f"{tok(c)} AS t_{c}" for c in weights)
     dl = " + ".join(f"len(t_{c})" for c in weights)
     tf = [" + ".join(f"{n} * len(list_filter(t_{c}, lambda t: starts_with(t, '{w}')))" for c, n in weights.items()) for w in words]
@@ -147,7 +147,7 @@ found AS (SELECT counted.*, 0.0{score} AS score FROM counted, stats WHERE {match
 
 
 def has_prefix(c: str, prefix: str) -> str:
-    return rf"len(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda t: starts_with(t, '{prefix}'))) > 0"
+    return rf"len(list_filter(regexp_split_to_array(lower(strip_accents({c})), '[^\p{{L}}\p{{N}}]+'), lambda t: starts_with(t, '{prefix}'))) > 0"
 
 
 def snippet(c: str, prefix: str, width: int, before: str = "", after: str = "") -> str:
