@@ -39,11 +39,11 @@ def file_size(n: Column) -> Column:
     return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, unit(10, " KB")).when(n < 1 << 30, unit(20, " MB")).otherwise(unit(30, " GB"))
 
 
-def archive_filename(title: Column, host: Column) -> Column:
+def archive_filename(title: Column, host: Column, suffix: str = ".archive.zip") -> Column:
     """A file name of a title, or of the host where the title is empty."""
     base = F.when(F.coalesce(title, F.lit("")) == "", F.when(host == "", "website").otherwise(host)).otherwise(title)
     short = F.substring(F.trim(F.regexp_replace(base, UNSAFE_IN_NAMES, "-")), 1, 80)
-    return F.concat(F.when(short == "", host).otherwise(short), F.lit(".sitearchive"))
+    return F.concat(F.when(short == "", host).otherwise(short), F.lit(suffix))
 
 
 def component(text: Column) -> Column:

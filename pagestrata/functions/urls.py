@@ -137,7 +137,8 @@ def leading_segment(url: Column) -> Column:
 
 
 def redact(url: Column) -> Column:
-    return F.when(is_http(url), F.concat(scheme(url), F.lit("://"), host(url))).otherwise("")
+    """Scheme, host and port other than the default; a mark in place of what is no http URL."""
+    return F.when(is_http(url), origin(url)).otherwise("[unparsable-url]")
 
 
 def in_scope(url: Column, start: Column, domains: Sequence[str] = ()) -> Column:
@@ -192,6 +193,14 @@ def looks_pagination(url: Column, text: Column | None = None) -> Column:
     return is_http(url) & (by_url | by_text)
 
 
+def is_document(url: Column) -> Column:
+    return extension(url).isin(*DOCUMENT_EXTENSIONS)
+
+
+def is_media(url: Column) -> Column:
+    return extension(url).isin(*MEDIA_EXTENSIONS)
+
+
 def looks_attachment(url: Column) -> Column:
     return is_http(url) & (extension(url).isin(*DOCUMENT_EXTENSIONS) | path(url).rlike(ATTACHMENT_PATH) | query(url).rlike(ATTACHMENT_PARAM))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def within_budget(pages: DataFrame, max_pages: int, max_bytes: float) -> DataFrame:
-    """Per capture (pages: archive_id, seq, size): the pages taken before a bound is reached, their bytes and what stopped it.
+    """Per capture (pages: archive_id, seq, size): the pages taken before a bound is reached, their bytes, what stopped it and the queue left then.
 
     A bound is tested before each page, bytes first, so the last page may cross the byte bound; null: all pages fitted.
     """
@@ -20,9 +20,17 @@ def within_budget(pages: DataFrame, max_pages: int, max_bytes: float) -> DataFra
         F.count_if(F.col("why").isNull()).alias("n_pages"),
         F.coalesce(F.sum(F.when(F.col("why").isNull(), F.col("size"))), F.lit(0)).alias("n_bytes"),
         F.min_by("why", F.when(F.col("why").isNotNull(), F.col("seq"))).alias("stopped_by"),
+        F.count_if(F.col("why").isNotNull()).alias("n_left"),
     )
 
 
+def numbered_on(new: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
+    """new pages (thread_key, ...) with page_index, going on from the highest one of known pages (thread_key, page_index) of their thread."""
+    highest = known.groupBy("thread_key").agg(F.max(F.when(F.col("page_index") > 0, F.col("page_index"))).alias("_highest"))
+    place = F.row_number().over(Window.partitionBy("thread_key").orderBy(*order))
+    return new.join(highest, "thread_key", "left").withColumn("page_index", F.coalesce("_highest", F.lit(0)) + place).drop("_highest")
+
+
 def retry_depth(failures: DataFrame, pages: DataFrame) -> DataFrame:
     """failures (norm, discovered_on) with depth: one below the page (norm, depth) that led there, 0 where that is unknown."""
     parents = pages.groupBy(F.col("norm").alias("discovered_on")).agg(F.min("depth").alias("_depth"))

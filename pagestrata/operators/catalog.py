@@ -7,8 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagestrata.operators import search
+
 OLDEST_CONSIDERED = 10_000
-MAX_PAGE = 500
+MAX_PAGE, MAX_SEARCH, MAX_DOMAIN = 500, 512, 255
+SORTS = ("newest", "oldest", "domain", "size")
+STATUSES = ("success", "failed", "skipped-excluded", "skipped-private", "skipped-non-http")
 
 
 def sort_columns(mode: str) -> list[Column]:
@@ -18,8 +22,12 @@ def sort_columns(mode: str) -> list[Column]:
 
 @dataclass(frozen=True)
 class LibraryQuery:
-    """A page of the library. Date bounds are inclusive and compared as text; limit is at most MAX_PAGE."""
+    """A page of the library. Date bounds are inclusive and compared as text; limit is at most MAX_PAGE.
+
+    A search that is blank is none. With one, rows match it, carry score and snippet, and come best first, whatever the sort.
+    """
 
+    search: str | None = None
     domain: str | None = None
     status: str | None = None
     date_from: str | None = None
@@ -28,17 +36,37 @@ class LibraryQuery:
     limit: int = 50
     offset: int = 0
 
+    def __post_init__(self) -> None:
+        faults = {
+            "search": len(self.search or "") > MAX_SEARCH,
+            "domain": len(self.domain or "") > MAX_DOMAIN,
+            "status": self.status is not None and self.status not in STATUSES,
+            "sort": self.sort not in SORTS,
+            "limit": not 1 <= self.limit <= MAX_PAGE,
+            "offset": self.offset < 0,
+        }
+        if any(faults.values()):
+            raise ValueError("out of bounds: " + ", ".join(k for k, bad in faults.items() if bad))
+
+    @property
+    def searching(self) -> bool:
+        return bool((self.search or "").strip())
+
     def filtered(self, archives: DataFrame) -> DataFrame:
         out = archives.where(~F.col("deleted"))
+        if self.searching:
+            out = search.search(out, self.search)
         for column, op, value in (("domain", "__eq__", self.domain), ("status", "__eq__", self.status), ("visited_at", "__ge__", self.date_from), ("visited_at", "__le__", self.date_to)):
             if value is not None:
                 out = out.where(getattr(F.col(column), op)(value))
         return out
 
     def page(self, archives: DataFrame) -> DataFrame:
-        if not 1 <= self.limit <= MAX_PAGE or self.offset < 0:
-            raise ValueError("limit must be 1 to 500 and offset not negative")
-        return self.filtered(archives).orderBy(*sort_columns(self.sort)).offset(self.offset).limit(self.limit)
+        found = self.filtered(archives)
+        if not self.searching:
+            return found.withColumn("snippet", F.lit(None).cast("string")).orderBy(*sort_columns(self.sort)).offset(self.offset).limit(self.limit)
+        best = found.orderBy(F.round("score", 9), "id").offset(self.offset).limit(self.limit)
+        return best.withColumn("snippet", search.best_snippet([F.col(c) for c in search.LIBRARY_WEIGHTS], search.query_words(self.search)))
 
 
 def versions(archives: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,37 @@ def ladder(links: DataFrame, forum: bool = False, domains: tuple[str, ...] = ())
     return links.withColumn("decision", decision)
 
 
+@dataclass(frozen=True)
+class ResourceScope:
+    """What a capture fetches beside pages; the external_images switch counts in forum captures alone."""
+
+    start_url: str
+    media: bool = True
+    documents: bool = True
+    attachments: bool = True
+    external_images: bool = True
+    forum: bool = False
+
+
+def selected_resources(resources: DataFrame, scope: ResourceScope) -> DataFrame:
+    """The resources (page_id, pos, url, kind) that a capture fetches: the first of each URL of a page, then the switches.
+
+    As repeats go before the switches apply, a URL whose first mention is left out isn't fetched for a later one.
+    """
+    url, kind = F.col("url"), F.col("kind")
+    first = resources.groupBy("page_id", "url").agg(F.min_by(F.struct(*resources.columns), "pos").alias("r")).select("r.*")
+    kept = first.where(urls.is_http(url))
+    if not scope.media:
+        kept = kept.where((kind != "media") & ~urls.is_media(url))
+    if not scope.documents:
+        kept = kept.where(~urls.is_document(url))
+    if not scope.attachments:
+        kept = kept.where(kind != "attachment")
+    if scope.forum and not scope.external_images:
+        kept = kept.where((kind != "image") | urls.origin(url).eqNullSafe(urls.origin(F.lit(scope.start_url))))
+    return kept
+
+
 def first_per_url(rows: DataFrame, order: list[str]) -> DataFrame:
     """The first row per normalised URL; partial minima keep a frequent URL from being one task."""
     key = F.coalesce(urls.normalize(F.col("url")), F.col("url")).alias("_key")

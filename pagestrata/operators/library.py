@@ -12,9 +12,10 @@ from pagestrata.functions import urls
 from pagestrata.operators import catalog
 
 # Statuses that an import accepts, identifiers, and limits of a capture's scope.
-STATUSES = ("success", "failed", "skipped-excluded", "skipped-private", "skipped-non-http")
+STATUSES = catalog.STATUSES
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 MAX_DEPTH, MAX_PAGES, MAX_BYTES, MAX_CONCURRENCY, MAX_DELAY_MS, MAX_LISTED = 25, 50_000, 64 * 1024**3, 6, 10_000, 100
+MAX_TITLE, MAX_TAGS, MAX_TAG = 500, 32, 64
 SOFT_DEPTH, SOFT_PAGES, SOFT_BYTES = 5, 200, 512 * 1024**2
 CAPTURE_WIDTH, CAPTURE_HEIGHT, TEXTURE, DEVICE_PIXELS = 2_400, 12_000, 16_000, 32_000_000
 
@@ -65,6 +66,20 @@ def changed(archives: DataFrame, changes: DataFrame) -> DataFrame:
     return both.select(*[to[c].alias(c) if c in to else c for c in archives.columns])
 
 
+def utf16_length(text: Column) -> Column:
+    """The length in units of UTF-16, in which the limits of requests are stated."""
+    return F.char_length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def change_fault(title: Column, tags: Column) -> Column:
+    """The first limit that a change of title and tags breaks; null where it is valid. Nulls change nothing and are valid."""
+    return (
+        F.when(utf16_length(title) > MAX_TITLE, "title-too-long")
+        .when(F.size(tags) > MAX_TAGS, "too-many-tags")
+        .when(F.exists(tags, lambda t: utf16_length(t) > MAX_TAG), "tag-too-long")
+    )
+
+
 def indexed(archives: DataFrame) -> DataFrame:
     """What full-text search indexes: active rows only, with the body if it is known."""
     return archives.where(~F.col("deleted")).select("id", "title", "final_url", "domain", F.coalesce("body", F.lit("")).alias("body"))

@@ -8,7 +8,7 @@ document, whatever filters apply later.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,13 +43,21 @@ def query_words(text: str) -> list[list[str]]:
     return [w for w in words if w]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, computed once: as a lambda's variable it isn't repeated wherever body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hits(column: Column, phrase: list[str]) -> Column:
     """How often a phrase occurs in an array of tokens, its last token as a prefix."""
     if len(phrase) == 1:
         return F.size(F.filter(column, lambda t: t.startswith(phrase[0])))
-    starts = F.transform(column, lambda t, i: i)
-    here = lambda i: reduce(lambda a, b: a & b, [F.get(column, i + k) == w for k, w in enumerate(phrase[:-1])], F.get(column, i + len(phrase) - 1).startswith(phrase[-1]))
-    return F.size(F.filter(starts, lambda i: F.coalesce(here(i), F.lit(False))))
+
+    def here(ts: Column, t: Column, i: Column) -> Column:
+        inner = [F.get(ts, i + k) == w for k, w in enumerate(phrase[1:-1], 1)]
+        return reduce(lambda a, b: a & b, [t == phrase[0], *inner, F.coalesce(F.get(ts, i + len(phrase) - 1).startswith(phrase[-1]), F.lit(False))])
+
+    return bound(column, lambda ts: F.size(F.filter(ts, lambda t, i: here(ts, t, i))))
 
 
 def search(docs: DataFrame, text: str, weights: Mapping[str, int] = LIBRARY_WEIGHTS) -> DataFrame:
@@ -81,6 +89,36 @@ def snippet(text: Column, phrase: list[str], width: int = 10, marks: tuple[str,
     return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(window, " "), F.when(F.size(words) > start + width, "…").otherwise(""))
 
 
+def best_snippet(columns: list[Column], words: list[list[str]], width: int = 10, marks: tuple[str, str] = ("\x01", "\x02")) -> Column:
+    """The window of width words that hits most of the query's words, over all columns, its hits marked.
+
+    Windows start at hits; the earlier window wins a tie, and the earlier column over a later one. A phrase is
+    found by its first token. Null where nothing is hit.
+    """
+
+    def mask(word: Column) -> Column:
+        return bound(tokens(word), lambda ts: reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.exists(ts, lambda t: t.startswith(w[0])), 1 << i).otherwise(0) for i, w in enumerate(words)]))
+
+    def window(column: Column, place: int) -> Column:
+        parts = F.filter(F.split(F.coalesce(column, F.lit("")), r"\s+"), lambda w: w != "")
+        pairs = F.transform(parts, lambda w: F.struct(w.alias("word"), mask(w).alias("hit")))
+
+        def best(ps: Column) -> Column:
+            starts = F.filter(F.transform(ps, lambda p, i: F.when(p["hit"] > 0, i)), lambda i: i.isNotNull())
+            seen = lambda i: F.bit_count(F.aggregate(F.slice(ps, i + 1, width), F.lit(0), lambda acc, p: acc.bitwiseOR(p["hit"])))
+            top = F.array_max(F.transform(starts, lambda i: F.struct(seen(i).alias("n"), (-i).alias("minus"))))
+            return bound(top, lambda t: F.struct(t["n"].alias("n"), F.lit(-place).alias("minus"), shown(ps, -t["minus"]).alias("text")))
+
+        return bound(pairs, best)
+
+    def shown(ps: Column, start: Column) -> Column:
+        marked = F.transform(F.slice(ps, start + 1, width), lambda p: F.when(p["hit"] > 0, F.concat(F.lit(marks[0]), p["word"], F.lit(marks[1]))).otherwise(p["word"]))
+        return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(marked, " "), F.when(F.size(ps) > start + width, "…").otherwise(""))
+
+    found = F.filter(F.array(*[window(c, i) for i, c in enumerate(columns)]), lambda x: x["n"].isNotNull())
+    return F.array_max(found)["text"]
+
+
 def postings(docs: DataFrame, key: str, column: str) -> DataFrame:
     """(term, n_docs, n_hits): the term statistics of an inverted index."""
     exploded = docs.select(key, F.explode(tokens(F.col(column))).alias("term"))

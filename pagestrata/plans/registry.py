@@ -517,7 +517,7 @@ TAKEN = f"{sql.JOURNAL}, taken AS (SELECT archive_id, seq, CAST(round(value * 10
 
 @register(f"""WITH {TAKEN}, b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY archive_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
   row_number() OVER (PARTITION BY archive_id ORDER BY seq) - 1 AS done FROM taken), w AS (SELECT *, CASE WHEN before >= 10000 THEN 'bytes' WHEN done >= 3 THEN 'pages' END AS why FROM b)
-SELECT archive_id, count(*) FILTER (why IS NULL) AS n_pages, CAST(coalesce(sum(size) FILTER (why IS NULL), 0) AS BIGINT) AS n_bytes, arg_min(why, seq) FILTER (why IS NOT NULL) AS stopped_by FROM w GROUP BY archive_id""")
+SELECT archive_id, count(*) FILTER (why IS NULL) AS n_pages, CAST(coalesce(sum(size) FILTER (why IS NULL), 0) AS BIGINT) AS n_bytes, arg_min(why, seq) FILTER (why IS NOT NULL) AS stopped_by, count(*) FILTER (why IS NOT NULL) AS n_left FROM w GROUP BY archive_id""")
 def page_budget(spark, sf_dir):
     """WN-13, ST-10: what a capture takes before its budget is used up."""
     pages = views.journal(spark, sf_dir).where("t = 'page'").select("archive_id", "seq", F.round(F.col("value") * 100).cast("long").alias("size"))
@@ -563,7 +563,7 @@ NAMED = "CASE WHEN page_id % 9 = 4 THEN '' ELSE {t} END"
 
 
 @register(rf"""WITH p AS (SELECT page_id, url, {NAMED.format(t=sql.title('html'))} AS t, {sql.host('url')} AS h, length(html) * CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1024 ELSE 1048576 END AS n FROM pages)
-SELECT page_id, left(trim(regexp_replace(CASE WHEN t = '' THEN h ELSE t END, '[/\\?%*:|"<>]', '-', 'g')), 80) || '.sitearchive' AS filename,
+SELECT page_id, left(trim(regexp_replace(CASE WHEN t = '' THEN h ELSE t END, '[/\\?%*:|"<>]', '-', 'g')), 80) || '.archive.zip' AS filename,
 CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', round(n / 1024.0, 1)) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', round(n / 1048576.0, 1)) || ' MB' ELSE printf('%.1f', round(n / 1073741824.0, 1)) || ' GB' END AS size,
 regexp_matches(url, '{text.SENSITIVE_URL}') AS sensitive FROM p""")
 def page_labels(spark, sf_dir):
@@ -584,4 +584,4 @@ def address_bar(spark, sf_dir):
     return views.table(spark, sf_dir, "pages").select("page_id", text.address(typed, "https://s.example/?q=%s").alias("target"))
 
 
-from pagestrata.plans import archive_queries  # noqa: E402, F401
+from pagestrata.plans import archive_queries, selection_queries  # noqa: E402, F401

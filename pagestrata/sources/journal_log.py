@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagestrata.functions import urls
+
 RECORD = "archive_id long, seq long, t string, norm string, value double"
 
 
@@ -20,3 +22,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     bad = F.col("_bad").isNotNull() | F.col("archive_id").isNull() | F.col("t").isNull()
     fields = [F.when(~bad, F.col(c)).alias(c) for c in ("archive_id", "seq", "t", "norm", "value")]
     return rows.select(*fields, bad.alias("malformed"))
+
+
+def log(entries: DataFrame, path: str, diagnostic: bool = False) -> None:
+    """Append log entries (ts, level, message, url and others) as JSON lines; URLs lose all but scheme and host unless diagnostic."""
+    shown = entries if diagnostic else entries.withColumn("url", urls.redact(F.col("url")))
+    append(shown, path)
+
+
+def read_log(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """Log entries with the given fields, as a DDL string; lines that are no entry have nulls."""
+    return spark.read.text(path).select(F.from_json("value", fields).alias("r")).select("r.*")

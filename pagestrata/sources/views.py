@@ -52,6 +52,15 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("url", urls.resolve(F.col("href"), F.col("page_url")))
 
 
+def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per thing that decorated pages load, in order, then their anchors that download or look like attachments."""
+    pages = decorated_pages(spark, sf_dir)
+    found = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(forms.resources(F.col("html"))).alias("pos", "r"))
+    loaded = found.select("page_id", "pos", urls.resolve(F.col("r.href"), F.col("page_url")).alias("url"), F.col("r.kind").alias("kind"))
+    attached = anchors(spark, sf_dir).where(F.col("download") | urls.looks_attachment(F.col("url")))
+    return loaded.unionByName(attached.select("page_id", (F.col("pos") + F.lit(1 << 20)).alias("pos"), "url", F.lit("attachment").alias("kind")))
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per anchor: page, position, href and the URL that it resolves to."""
     pages = table(spark, sf_dir, "pages")

@@ -95,4 +95,4 @@ def test_pagination_hops_are_bounded_per_thread(spark):
 def test_budget_tests_bytes_before_pages(spark):
     rows = [(1, 1, 60), (1, 2, 60), (1, 3, 60), (2, 1, 1), (2, 2, 1), (2, 3, 1), (3, 1, 1)]
     found = budget.within_budget(spark.createDataFrame(rows, "archive_id long, seq long, size long"), 2, 100)
-    assert {tuple(r) for r in found.collect()} == {(1, 2, 120, "bytes"), (2, 2, 2, "pages"), (3, 1, 1, None)}
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 120, "bytes", 1), (2, 2, 2, "pages", 1), (3, 1, 1, None, 0)}

@@ -37,7 +37,7 @@ def test_user_info_is_no_host(spark):
     url = "https://a.example:secret@b.example:8443/x"
     assert one(spark, urls.host, url) == "b.example"
     assert one(spark, urls.origin, url) == "https://b.example:8443"
-    assert one(spark, urls.redact, url) == "https://b.example"
+    assert one(spark, urls.redact, url) == "https://b.example:8443"
     assert one(spark, urls.path, "https://b.example/@you") == "/@you"
 
 
