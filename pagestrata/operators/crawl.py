@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions import urls
 
-MAX_FAILURES, MAX_SKIPS_PER_KIND, MAX_PAGINATION_HOPS = 5000, 500, 500
+MAX_FAILURES, MAX_SKIPS_PER_KIND, MAX_PAGINATION_HOPS, MAX_DISCOVERED = 5000, 500, 500, 50_000
 # Failure kinds that a retry attempts again.
 RETRYABLE = ("fetch-failed", "http-error", "timeout", "too-large", "redirect-loop", "render-process-gone", "render-failed", "serialize-failed", "disk-full", "interrupted")
 
@@ -68,6 +68,21 @@ def first_per_url(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
 
 
+def until_full(decided: DataFrame, known: DataFrame, order: list[str], bound: int = MAX_DISCOVERED) -> DataFrame:
+    """decided links (url, decision, ...) up to the one that fills the crawl; those after it are not looked at.
+
+    Each URL that is enqueued for the first time, and is none of known (norm, one row each), fills one of bound places.
+    decided is read twice; settle it first where its decisions are costly.
+    """
+    left = bound - known.count()
+    if left <= 0:
+        return decided.limit(0)
+    norm = F.coalesce(urls.normalize(F.col("url")), F.col("url"))
+    fresh = first_per_url(decided.where("decision = 'enqueue'"), order).withColumn("norm", norm).join(known.select("norm"), "norm", "left_anti")
+    full = fresh.orderBy(*order).limit(left).agg(F.count("*").alias("_n"), F.max(F.struct(*order)).alias("_last"))
+    return decided.join(F.broadcast(full)).where((F.col("_n") < left) | (F.struct(*order) <= F.col("_last"))).select(*decided.columns)
+
+
 def fair_order(items: DataFrame, bucket: str, order: list[str]) -> DataFrame:
     """items with turn: buckets take turns, in order of their first item, one item a turn.
 

@@ -9,7 +9,7 @@ from pagestrata.operators import budget, catalog, crawl, library, search
 from pagestrata.plans import sql
 from pagestrata.plans.registry import ACTIVE, BOTH_WORDS, PAGE_WEIGHTS, active, register
 from pagestrata.sources import journal_log, views
-from pagestrata.sources.tables import new_path
+from pagestrata.sources.tables import new_path, settle
 
 START = "https://m.ththth.example.net/"
 SCOPES = {
@@ -38,6 +38,22 @@ def resource_selection(spark, sf_dir):
     return out
 
 
+PLACES = 200
+
+
+@register(f"""WITH {sql.LINKS}, d AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, url, {sql.decision('url', 'page_url')} AS decision, {sql.normalize('url')} AS norm FROM links),
+starts AS (SELECT min(url) AS url FROM pages GROUP BY coalesce(list_filter(string_split({sql.path('url')}, '/'), lambda s: s <> '')[1], '')), known AS (SELECT DISTINCT {sql.normalize('url')} AS norm FROM starts),
+fresh AS (SELECT norm, min((page_id, pos)) AS spot FROM d WHERE decision = 'enqueue' AND norm NOT IN (SELECT norm FROM known) GROUP BY norm),
+ranked AS (SELECT spot, row_number() OVER (ORDER BY spot) AS place FROM fresh), final AS (SELECT max(spot) AS spot FROM ranked WHERE place = {PLACES} - (SELECT count(*) FROM known))
+SELECT page_id, pos, url, decision FROM d, final WHERE {PLACES} > (SELECT count(*) FROM known) AND (final.spot IS NULL OR (page_id, pos) <= final.spot)""")
+def ladder_until_full(spark, sf_dir):
+    """PF-27, JN-13, ST-10: decisions up to the link that fills the last place of a crawl, which starts from a page of each section."""
+    starts = views.table(spark, sf_dir, "pages").groupBy(urls.leading_segment(F.col("url"))).agg(F.min("url").alias("url"))
+    known = starts.select(urls.normalize(F.col("url")).alias("norm")).distinct()
+    decided = settle(crawl.ladder(views.links(spark, sf_dir)).select("page_id", "pos", "url", "decision"))
+    return crawl.until_full(decided, known, ["page_id", "pos"], PLACES)
+
+
 # Search
 
 FOUND = catalog.LibraryQuery(search=" ".join(BOTH_WORDS), status="success", sort="size", limit=500)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagestrata.functions import text, urls
+from pagestrata.functions import html, text, urls
 from pagestrata.operators import budget, catalog, crawl, library, search
 from pagestrata.sources import journal_log
 from pagestrata.sources.tables import new_path
@@ -97,3 +97,19 @@ def test_file_names_take_any_suffix(spark):
     row = spark.createDataFrame([("A/B", "h.example"), ("", "h.example")], "t string, h string")
     assert [r[0] for r in row.select(text.archive_filename(F.col("t"), F.col("h"), ".zip")).collect()] == ["A-B.zip", "h.example.zip"]
     assert row.select(urls.is_media(F.lit("https://h.example/x.MP4"))).first()[0]
+
+
+def test_a_full_crawl_looks_at_no_more_links(spark):
+    rows = [(1, "drop", "x"), (2, "enqueue", "a"), (3, "enqueue", "a"), (4, "enqueue", "known"), (5, "skipped-trap", "t"), (6, "enqueue", "b"), (7, "skipped-trap", "u"), (8, "enqueue", "c")]
+    links = spark.createDataFrame(rows, "seq int, decision string, url string").withColumn("url", F.concat(F.lit("https://h.example/"), "url"))
+    known = spark.createDataFrame([("https://h.example/known",)], "norm string")
+    seen = lambda bound: sorted(r.seq for r in crawl.until_full(links, known, ["seq"], bound).collect())
+    assert seen(1) == []
+    assert seen(2) == [1, 2]
+    assert seen(3) == [1, 2, 3, 4, 5, 6]
+    assert seen(9) == [r[0] for r in rows]
+
+
+def test_page_text_is_the_body_without_typed_words(spark):
+    page = "<html><head><title>T</title></head><body><header>H</header><textarea name=x>typed</textarea><script>s</script>b</body></html>"
+    assert spark.range(1).select(html.text(F.lit(page))).first()[0] == "H b"
