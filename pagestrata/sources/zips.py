@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ ENTRIES = pa.schema([("zip", pa.string()), ("path", pa.string()), ("content", pa
 def zipped(files: DataFrame, limit: int = ZIP_BYTES) -> DataFrame:
     """files (path, content binary) as zips (content, n_entries), each closed once limit bytes are in; null content is empty.
 
-    Every task fills its own zips, so nothing is shuffled.
+    Every task fills its own zips, so nothing is shuffled. Content that would shrink so far that readers refuse it is stored as it is.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +36,7 @@ def zipped(files: DataFrame, limit: int = ZIP_BYTES) -> DataFrame:
                     buffer, held = io.BytesIO(), 0
                     out = zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED)
                 data = content.as_py() or b""
-                out.writestr(path.as_py(), data)
+                out.writestr(path.as_py(), data, zipfile.ZIP_STORED if shrinks_too_far(data) else None)
                 held += len(data)
                 if held >= limit:
                     yield close()
@@ -46,6 +47,11 @@ def zipped(files: DataFrame, limit: int = ZIP_BYTES) -> DataFrame:
     return files.select("path", "content").mapInArrow(write, "content binary, n_entries long")
 
 
+def shrinks_too_far(data: bytes) -> bool:
+    # a zlib stream has six bytes around what a zip's entry holds
+    return len(data) > RATIO_FROM_BYTES and len(data) > MAX_RATIO * (len(zlib.compress(data)) - 6)
+
+
 def safe_name(name: str) -> bool:
     """A relative path that stays inside its container."""
     plain = name.replace("\\", "/")
@@ -66,7 +72,7 @@ def refusal(infos: list[zipfile.ZipInfo]) -> str | None:
 
 
 def entries(zips: DataFrame) -> DataFrame:
-    """(zip, path, content, error) of zips (zip, content): one row per entry, or one row with an error for a zip that is refused."""
+    """(zip, path, content, error) of zips (zip, content): one row per entry, with an error if it is damaged or locked, or one row with an error for a zip that is refused."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(*values) -> pa.RecordBatch:
@@ -83,10 +89,13 @@ def entries(zips: DataFrame) -> DataFrame:
                             yield row(own, None, None, error)
                             continue
                         for info in infos:
-                            with opened.open(info) as entry:
-                                data = entry.read(MAX_ENTRY_BYTES + 1)
-                            yield row(own, info.filename, data, None)
-                except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
+                            try:
+                                with opened.open(info) as entry:
+                                    data, fault = entry.read(MAX_ENTRY_BYTES + 1), None
+                            except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError):
+                                data, fault = None, "unreadable-entry"
+                            yield row(own, info.filename, data, fault)
+                except zipfile.BadZipFile:
                     yield row(own, None, None, "not-a-zip")
 
     return zips.select("zip", "content").mapInArrow(read, "zip string, path string, content binary, error string")

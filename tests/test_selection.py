@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions import html, text, urls
 from pagestrata.operators import budget, catalog, crawl, library, search
-from pagestrata.sources import journal_log
+from pagestrata.sources import journal_log, zips
 from pagestrata.sources.tables import new_path
 
 START = "https://f.example/"
@@ -113,3 +113,12 @@ def test_a_full_crawl_looks_at_no_more_links(spark):
 def test_page_text_is_the_body_without_typed_words(spark):
     page = "<html><head><title>T</title></head><body><header>H</header><textarea name=x>typed</textarea><script>s</script>b</body></html>"
     assert spark.range(1).select(html.text(F.lit(page))).first()[0] == "H b"
+
+
+def test_zips_hold_what_shrinks_far_and_tell_damaged_entries(spark):
+    word = b"same " * 600_000
+    files = spark.createDataFrame([("long", word), ("short", b"x")], "path string, content binary").coalesce(1)
+    made = zips.zipped(files).collect()
+    rows = [("whole", made[0]["content"]), ("damaged", made[0]["content"].replace(b"same same", b"lame same", 1))]
+    found = {(r.zip, r.path): (r.error, bytes(r.content or b"")) for r in zips.entries(spark.createDataFrame(rows, "zip string, content binary")).collect()}
+    assert found == {("whole", "long"): (None, word), ("whole", "short"): (None, b"x"), ("damaged", "long"): ("unreadable-entry", b""), ("damaged", "short"): (None, b"x")}
