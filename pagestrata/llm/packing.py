@@ -8,8 +8,9 @@ window, which a segment tree over remaining capacities finds in logarithmic time
 Full windows have shards of their own, counted alike, so no shard grows with the input.
 
 Ids come from the rank file of the byte-level vocabulary, which gives the ids of
-the JSON file of the same vocabulary (tests compare both) at a third of the cost;
-a .json path is read by the tokenizers library instead.
+the JSON file of the same vocabulary (tests compare both) at a third of the cost,
+and for long texts from the JSON file itself (llm/encoding.py); a .json path is read
+by the tokenizers library throughout.
 
 Defined cases: null text is empty, an empty document is its end id alone; rows
 without doc_id are packed like others; repeated rows are packed each; pieces of equal
@@ -20,17 +21,15 @@ read.
 
 from __future__ import annotations
 
-import base64
-import functools
-import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagestrata.llm.encoding import encoder, vocabulary
 from pagestrata.llm.tables import settle
 
 WINDOW = 2048
@@ -42,34 +41,9 @@ PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_c
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def default_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[list[str]], list]:
-    if path.endswith(".json"):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        read = Tokenizer.from_file(path)
-        return lambda texts: [x.ids for x in read.encode_batch(texts, add_special_tokens=False)]
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    special = {"<|endoftext|>": 50256}
-    bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    allowed = set(special)
-    return lambda texts: [bpe.encode(x, allowed_special=allowed, disallowed_special=()) for x in texts]
-
-
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list]]:
     """(doc_ids, ids with the end id) in runs of about BATCH_CHARS."""
-    encode = encoder(path)
+    encode = encoder(path, special=True)
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         at = 0
@@ -150,7 +124,7 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece with its sequence and offset; sequence_id is shard * 2**32 + number in the shard."""
-    pieces = settle(pieces_of(docs, path or default_vocabulary(), window))
+    pieces = settle(pieces_of(docs, path or vocabulary("byte_bpe_50k.tiktoken"), window))
     n = pieces.agg(F.count_if(F.col("length") == window).alias("full"), F.count_if(F.col("length") < window).alias("rest")).first()
     shards, more = (1 + n[c] // PIECES_PER_SHARD for c in ("rest", "full"))
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagestrata.llm import decontaminate, language_id, line_dedup, ngram_table, packing, quality_model, queries, secret_scan, substring_dedup, vector_topk
+from pagestrata.llm import decontaminate, encoding, language_id, line_dedup, ngram_table, packing, quality_model, queries, secret_scan, substring_dedup, vector_topk
 from pagestrata.llm.tables import table
 
 CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _id string, _dropped string, _kept string, n_lines string, n_dropped string, kept_text string, _kind string, kind string, trusted string, component string, row string"
@@ -251,7 +251,21 @@ def test_ids_equal_the_named_tokenizer():
     parts = ["a", " ", "  ", "\n", "\r\n", "\t", "é", "日本", "😀", "'s", "'LL", "1234", "<|endoftext|>", "<|im_end|>", "\x00", " ", " ", "ß", "ﬁ", "é", "--", "==", "word", " Word", "𐐀", "​"]
     texts = ["".join(rng.choice(parts, int(rng.integers(0, 30)))) for _ in range(3000)]
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    assert [list(x) for x in packing.encoder(packing.default_vocabulary())(texts)] == [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [list(x) for x in encoding.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), special=True)(texts)] == [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+    tok.encode_special_tokens = True
+    assert [list(x) for x in encoding.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))(texts)] == [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\u00a0", "a", " \t", "é"])
+def test_ids_of_long_unbroken_texts(spark, unit):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = unit * (2_000_000 // len(unit))
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = np.array([*tok.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4")
+    out = packing.pack(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")).where("doc_id = 1").orderBy("start").collect()
+    assert [(r.start, r.ids_crc32) for r in out] == [(k, zlib.crc32(ids[k : k + packing.WINDOW].tobytes())) for k in range(0, len(ids), packing.WINDOW)]
 
 
 def test_best_fit_equals_a_search_of_all_windows():
