@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import chat_format, decontaminate, language_id, line_dedup, minhash_dedup, packing, quality_model, secret_scan, substring_dedup, vector_topk
+from pagestrata.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, packing, periodic_runs, quality_model, secret_scan, substring_dedup, token_alignment, vector_topk
 from pagestrata.llm.tables import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -70,7 +70,40 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_decontaminate, op4_minhash_dedup, op5_language_id, op6_vector_topk, op7_packing, op8_quality_model, op9_chat_format, op10_line_dedup)}
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """docs whose words from the a-th on repeat with a period, for one doc_id in ten; a and the period follow from crc32(doc_id)."""
+    h, n = F.crc32(F.col("doc_id").cast("string")), F.size("_words")
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), exact_dedup.WHITE), lambda w: w != "")
+    a = (g % n).cast("int")
+    period = (1 + F.floor((n - F.col("_a")) / (3 + g % 8))).cast("int")
+    repeated = F.transform("_words", lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get("_words", F.col("_a") + (i - F.col("_a")) % F.col("_p"))))
+    planted = docs.select("doc_id", "text", F.when((h % 10 == 0), words).alias("_words")).withColumn("_a", F.when(n > 0, a)).withColumn("_p", period)
+    return planted.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_periods(table(spark, sf_dir, "documents"))).withColumn("best", periodic_runs.best_run(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_decontaminate, op4_minhash_dedup, op5_language_id, op6_vector_topk, op7_packing, op8_quality_model, op9_chat_format, op10_line_dedup, op11_periodic_runs, op12_exact_dedup, op13_token_alignment)}
 
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -110,4 +143,8 @@ m AS (SELECT k.doc_id, k.line, k.pos, h.keeper IS NOT NULL AND h.keeper <> k.doc
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op12_exact_dedup": r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+c AS (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) AS nth FROM n)
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(t) AS text_sha256 FROM c""",
 }
