@@ -32,6 +32,8 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 MIN_WORDS = 13
 MIN_EQUAL = 0.8
 BROADCAST_IDS = 2_000_000
+#: Places summed at a time along a diagonal.
+BLOCK = 64
 
 
 def words_of(text: Column) -> Column:
@@ -63,18 +65,49 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     return hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
+def running_sums(same: Column, min_equal: float) -> Column:
+    """(equal, low) before the first and after each place of same (1: equal words, 0: others).
+
+    equal: equal words up to there; low: the least surplus (equal words less min_equal a
+    word) up to there. Arrays grow within a block of BLOCK places and from block to block,
+    so that a long text doesn't copy its sums for each word.
+    """
+    n = F.size(same)
+    zero = F.struct(F.array().cast("array<int>").alias("equal"), F.array().cast("array<double>").alias("low"))
+
+    def step(acc: Column, hit: Column) -> Column:
+        equal = F.coalesce(F.try_element_at(acc["equal"], F.lit(-1)), F.lit(0)) + hit
+        surplus = equal - min_equal * (F.size(acc["equal"]) + 1)
+        return F.struct(F.array_append(acc["equal"], equal).alias("equal"), F.array_append(acc["low"], F.least(F.try_element_at(acc["low"], F.lit(-1)), surplus)).alias("low"))
+
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(starts, lambda b: F.aggregate(F.slice(same, b * BLOCK + 1, BLOCK), zero, step))
+
+    def carry(acc: Column, block: Column) -> Column:
+        """Before each block: equal words, and the least surplus; the last entry is what follows the last block."""
+        before = F.element_at(acc, -1)
+        at = before["at"] + F.size(block["equal"])
+        low = F.least(before["low"], before["equal"] - min_equal * before["at"] + F.element_at(block["low"], -1))
+        return F.array_append(acc, F.struct(at.alias("at"), (before["equal"] + F.element_at(block["equal"], -1)).alias("equal"), low.alias("low")))
+
+    start = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("equal"), F.lit(0.0).alias("low")))
+    carried = lambda made: F.zip_with(made, F.slice(F.aggregate(made, start, carry), 1, F.size(made)), lambda m, c: F.struct(m.alias("m"), c.alias("c")))
+
+    def spread(both: Column) -> Column:
+        equal = F.transform(both, lambda x: F.transform(x["m"]["equal"], lambda e: e + x["c"]["equal"]))
+        low = F.transform(both, lambda x: F.transform(x["m"]["low"], lambda v: F.least(x["c"]["low"], x["c"]["equal"] - min_equal * x["c"]["at"] + v)))
+        return F.struct(F.concat(F.array(F.lit(0)), F.flatten(equal)).alias("equal"), F.concat(F.array(F.lit(0.0)), F.flatten(low)).alias("low"))
+
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    return once(once(blocks, carried), spread)
+
+
 def overlap(words: Column, item: Column, shift: Column, min_equal: float = MIN_EQUAL) -> Column:
     """(start, n, equal) of the longest window along the diagonal with min_equal of its words equal, in words of the item; n is 0 without one."""
     first = F.greatest(F.lit(0), -shift)
     last = F.least(F.size(item), F.size(words) - shift) - 1
     same = F.transform(F.sequence(first, last), lambda i: (F.get(item, i) == F.get(words, i + shift)).cast("int"))
-    # equal: equal words up to each place; low: the least surplus (equal words less min_equal a word) up to it
-    zero = F.struct(F.array(F.lit(0)).alias("equal"), F.array(F.lit(0.0)).alias("low"))
-
-    def step(acc: Column, hit: Column) -> Column:
-        equal = F.element_at(acc["equal"], -1) + hit
-        surplus = equal - min_equal * F.size(acc["equal"])
-        return F.struct(F.array_append(acc["equal"], equal).alias("equal"), F.array_append(acc["low"], F.least(F.element_at(acc["low"], -1), surplus)).alias("low"))
+    sums = running_sums(same, min_equal)
 
     def longest(acc: Column) -> Column:
         halvings = F.sequence(F.lit(1), F.ceil(F.log2(F.size(acc["low"]) + 1)).cast("int"))
@@ -94,7 +127,8 @@ def overlap(words: Column, item: Column, shift: Column, min_equal: float = MIN_E
 
         return F.array_max(F.transform(acc["equal"], ending))
 
-    best = F.aggregate(same, zero, step, longest)
+    # one step, so that the sums are made once and then looked up
+    best = F.element_at(F.transform(F.array(sums), longest), 1)
     return F.struct((first - best["minus"]).alias("start"), best["n"].alias("n"), best["equal"].alias("equal"))
 
 
@@ -104,9 +138,14 @@ def contaminated(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
     hit = settle(found.select("doc_id").distinct())
     near = hashed_words(docs.join(small_side(hit, hit.count(), BROADCAST_IDS), "doc_id", "left_semi"), "doc_id")
     wanted = hashed_words(items, "item_id").withColumnRenamed("words", "item")
-    pairs = found.join(near, "doc_id").join(wanted, "item_id")
-    pairs = pairs.where(F.least(F.size("item"), F.size("words") - F.col("shift")) > F.greatest(F.lit(0), -F.col("shift")))
-    held = pairs.select("doc_id", "item_id", "shift", F.size("item").alias("item_n"), overlap(F.col("words"), F.col("item"), F.col("shift"), min_equal).alias("o"))
+    # each diagonal takes along only the words that lie beside its item; cut says how many words of the document come before them
+    sized = found.join(wanted.select("item_id", F.size("item").alias("item_n")), "item_id")
+    cut = F.greatest(F.lit(0), F.col("shift"))
+    beside = F.slice("words", cut + 1, F.greatest(F.lit(0), F.col("shift") + F.col("item_n") - cut))
+    pairs = sized.join(near, "doc_id").select("doc_id", "item_id", "shift", "item_n", cut.alias("cut"), beside.alias("words")).join(wanted, "item_id")
+    shift = F.col("shift") - F.col("cut")
+    pairs = pairs.where(F.least(F.size("item"), F.size("words") - shift) > F.greatest(F.lit(0), -shift))
+    held = pairs.select("doc_id", "item_id", "shift", "item_n", overlap(F.col("words"), F.col("item"), shift, min_equal).alias("o"))
     enough = (F.col("o.n") >= F.least(F.lit(min_words), F.col("item_n"))) & (F.col("o.equal") >= min_equal * F.col("o.n") - 1e-9)
     best = F.max(F.struct(F.col("o.n").alias("n"), F.col("o.equal").alias("equal"), (-(F.col("o.start") + F.col("shift"))).alias("minus")))
     return (

@@ -69,7 +69,7 @@ def build_perfect(h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         levels.append(alone)
         left = left[~rests]
         if len(levels) > 400:
-            raise ValueError("equal 128-bit hashes in one shard")
+            raise ValueError("two keys of a shard fold to the same 64 bits")
     return levels, index
 
 
@@ -127,7 +127,7 @@ def _probe(probes: pa.Table, shards: pa.Table) -> pa.Table:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
-    """(doc_id, dropped): hashes of the lines that each document loses; documents that lose none are absent."""
+    """(doc_id, dropped): sorted hashes of the lines that each document loses; documents that lose none are absent."""
     with scratch(docs.sparkSession) as keep:
         return keep(_repeated_lines(docs, min_chars))
 
@@ -156,7 +156,20 @@ def _repeated_lines(docs: DataFrame, min_chars: int) -> DataFrame:
         .cogroup(copied.groupBy("shard", "copy"))
         .applyInArrow(_probe, "doc_id long, h1 long")
     )
-    return hits.groupBy("doc_id").agg(F.collect_set("h1").alias("dropped"))
+    return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("h1")).alias("dropped"))
+
+
+def in_sorted(values: Column, x: Column) -> Column:
+    """Whether sorted values have x, by halving; short arrays are read through."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int"))
+
+    def halve(b: Column, _: Column) -> Column:
+        middle = F.floor((b["low"] + b["high"]) / 2).cast("int")
+        under = F.get(values, middle) < x
+        return F.struct(F.when(under, F.least(middle + 1, b["high"])).otherwise(b["low"]).alias("low"), F.when(under, b["high"]).otherwise(middle).alias("high"))
+
+    first = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(values).alias("high")), halve, lambda b: b["low"])
+    return F.when(F.size(values) <= 16, F.array_contains(values, x)).otherwise(F.coalesce(F.get(values, first) == x, F.lit(False)))
 
 
 def _judged(docs: DataFrame, min_chars: int) -> tuple[DataFrame, str, str]:
@@ -168,7 +181,7 @@ def _judged(docs: DataFrame, min_chars: int) -> tuple[DataFrame, str, str]:
     key, lost, lines, kept = (fresh(f"_{c}") for c in ("id", "dropped", "lines", "kept"))
     gone = repeated_lines(docs, min_chars).select(F.col("doc_id").alias(key), F.col("dropped").alias(lost))
     both = docs.join(gone, docs["doc_id"] == gone[key], "left").drop(key).withColumn(lines, lines_of(docs["text"]))
-    stays = lambda line: ~((F.char_length(key_of(line)) >= min_chars) & F.array_contains(F.col(lost), F.xxhash64(key_of(line))))
+    stays = lambda line: ~((F.char_length(key_of(line)) >= min_chars) & in_sorted(F.col(lost), F.xxhash64(key_of(line))))
     return both.withColumn(kept, F.when(F.col(lost).isNull(), F.col(lines)).otherwise(F.filter(lines, stays))).drop(lost), lines, kept
 
 

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -387,3 +388,39 @@ def test_overlap_of_very_long_texts(spark):
     item = [w if k % 9 else -1 for k, w in enumerate(words)]
     df = spark.createDataFrame([(words, item)], "words array<long>, item array<long>")
     assert tuple(df.select(decontaminate.overlap(F.col("words"), F.col("item"), F.lit(0)).alias("o")).first().o) == (0, 10_000, sum(w >= 0 for w in item))
+
+
+def test_many_shared_lines_take_seconds(spark):
+    text = "\n".join(f"a line that is shared {i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, text), (2, text + "\nown line of the second text"), (3, "a line that is shared 5\nb")], "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert [rows[i].n_dropped for i in (1, 2, 3)] == [0, 200_000, 1] and rows[2].kept_text == "own line of the second text"
+    assert time.time() - began < 90
+
+
+@pytest.mark.parametrize("n", [0, 1, 17, 300])
+def test_halving_finds_what_an_array_has(spark, n):
+    values = sorted(set(np.random.default_rng(n).integers(-500, 500, n).tolist()))
+    rows = spark.range(-510, 510).select("id", line_dedup.in_sorted(F.array(*[F.lit(v) for v in values]).cast("array<bigint>"), F.col("id")).alias("has"))
+    assert {r.id for r in rows.collect() if r.has} == set(values)
+
+
+def test_one_word_over_and_over_against_an_item_of_it(spark):
+    docs = spark.createDataFrame([(1, "same " * 20_000), (2, "other words here " * 20)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "same " * 40)], "item_id long, text string")
+    began = time.time()
+    rows = decontaminate.contaminated(docs, items).collect()
+    assert [(r.doc_id, r.item_id, r.n_words, r.n_equal) for r in rows] == [(1, 5, 40, 40)] and time.time() - began < 90
+
+
+def test_running_sums_equal_a_loop(spark):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 63, 64, 65, 200):
+        same = rng.integers(0, 2, n).tolist()
+        row = spark.range(1).select(decontaminate.running_sums(F.array(*[F.lit(x) for x in same]).cast("array<int>"), 0.8).alias("s")).first().s
+        equal, low = [0], [0.0]
+        for k, x in enumerate(same, 1):
+            equal.append(equal[-1] + x)
+            low.append(min(low[-1], equal[-1] - 0.8 * k))
+        assert list(row.equal) == equal and np.allclose(row.low, low)
