@@ -10,7 +10,8 @@ position, a match follows the earlier one on both sides with the best score less
 costs (GAP_COST a word on either side), found as a prefix maximum in a Fenwick tree
 over the anchors' positions. Chains are cut where either side skips more than BRIDGE
 words, and aligned on the words themselves: stretches between seeds by edit
-distance, ends by extension until DROP more words differ than agree. A chain of
+distance, ends by extension over substitutions, insertions and deletions until DROP is
+lost against the best place. A chain of
 which less than MIN_EQUAL is equal is cut at its most unequal stretch, and so are
 its parts, until each is equal enough or too short. Spans of one document that
 touch, whatever their anchors, are merged; merged spans of MIN_WORDS words are
@@ -34,15 +35,17 @@ from pyspark.sql import functions as F
 from pagestrata.llm.tables import settle, small_side
 from pagestrata.llm.words import GOLDEN, WordHasher, mix
 
-K, WINDOW_RUNS = 8, 14
+K, WINDOW_RUNS = 5, 8
 GAP_COST = 0.05
 MIN_SEEDS = 2
-MIN_EQUAL = 0.8
-MIN_WORDS = 45
+MIN_EQUAL = 0.75
+MIN_WORDS = 40
 MIN_PART = 16
-DROP = 4
+EDIT_COST, DROP, SHIFT = 2.0, 8.0, 8
 #: Chains are cut at stretches of more words than this.
 BRIDGE = 128
+#: Words beside a chain that its ends may extend over.
+REACH = 128
 BROADCAST_IDS = 4_000_000
 
 
@@ -172,16 +175,36 @@ def edits(x: np.ndarray, y: np.ndarray) -> int:
     return int(row[-1])
 
 
-def extend(x: np.ndarray, y: np.ndarray) -> int:
-    """How far two sequences run together until DROP more words differ than agree."""
-    n = min(len(x), len(y))
-    if not n:
-        return 0
-    score = np.cumsum(np.where(x[:n] == y[:n], 1, -1))
-    low = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score >= DROP)
-    upto = score[: low[0] + 1] if len(low) else score
-    best = int(upto.argmax())
-    return best + 1 if upto[best] > 0 else 0
+def extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """How far x runs together with y, and the edits on the way, until DROP is lost against the best place.
+
+    A word on both sides counts 1, an edit costs EDIT_COST; for each number of edits the
+    furthest place of every diagonal is kept (x - y, within SHIFT), as only it can lead to the best place.
+    """
+    x, y = x.tolist(), y.tolist()
+    n, m = len(x), len(y)
+    best, found, edits_ = 0.0, 0, 0
+    at = {0: 0}
+    for d in range(n + m + 1):
+        # slide along each diagonal while words agree
+        for k, i in at.items():
+            while i < n and i - k < m and x[i] == y[i - k]:
+                i += 1
+            at[k] = i
+        score = {k: i - k / 2 - EDIT_COST * d for k, i in at.items()}
+        k = max(score, key=score.get, default=None)
+        if k is not None and score[k] > best:
+            best, found, edits_ = score[k], at[k], d
+        at = {k: i for k, i in at.items() if score[k] > best - DROP}
+        if not at:
+            break
+        more: dict[int, int] = {}
+        for k, i in at.items():
+            for to, place in ((k, i + 1), (k + 1, i + 1), (k - 1, i)):
+                if abs(to) <= SHIFT and place <= n and place - to <= m and place > more.get(to, -1):
+                    more[to] = place
+        at = more
+    return found, edits_
 
 
 def align(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], k: int = K) -> list[tuple[int, int]]:
@@ -190,7 +213,8 @@ def align(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], k: int = K)
     for (a, b), (next_a, next_b) in zip(path, path[1:], strict=False):
         gap_a, gap_b = x[a + k : next_a], y[b + k : next_b]
         if next_a >= a + k and next_b >= b + k:
-            n = int((gap_a != gap_b).sum()) if len(gap_a) == len(gap_b) else edits(gap_a, gap_b)
+            n = int((gap_a != gap_b).sum()) if len(gap_a) == len(gap_b) else len(gap_a) + len(gap_b)
+            n = n if n <= 2 else min(n, edits(gap_a, gap_b))
         else:
             n = abs((next_a - a) - (next_b - b))
         unequal.append(n)
@@ -203,9 +227,9 @@ def align(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], k: int = K)
         low_a, low_b = (path[i - 1][0] + k, path[i - 1][1] + k) if i else (0, 0)
         high_a, high_b = path[j + 1] if j + 1 < len(path) else (len(x), len(y))
         before, after = (x[low_a:a][::-1], y[low_b:b][::-1]), (x[end_a:high_a], y[end_b:high_b])
-        left, right = extend(*before), extend(*after)
+        (left, n_left), (right, n_right) = extend(*before), extend(*after)
         start, end = a - left, end_a + right
-        n = int(upto[j] - upto[i]) + sum(int((p[:m] != q[:m]).sum()) for (p, q), m in ((before, left), (after, right)))
+        n = int(upto[j] - upto[i]) + n_left + n_right
         if end - start < MIN_PART:
             continue
         if n <= (1 - MIN_EQUAL) * (end - start):
@@ -251,14 +275,13 @@ def word_rows(docs: DataFrame) -> DataFrame:
 
 def aligned(chains: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, source, start, end): the aligned passages of each chain, in words of doc_id."""
-    reach = 64
     wanted = settle(chains.select(F.col("doc_id").alias("_id")).union(chains.select("source")).distinct())
     words = settle(word_rows(docs.join(small_side(wanted, wanted.count(), BROADCAST_IDS), docs["doc_id"] == wanted["_id"], "left_semi")))
 
     def cut(which: str):
         ends = F.transform("path", lambda p: p[which])
-        low = F.greatest(F.array_min(ends) - reach, F.lit(0))
-        return low, F.array_max(ends) + K + reach - low
+        low = F.greatest(F.array_min(ends) - REACH, F.lit(0))
+        return low, F.array_max(ends) + K + REACH - low
 
     for key, which, name in (("doc_id", "at", "x"), ("source", "source_at", "y")):
         low, n = cut(which)
