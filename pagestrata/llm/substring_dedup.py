@@ -12,7 +12,7 @@ over the anchors' positions. Chains are cut where either side skips more than BR
 words, and aligned on the words themselves: stretches between seeds by edit
 distance, ends by extension over substitutions, insertions and deletions until DROP is
 lost against the best place. A chain of
-which less than MIN_EQUAL is equal is cut at its most unequal stretch, and so are
+which less than MIN_EQUAL is equal (MIN_EQUAL_SCATTERED, if edits are scattered) is cut at its most unequal stretch, and so are
 its parts, until each is equal enough or too short. Spans of one document that
 touch, whatever their anchors, are merged; merged spans of MIN_WORDS words are
 repeated passages.
@@ -38,7 +38,9 @@ from pagestrata.llm.words import GOLDEN, WordHasher, mix
 K, WINDOW_RUNS = 5, 8
 GAP_COST = 0.05
 MIN_SEEDS = 2
-MIN_EQUAL = 0.75
+MIN_EQUAL = 0.8
+#: Enough where no stretch between seeds has more unequal words than this.
+MIN_EQUAL_SCATTERED, SCATTERED = 0.75, 12
 MIN_WORDS = 40
 MIN_PART = 16
 EDIT_COST, DROP, SHIFT = 2.0, 8.0, 8
@@ -232,7 +234,8 @@ def align(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], k: int = K)
         n = int(upto[j] - upto[i]) + n_left + n_right
         if end - start < MIN_PART:
             continue
-        if n <= (1 - MIN_EQUAL) * (end - start):
+        scattered = max(unequal[i + 1 : j + 1], default=0) <= SCATTERED
+        if n <= (1 - (MIN_EQUAL_SCATTERED if scattered else MIN_EQUAL)) * (end - start):
             out.append((start, end))
         elif i < j:
             cut = i + int(np.argmax(unequal[i + 1 : j + 1]))

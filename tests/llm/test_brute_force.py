@@ -424,3 +424,45 @@ def test_running_sums_equal_a_loop(spark):
             equal.append(equal[-1] + x)
             low.append(min(low[-1], equal[-1] - 0.8 * k))
         assert list(row.equal) == equal and np.allclose(row.low, low)
+
+
+def edited(rng, words, rate, gaps):
+    out = []
+    for w in words:
+        kind = rng.integers(3) if gaps else 0
+        if rng.random() >= rate:
+            out.append(w)
+        elif kind == 0:
+            out.append(f"e{rng.integers(10**12)}")
+        elif kind == 1:
+            out += [f"e{rng.integers(10**12)}", w]
+    return out
+
+
+def test_fuzzy_passages_are_found(spark):
+    """Share of the words of edited copies that is found, by length, rate of edits, and with or without insertions and deletions."""
+    rng = np.random.default_rng(12)
+    own = lambda n: [f"o{rng.integers(10**12)}" for _ in range(n)]
+    texts, truth, i = [], {}, 0
+    for size in (45, 60, 100, 200):
+        for rate in (0.0, 0.05, 0.1, 0.15):
+            for gaps in (False, True):
+                for _ in range(40):
+                    passage = own(size)
+                    copy = edited(rng, passage, rate, gaps)
+                    texts += [(2 * i, " ".join([*own(50), *passage, *own(50)])), (2 * i + 1, " ".join([*own(80), *copy, *own(50)]))]
+                    truth[2 * i + 1] = (size, rate, gaps), set(range(80, 80 + len(copy)))
+                    i += 1
+    found = defaultdict(set)
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        assert r.sources == [r.doc_id - 1]
+        found[r.doc_id].update(range(r.start_word, r.end_word))
+    hit, whole = Counter(), Counter()
+    for doc, (case, words) in truth.items():
+        hit[case] += len(words & found[doc])
+        whole[case] += len(words)
+        assert len(found[doc] - words) <= 4
+    recall = {case: hit[case] / whole[case] for case in whole}
+    assert min(v for (size, rate, _), v in recall.items() if size >= 60 or rate <= 0.1) >= 0.85
+    assert sum(hit.values()) >= 0.95 * sum(whole.values())
+    assert min(recall.values()) >= 0.65
