@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.operators import search
+from pagestrata.operators.text_index import TextIndex
 
 OLDEST_CONSIDERED = 10_000
 MAX_PAGE, MAX_SEARCH, MAX_DOMAIN = 500, 512, 255
@@ -52,21 +53,29 @@ class LibraryQuery:
     def searching(self) -> bool:
         return bool((self.search or "").strip())
 
-    def filtered(self, archives: DataFrame) -> DataFrame:
+    def filtered(self, archives: DataFrame, index: TextIndex | None = None) -> DataFrame:
+        """Matching rows; index: a kept index of the active rows, without which their texts are read."""
         out = archives.where(~F.col("deleted"))
         if self.searching:
-            out = search.search(out, self.search)
+            out = search.search(out, self.search) if index is None else out.join(index.search(self.search, search.LIBRARY_WEIGHTS), "id")
         for column, op, value in (("domain", "__eq__", self.domain), ("status", "__eq__", self.status), ("visited_at", "__ge__", self.date_from), ("visited_at", "__le__", self.date_to)):
             if value is not None:
                 out = out.where(getattr(F.col(column), op)(value))
         return out
 
-    def page(self, archives: DataFrame) -> DataFrame:
-        found = self.filtered(archives)
+    def page(self, archives: DataFrame, index: TextIndex | None = None) -> DataFrame:
+        found = self.filtered(archives, index)
         if not self.searching:
             return found.withColumn("snippet", F.lit(None).cast("string")).orderBy(*sort_columns(self.sort)).offset(self.offset).limit(self.limit)
-        best = found.orderBy(F.round("score", 9), "id").offset(self.offset).limit(self.limit)
-        return best.withColumn("snippet", search.best_snippet([F.col(c) for c in search.LIBRARY_WEIGHTS], search.query_words(self.search)))
+        order = [F.round("score", 9), F.col("id")]
+        if index is None:
+            best = found.orderBy(*order).offset(self.offset).limit(self.limit)
+        else:
+            # the page is picked by scores and filters alone; texts are read for its rows only, at most MAX_PAGE
+            picked = found.select("id", "score").orderBy(*order).offset(self.offset).limit(self.limit)
+            best = archives.join(F.broadcast(picked), "id").repartition("id")
+        shown = best.withColumn("snippet", search.best_snippet([F.col(c) for c in search.LIBRARY_WEIGHTS], search.query_words(self.search)))
+        return shown if index is None else shown.orderBy(*order)
 
 
 def versions(archives: DataFrame) -> DataFrame:

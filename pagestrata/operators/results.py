@@ -6,23 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata.operators import search
+from pagestrata.operators.text_index import TextIndex
 
 LIMIT, SNIPPET_WORDS = 30, 12
 
 
-def _best(index: DataFrame, key: str, words: str, columns: tuple[str, ...], body: str, limit: int) -> DataFrame:
-    hits = search.search(index, words, dict.fromkeys(columns, 1))
+def _best(texts: DataFrame, key: str, words: str, columns: tuple[str, ...], body: str, limit: int, kept: TextIndex | None) -> DataFrame:
+    """The best hits of words in columns of texts, found by a kept index of them if there is one, with a snippet of body, which is read for these hits only."""
+    weights = dict.fromkeys(columns, 1)
+    hits = search.search(texts, words, weights).select(key, "score") if kept is None else kept.search(words, weights)
+    best = hits.orderBy("score", key).limit(limit)
     phrases = search.query_words(words)
     shown = search.snippet(F.col(body), phrases[0], SNIPPET_WORDS, ("", "")) if phrases else F.lit("")
-    return hits.orderBy("score", key).limit(limit).select(key, "score", shown.alias("snippet"))
+    return texts.join(F.broadcast(best), key).select(key, "score", shown.alias("snippet"))
 
 
-def page_results(index: DataFrame, pages: DataFrame, words: str, limit: int = LIMIT) -> DataFrame:
+def page_results(texts: DataFrame, pages: DataFrame, words: str, limit: int = LIMIT, kept: TextIndex | None = None) -> DataFrame:
     """(page_id, title, norm, snippet, score): the best pages, best first; hits without a page are dropped after the limit, blank words find nothing."""
-    return _best(index, "page_id", words, ("title", "body"), "body", limit).join(pages.select("page_id", "title", "norm"), "page_id").orderBy("score", "page_id")
+    best = _best(texts, "page_id", words, ("title", "body"), "body", limit, kept)
+    return best.join(pages.select("page_id", "title", "norm"), "page_id").orderBy("score", "page_id")
 
 
-def post_results(index: DataFrame, posts: DataFrame, pages: DataFrame, words: str, limit: int = LIMIT) -> DataFrame:
+def post_results(texts: DataFrame, posts: DataFrame, pages: DataFrame, words: str, limit: int = LIMIT, kept: TextIndex | None = None) -> DataFrame:
     """(post_id, page_id, author, thread, norm, snippet, score): the best posts, by author, thread, URL and body."""
-    best = _best(index, "post_id", words, ("author", "thread", "url", "body"), "body", limit)
+    best = _best(texts, "post_id", words, ("author", "thread", "url", "body"), "body", limit, kept)
     return best.join(posts.select("post_id", "page_id", "author", "thread"), "post_id").join(pages.select("page_id", "norm"), "page_id").orderBy("score", "post_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions import posts, urls
 from pagestrata.operators import archive, catalog, library, replay, results
-from pagestrata.plans import sql
+from pagestrata.plans import indexes, sql
 from pagestrata.plans.registry import active, register
 from pagestrata.sources import views
 
@@ -536,7 +536,8 @@ def search_pages(spark, sf_dir):
     """JN-02, JN-11, FT-07, FT-10, SL-07: the best pages of an archive; hits whose page is gone are dropped."""
     pages = views.archives(spark, sf_dir).withColumnRenamed("id", "page_id")
     known = pages.where("page_id % 5 <> 0").select("page_id", "title", urls.normalize(F.col("final_url")).alias("norm"))
-    return results.page_results(pages.select("page_id", "title", "body"), known, "th on").select("page_id", "title", "norm", "snippet")
+    texts = pages.select("page_id", "title", "body")
+    return results.page_results(texts, known, "th on", kept=indexes.pages(texts)).select("page_id", "title", "norm", "snippet")
 
 
 POSTS = f"""posts AS (SELECT conv_id || '#post-' || turn AS post_id, conv_id AS page_id, role AS author, 'Thread ' || conv_id AS thread, 'https://f.example/t/' || conv_id AS url, text AS body FROM conversations)"""
@@ -555,7 +556,7 @@ def search_posts(spark, sf_dir):
     """JN-03, JN-10, FT-05, FT-10: the best posts with their pages; authors match too."""
     rows = archive_posts(spark, sf_dir)
     pages = rows.where("page_id % 3 <> 0").select("page_id", F.col("url").alias("norm")).distinct()
-    return results.post_results(rows, rows, pages, "assist th").select("post_id", "page_id", "author", "thread", "norm", "snippet")
+    return results.post_results(rows, rows, pages, "assist th", kept=indexes.archive_posts(rows)).select("post_id", "page_id", "author", "thread", "norm", "snippet")
 
 
 @register(f"WITH {sql.ARCHIVES} SELECT id, CASE WHEN i % 2 = 0 THEN 'match' ELSE 'plain' END AS kind, part FROM (SELECT id, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (SELECT id, string_split(replace(title, 'e', chr(1) || 'e' || chr(2)), chr(1)) AS a, string_split_regex(replace(title, 'e', chr(1) || 'e' || chr(2)), '[' || chr(1) || chr(2) || ']') AS ps FROM archives)) WHERE part <> ''")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions import forms, html, text, urls
 from pagestrata.operators import budget, catalog, container, crawl, forum, journal, search
-from pagestrata.plans import sql
+from pagestrata.plans import indexes, sql
 from pagestrata.sources import journal_log, views, zips
 from pagestrata.sources.tables import new_path, settle
 from pagestrata.streaming import visits
@@ -146,41 +146,46 @@ ACTIVE = "active AS (SELECT * FROM archives WHERE NOT deleted)"
 @register(f"WITH {sql.ARCHIVES}, {ACTIVE}, {sql.search('active', BOTH_WORDS, PAGE_WEIGHTS)} SELECT id, domain, title, round(score, 6) AS score FROM found")
 def fts_bm25_weighted(spark, sf_dir):
     """FT-01..04, JN-01: every match of two prefixes with its weighted score."""
-    found = search.search(active(spark, sf_dir), " ".join(BOTH_WORDS), PAGE_WEIGHTS)
+    rows = active(spark, sf_dir)
+    found = rows.select("id", "domain", "title").join(indexes.library(rows).search(" ".join(BOTH_WORDS), PAGE_WEIGHTS), "id")
     return found.select("id", "domain", "title", F.round("score", 6).alias("score"))
 
 
 @register(f"WITH {sql.ARCHIVES}, {ACTIVE}, {sql.search('active', BOTH_WORDS, PAGE_WEIGHTS)} SELECT id, round(score, 6) AS score FROM found WHERE status = 'success' ORDER BY round(score, 6), id LIMIT 50")
 def fts_filtered_page(spark, sf_dir):
     """FT-04, SL-02: filters after scoring; statistics cover every active document."""
-    found = search.search(active(spark, sf_dir), " ".join(BOTH_WORDS), PAGE_WEIGHTS).where("status = 'success'")
+    rows = active(spark, sf_dir)
+    found = rows.where("status = 'success'").select("id").join(indexes.library(rows).search(" ".join(BOTH_WORDS), PAGE_WEIGHTS), "id")
     return found.select("id", F.round("score", 6).alias("score")).orderBy("score", "id").limit(50)
 
 
 @register(f"WITH docs AS (SELECT doc_id AS id, text AS body FROM documents), {sql.search('docs', ['thin', 're'], {'body': 1})} SELECT id, round(score, 6) AS score FROM found ORDER BY round(score, 6), id LIMIT 30")
 def fts_top30(spark, sf_dir):
     """FT-05, SL-07: the 30 best documents by unweighted rank."""
-    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    return search.search(docs, "thin re", {"body": 1}).select("id", F.round("score", 6).alias("score")).orderBy("score", "id").limit(30)
+    found = indexes.documents(views.table(spark, sf_dir, "documents")).search("thin re")
+    return found.select("id", F.round("score", 6).alias("score")).orderBy("score", "id").limit(30)
 
 
 @register(f"WITH posts AS (SELECT conv_id, turn, role AS author, text AS body FROM conversations), {sql.search('posts', ['assist', 'en'], {'author': 1, 'body': 1})} SELECT conv_id AS thread_key, turn AS post_number, author, round(score, 6) AS score FROM found")
 def post_search(spark, sf_dir):
     """FT-05, JN-03: posts by author and body."""
-    return search.search(views.posts(spark, sf_dir), "assist en", {"author": 1, "body": 1}).select("thread_key", "post_number", "author", F.round("score", 6).alias("score"))
+    rows = views.posts(spark, sf_dir)
+    found = rows.drop("body").join(indexes.posts(rows).search("assist en"), ["thread_key", "post_number"])
+    return found.select("thread_key", "post_number", "author", F.round("score", 6).alias("score"))
 
 
 @register(r"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM documents),
 g AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_hits FROM g GROUP BY term""")
 def fts_postings(spark, sf_dir):
     """FT-02/09: term statistics of the index."""
-    return search.postings(views.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return indexes.documents(views.table(spark, sf_dir, "documents")).terms()
 
 
 @register(f"WITH {sql.ARCHIVES} SELECT id, {sql.snippet('body', 'then', 10, chr(1), chr(2))} AS snippet FROM archives WHERE NOT deleted AND {sql.has_prefix('body', 'then')}")
 def fts_snippet(spark, sf_dir):
     """FT-06/07: snippets of matching pages."""
-    found = active(spark, sf_dir).where(F.exists(search.tokens(F.col("body")), lambda t: t.startswith("then")))
+    rows = active(spark, sf_dir)
+    found = rows.join(indexes.library(rows).matches("then", {"body": 1}), "id", "left_semi")
     return found.select("id", search.snippet(F.col("body"), ["then"]).alias("snippet"))
 
 
@@ -584,4 +589,4 @@ def address_bar(spark, sf_dir):
     return views.table(spark, sf_dir, "pages").select("page_id", text.address(typed, "https://s.example/?q=%s").alias("target"))
 
 
-from pagestrata.plans import archive_queries, selection_queries  # noqa: E402, F401
+from pagestrata.plans import archive_queries, index_queries, selection_queries  # noqa: E402, F401

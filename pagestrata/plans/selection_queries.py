@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions import urls
 from pagestrata.operators import budget, catalog, crawl, library, search
-from pagestrata.plans import sql
+from pagestrata.plans import indexes, sql
 from pagestrata.plans.registry import ACTIVE, BOTH_WORDS, PAGE_WEIGHTS, active, register
 from pagestrata.sources import journal_log, views
 from pagestrata.sources.tables import new_path, settle
@@ -75,7 +75,8 @@ snippets AS (SELECT h.id, CASE WHEN any_value(t.i) > 1 THEN '…' ELSE '' END ||
 SELECT f.id, round(score, 6) AS score, snippet FROM found f JOIN snippets s ON s.id = f.id WHERE status = 'success' ORDER BY round(score, 9), f.id LIMIT 500""")
 def library_search_page(spark, sf_dir):
     """PF-08, SL-02, FT-06, UD-11: a page of a library search with filters: best first whatever the sort, each with its best window over all columns."""
-    return FOUND.page(views.archives(spark, sf_dir)).select("id", F.round("score", 6).alias("score"), "snippet")
+    rows = views.archives(spark, sf_dir)
+    return FOUND.page(rows, indexes.library(rows.where("not deleted"))).select("id", F.round("score", 6).alias("score"), "snippet")
 
 
 @register(f"WITH {sql.ARCHIVES} SELECT id, CAST(NULL AS VARCHAR) AS snippet FROM archives WHERE NOT deleted ORDER BY size_bytes DESC, id LIMIT 50")
@@ -92,8 +93,7 @@ c AS (SELECT id, len(ts) AS dl, CAST({PHRASE_TF} AS DOUBLE) AS tf FROM t), s AS
 SELECT id, round(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)), 6) AS score FROM c, s WHERE tf > 0""")
 def fts_phrase(spark, sf_dir):
     """FT-03: documents with a phrase inside one column, its last token as a prefix, and their rank."""
-    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    return search.search(docs, "thin-re", {"body": 1}).select("id", F.round("score", 6).alias("score"))
+    return indexes.documents(views.table(spark, sf_dir, "documents")).search("thin-re").select("id", F.round("score", 6).alias("score"))
 
 
 @register(rf"""WITH d AS (SELECT doc_id, text, list_filter(string_split(text, ' '), lambda w: w <> '') AS tags FROM documents),
