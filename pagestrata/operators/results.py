@@ -18,7 +18,7 @@ def _best(texts: DataFrame, key: str, words: str, columns: tuple[str, ...], body
     best = hits.orderBy("score", key).limit(limit)
     phrases = search.query_words(words)
     shown = search.snippet(F.col(body), phrases[0], SNIPPET_WORDS, ("", "")) if phrases else F.lit("")
-    return texts.join(F.broadcast(best), key).select(key, "score", shown.alias("snippet"))
+    return texts.join(F.broadcast(best.select(key)), key, "left_semi").join(F.broadcast(best), key).select(key, "score", shown.alias("snippet"))
 
 
 def page_results(texts: DataFrame, pages: DataFrame, words: str, limit: int = LIMIT, kept: TextIndex | None = None) -> DataFrame:
