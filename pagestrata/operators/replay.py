@@ -6,6 +6,8 @@ tasks; only lists of one asset's sources are arrays.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,54 @@ from pagestrata.operators import journal
 VERSION = 1
 
 
+def added_sources(records: DataFrame) -> DataFrame:
+    """(archive_id, sha, url, seq): URLs added to an asset after its last record, by their first addition."""
+    last = records.where("t = 'asset'").groupBy("archive_id", "sha").agg(F.max_by(F.struct("seq", "url"), "seq").alias("a")).select("archive_id", "sha", F.col("a.seq").alias("_at"), F.col("a.url").alias("_own"))
+    more = records.where("t = 'assetUrl'").select("archive_id", "sha", "url", "seq").join(last, ["archive_id", "sha"])
+    return more.where("seq > _at and url <> _own").groupBy("archive_id", "sha", "url").agg(F.min("seq").alias("seq"))
+
+
+def responses(records: DataFrame) -> DataFrame:
+    """(archive_id, sha, seq, url): the last record of each response."""
+    return records.where("t = 'response'").groupBy("archive_id", "sha").agg(F.max_by(F.struct("seq", "url"), "seq").alias("r")).select("archive_id", "sha", "r.*")
+
+
+def entries(records: DataFrame) -> DataFrame:
+    """(archive_id, what, key, seq, value): all that a replay knows of captures, an entry a row.
+
+    Pages, failures and posts are appended as they come, by seq; assets, responses and routes hold their last record; sources were
+    added to an asset after it; queue: queued and never taken; interrupted: taken and never resolved; discovered: how often
+    URLs were queued; stat and title: the last ones, an empty title doesn't count.
+    """
+    text = ("norm", "sha", "url", "title", "target", "post_id", "kind")
+    known = records.selectExpr("archive_id", "seq", "t", *[f"coalesce({c}, '') AS {c}" for c in text], "total")
+
+    def entry(rows: DataFrame, what: str, key, value=None) -> DataFrame:
+        return rows.select("archive_id", F.lit(what).alias("what"), key.cast("string").alias("key"), "seq", (F.lit(None) if value is None else value).cast("string").alias("value"))
+
+    of = lambda t: known.where(F.col("t") == t)
+    queued = of("enq").groupBy("archive_id", "norm").agg(F.min("seq").alias("seq"))
+    last = assets(known).select("archive_id", "sha", "seq", F.concat_ws("|", "kind", F.get("sources", F.lit(0))).alias("value"))
+    routed = of("route").groupBy("archive_id", "norm").agg(F.max_by(F.struct("seq", "target"), "seq").alias("r")).select("archive_id", "norm", "r.*")
+    counted = of("enq").groupBy("archive_id").agg(F.max("seq").alias("seq"), F.count("*").alias("n"))
+    newest = lambda rows, c: rows.groupBy("archive_id").agg(F.max_by(F.struct("seq", c), "seq").alias("r")).select("archive_id", "r.*")
+    parts = [
+        entry(of("page"), "page", F.col("seq"), F.col("norm")),
+        entry(of("failure"), "failure", F.col("seq"), F.concat_ws("|", "kind", "norm")),
+        entry(of("forumPost"), "post", F.col("seq"), F.col("post_id")),
+        entry(last, "asset", F.col("sha"), F.col("value")),
+        entry(added_sources(known), "source", F.concat_ws(" ", "sha", "url"), F.col("url")),
+        entry(routed, "route", F.col("norm"), F.col("target")),
+        entry(responses(known), "response", F.col("sha"), F.col("url")),
+        entry(journal.pending(known), "queue", F.col("norm")),
+        entry(journal.interrupted(known).join(queued, ["archive_id", "norm"]), "interrupted", F.col("norm")),
+        entry(counted, "discovered", F.lit(""), F.col("n")),
+        entry(newest(of("stat").where("total is not null"), "total"), "stat", F.lit(""), F.col("total")),
+        entry(newest(of("stat").where("title <> ''"), "title"), "title", F.lit(""), F.col("title")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def assets(records: DataFrame) -> DataFrame:
     """(archive_id, sha, seq, kind, sources): the last record of each asset, its own URL, then those added to it later, each once.
 
