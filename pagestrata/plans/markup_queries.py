@@ -20,7 +20,7 @@ def link_tokens(spark, sf_dir):
 
 @register(r"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)^.*?<body>|</body>.*$', '', 'g') AS h FROM pages),
 t AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)<(script|style|noscript|textarea)[^>]*>.*?</(script|style|noscript|textarea)>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g') AS t FROM b)
-SELECT page_id, sha256(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')) AS text_sha256 FROM t""")
+SELECT page_id, sha256(regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g')) AS text_sha256 FROM t""")
 def body_text(spark, sf_dir):
     """UD-03: the text content of bodies, entities decoded and no space put in for a tag."""
     found = markup_tree.texts(views.table(spark, sf_dir, "pages").select("page_id", "html"))
