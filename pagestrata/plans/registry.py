@@ -589,4 +589,4 @@ def address_bar(spark, sf_dir):
     return views.table(spark, sf_dir, "pages").select("page_id", text.address(typed, "https://s.example/?q=%s").alias("target"))
 
 
-from pagestrata.plans import archive_queries, index_queries, markup_queries, replay_queries, selection_queries  # noqa: E402, F401
+from pagestrata.plans import archive_queries, index_queries, markup_queries, replay_queries, selection_queries, stored_queries  # noqa: E402, F401
