@@ -19,7 +19,9 @@ Defined cases: null text and null role are empty; a null kind is a message; rows
 that share a turn and are messages stay separate messages, in order of (seq, role,
 text); rows before a turn's first message belong to a message with an empty role;
 null conv_id is one conversation, null turns come first; a conversation whose
-messages are all deleted has no row; other columns are not read.
+messages are all deleted has no row; a repeated row is a message of its own; an empty
+table gives no rows; long texts are folded and rendered whole, and one conversation is
+one row, made in one task; other columns are not read.
 """
 
 from __future__ import annotations

@@ -55,6 +55,10 @@ class Reader:
         return u[~(space & np.r_[True, space[:-1]])] if len(u) else u
 
 
+#: Different values of lang in training rows from which lang is taken to be dirty: an error says so.
+MOST_LANGUAGES = 2000
+
+
 def has_letter(text: str | None) -> int:
     return int(any(map(str.isalpha, text or "")))
 
@@ -63,7 +67,9 @@ def identify(docs: DataFrame, table_values: int = TABLE_VALUES, reject_above: fl
     """(doc_id, held_out, lang_pred, score, bits, rejected) for every row of docs (doc_id, text, lang)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     teaches = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~F.col("held_out")
-    names = [r["lang"] for r in rows.where(teaches).select("lang").distinct().orderBy("lang").collect()]
+    names = [r["lang"] for r in rows.where(teaches).select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: they can't all be languages")
     if not names:
         none = F.lit(0.0)
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), none.alias("score"), none.alias("bits"), F.lit(True).alias("rejected"))

@@ -26,7 +26,10 @@ between different components is lost.
 Defined cases: null text, or text without words, has an empty set, which is linked
 with nothing; with fewer words than a shingle the whole text is one; rows without
 doc_id are linked with nothing and kept; repeated rows are each returned, with one
-class; the same doc_id with different texts is one node; other columns pass.
+class; the same doc_id with different texts is one node; of documents alike the
+smallest doc_id names the class, also among equal sets; long texts are read whole and
+have as many shingles as words; an empty table gives no rows; near_classes reads no
+other columns, and keep_one_of_each passes them on.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagestrata.llm import decontaminate, encoding, language_id, line_dedup, ngram_table, packing, quality_model, queries, secret_scan, substring_dedup, vector_topk
+from pagestrata.llm import decontaminate, encoding, language_id, line_dedup, minhash_dedup, ngram_table, packing, quality_model, queries, secret_scan, substring_dedup, vector_topk
 from pagestrata.llm.tables import table
 
 CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _id string, _dropped string, _kept string, n_lines string, n_dropped string, kept_text string, _kind string, kind string, trusted string, component string, row string"
@@ -466,3 +466,29 @@ def test_fuzzy_passages_are_found(spark):
     assert min(v for (size, rate, _), v in recall.items() if size >= 60 or rate <= 0.1) >= 0.85
     assert sum(hit.values()) >= 0.95 * sum(whole.values())
     assert min(recall.values()) >= 0.65
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_copies_at_and_above_the_threshold(spark, size):
+    """All planted pairs of similarity 0.8 or more are found, and pairs below are not."""
+    rng = np.random.default_rng(21)
+    texts, alike = [], {}
+    shingles_of = lambda w: {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+    for i in range(300):
+        words = [f"w{rng.integers(10**6)}" for _ in range(int(rng.integers(30, 400)))]
+        other = list(words)
+        for at in rng.integers(0, len(words), max(1, int(len(words) * rng.uniform(0.005, 0.06)))):
+            other[at] = f"x{rng.integers(10**6)}"
+        a, b = shingles_of(words), shingles_of(other)
+        alike[2 * i] = 100 * len(a & b) >= 80 * len(a | b)
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    found = {r.doc_id: r.component_id for r in minhash_dedup.near_classes(spark.createDataFrame(texts, "doc_id long, text string"), size=size).collect()}
+    assert 50 < sum(alike.values()) < 290
+    assert {i: found[i + 1] == i for i in alike} == alike
+
+
+def test_dirty_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3"):
+        language_id.identify(docs)
