@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed sequences: STAGES, each on what the stage before it kept."""
+"""A corpus from raw documents to packed sequences: STAGES, each on what the stage before it kept.
+
+Every stage but the last keeps the columns of documents, whatever else they have, and takes null and
+empty texts, very long texts, repeated rows and empty tables as its operator's docstring states:
+rows without doc_id, and documents without text, pass the filtering stages; of a group of near
+copies the smallest doc_id stays, with all rows of that id; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from pagestrata.llm.line_dedup import without_repeated_lines
 from pagestrata.llm.minhash_dedup import keep_one_of_each
 from pagestrata.llm.packing import pack
 from pagestrata.llm.quality_model import keep_quality
-from pagestrata.llm.tables import settle, table
+from pagestrata.llm.tables import scratch, settle, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """What the last stage returns; the copies that stages leave for each other are deleted when it is written."""
+    with scratch(spark) as keep:
+        docs = table(spark, sf_dir, "documents")
+        for _, stage in STAGES[:-1]:
+            docs = settle(stage(spark, docs, sf_dir))
+        return keep(STAGES[-1][1](spark, docs, sf_dir))
