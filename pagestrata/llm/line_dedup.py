@@ -181,7 +181,9 @@ def _judged(docs: DataFrame, min_chars: int) -> tuple[DataFrame, str, str]:
     key, lost, lines, kept = (fresh(f"_{c}") for c in ("id", "dropped", "lines", "kept"))
     gone = repeated_lines(docs, min_chars).select(F.col("doc_id").alias(key), F.col("dropped").alias(lost))
     both = docs.join(gone, docs["doc_id"] == gone[key], "left").drop(key).withColumn(lines, lines_of(docs["text"]))
-    stays = lambda line: ~((F.char_length(key_of(line)) >= min_chars) & in_sorted(F.col(lost), F.xxhash64(key_of(line))))
+    # key and hash as variables, so that halving doesn't make them anew at each step
+    goes = lambda key: (F.char_length(key) >= min_chars) & F.exists(F.array(F.xxhash64(key)), lambda h: in_sorted(F.col(lost), h))
+    stays = lambda line: ~F.exists(F.array(key_of(line)), goes)
     return both.withColumn(kept, F.when(F.col(lost).isNull(), F.col(lines)).otherwise(F.filter(lines, stays))).drop(lost), lines, kept
 
 
