@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagestrata.operators.scans import deal, numbered, scan, undealt
+
 
 def within_budget(pages: DataFrame, max_pages: int, max_bytes: float) -> DataFrame:
     """Per capture (pages: archive_id, seq, size): the pages taken before a bound is reached, their bytes, what stopped it and the queue left then.
 
     A bound is tested before each page, bytes first, so the last page may cross the byte bound; null: all pages fitted.
     """
-    order = Window.partitionBy("archive_id").orderBy("seq")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = pages.select("archive_id", "seq", "size", before.alias("before"), (F.row_number().over(order) - 1).alias("done"))
+    rows = deal(pages.select("archive_id", "seq", "size"), ["archive_id"], ["seq"])
+    rows = scan(rows, ["seq"], before={"before": F.col("size"), "done": F.lit(1)})
     why = F.when(F.col("before") >= max_bytes, "bytes").when(F.col("done") >= max_pages, "pages")
     rows = rows.withColumn("why", why)
     return rows.groupBy("archive_id").agg(
@@ -27,8 +28,8 @@ def within_budget(pages: DataFrame, max_pages: int, max_bytes: float) -> DataFra
 def numbered_on(new: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
     """new pages (thread_key, ...) with page_index, going on from the highest one of known pages (thread_key, page_index) of their thread."""
     highest = known.groupBy("thread_key").agg(F.max(F.when(F.col("page_index") > 0, F.col("page_index"))).alias("_highest"))
-    place = F.row_number().over(Window.partitionBy("thread_key").orderBy(*order))
-    return new.join(highest, "thread_key", "left").withColumn("page_index", F.coalesce("_highest", F.lit(0)) + place).drop("_highest")
+    placed = numbered(new, ["thread_key"], order, "page_index")
+    return placed.join(highest, "thread_key", "left").withColumn("page_index", F.coalesce("_highest", F.lit(0)) + F.col("page_index")).drop("_highest")
 
 
 def retry_depth(failures: DataFrame, pages: DataFrame) -> DataFrame:
@@ -44,5 +45,5 @@ def carried_over(rows: DataFrame, retried: DataFrame) -> DataFrame:
 
 def without_repeats(visits: DataFrame) -> DataFrame:
     """Visits (archive_id, seq, norm) without those that stay on the page captured last in their tab."""
-    last = F.lag("norm").over(Window.partitionBy("archive_id").orderBy("seq"))
-    return visits.withColumn("_last", last).where(~F.col("norm").eqNullSafe(F.col("_last")) | F.col("_last").isNull()).drop("_last")
+    rows = undealt(scan(deal(visits, ["archive_id"], ["seq"]), ["seq"], previous={"_last": F.col("norm")}))
+    return rows.where(~F.col("norm").eqNullSafe(F.col("_last")) | F.col("_last").isNull()).drop("_last")

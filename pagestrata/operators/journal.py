@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagestrata.operators.scans import deal, scan, undealt
+
 
 def pending(records: DataFrame) -> DataFrame:
     """Queued and never taken, in order of their first queueing."""
@@ -33,19 +35,21 @@ def state(records: DataFrame) -> DataFrame:
 
 def streaks(records: DataFrame, bad: str = "failure", every: int = 3) -> DataFrame:
     """(archive_id, seq, streak): consecutive bad records, and whether each completes another run of every."""
-    order = Window.partitionBy("archive_id").orderBy("seq")
-    rows = records.withColumn("bad", F.col("t") == bad).withColumn("island", F.sum((~F.col("bad")).cast("int")).over(order))
-    streak = F.row_number().over(Window.partitionBy("archive_id", "island", "bad").orderBy("seq"))
+    flagged = records.select("archive_id", "seq", (F.col("t") == bad).alias("bad"))
+    rows = scan(deal(flagged, ["archive_id"], ["seq"]), ["seq"], before={"n": F.col("bad").cast("int")})
+    rows = rows.withColumn("n", F.col("n") + F.coalesce(F.col("bad").cast("int"), F.lit(0)))
+    rows = scan(rows, ["seq"], latest={"ended": F.when(~F.col("bad"), F.col("n"))})
+    streak = (F.col("n") - F.coalesce(F.col("ended"), F.lit(0))).cast("int")
     return rows.where("bad").withColumn("streak", streak).select("archive_id", "seq", "streak", (F.col("streak") % every == 0).alias("triggers"))
 
 
 def referrers(visits: DataFrame) -> DataFrame:
     """The page before, per tab."""
-    return visits.withColumn("referrer", F.lag("norm").over(Window.partitionBy("archive_id").orderBy("seq")))
+    return undealt(scan(deal(visits, ["archive_id"], ["seq"]), ["seq"], previous={"referrer": F.col("norm")}))
 
 
 def debounced(visits: DataFrame, gap_seconds: int) -> DataFrame:
     """The last visit of each run of visits that follow within the gap, per tab."""
-    order = Window.partitionBy("archive_id").orderBy("ts", "seq")
-    after = F.lead("ts").over(order)
-    return visits.withColumn("_next", after).where(F.col("_next").isNull() | (F.unix_micros(F.col("_next").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) > gap_seconds * 1_000_000)).drop("_next")
+    order = ["ts", "seq"]
+    rows = undealt(scan(deal(visits, ["archive_id"], order), order, following={"_next": F.col("ts")}))
+    return rows.where(F.col("_next").isNull() | (F.unix_micros(F.col("_next").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) > gap_seconds * 1_000_000)).drop("_next")

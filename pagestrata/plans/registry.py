@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata.functions import forms, html, text, urls
 from pagestrata.operators import budget, catalog, container, crawl, forum, journal, search
+from pagestrata.operators.scans import numbered
 from pagestrata.plans import indexes, sql
 from pagestrata.sources import journal_log, views, zips
 from pagestrata.sources.tables import new_path, settle
@@ -298,7 +299,7 @@ def frontier_order(spark, sf_dir):
 def page_index(spark, sf_dir):
     """WN-02/14, AG-17: running page index per thread."""
     rows = views.table(spark, sf_dir, "pages").select("page_id", urls.thread_key(F.col("url")).alias("thread"))
-    return rows.withColumn("page_index", F.row_number().over(Window.partitionBy("thread").orderBy("page_id")))
+    return numbered(rows, ["thread"], ["page_id"], "page_index")
 
 
 @register(f"""WITH RECURSIVE {sql.LINKS}, n AS (SELECT DISTINCT {sql.host('page_url')} AS src, href AS dst FROM links), edges AS (SELECT src, dst FROM n UNION SELECT dst, src FROM n),
