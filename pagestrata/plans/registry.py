@@ -289,6 +289,13 @@ def link_once(spark, sf_dir):
     return crawl.first_per_url(views.links(spark, sf_dir), ["page_id", "pos"]).select("page_id", "pos", "url")
 
 
+@register(f"""WITH {sql.LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE WHEN {sql.is_http('url')} THEN {sql.origin('url')} || {sql.escaped(sql.path('url'))}
+|| CASE WHEN contains(url, '?') THEN '?' || {sql.query('url')} ELSE '' END || CASE WHEN contains(url, '#') THEN '#' || string_split(url, '#')[2] ELSE '' END END AS url FROM links""")
+def links_followed(spark, sf_dir):
+    """SC-U01, SC-U06: where a browser goes by each anchor, by the URL standard."""
+    return views.links(spark, sf_dir).select("page_id", "pos", urls.resolve_standard(F.col("href"), F.col("page_url")).alias("url"))
+
+
 @register(f"WITH {sql.LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, url, CAST(row_number() OVER (PARTITION BY page_url ORDER BY page_id, pos) AS INTEGER) AS turn, min(page_id) OVER (PARTITION BY page_url) AS bucket_seq FROM links")
 def frontier_order(spark, sf_dir):
     """WN-01: the fair order of the frontier."""

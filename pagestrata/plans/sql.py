@@ -45,11 +45,16 @@ def joined(base: str, kept: str) -> str:
     return f"({base} || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END)"
 
 
+def escaped(text: str) -> str:
+    """Characters outside of printable ASCII, and those that paths escape, as %XX of their UTF-8 bytes."""
+    return f"array_to_string(list_transform(string_split({text}, ''), lambda c: CASE WHEN regexp_matches(c, '[^!-~]|[\"#<>?^`{{}}]') THEN url_encode(c) ELSE c END), '')"
+
+
 def normalize(u: str) -> str:
     kept = f"list_filter({params(u)}, lambda p: lower(string_split(p, '=')[1]) NOT IN ({STOP}))"
     ordered = f"list_transform(list_sort(list_transform({kept}, lambda p, i: {{'k': string_split(p, '=')[1], 'i': i, 'p': p}})), lambda s: CASE WHEN contains(s.p, '=') THEN s.p ELSE s.p || '=' END)"
     p = f"CASE WHEN length({path(u)}) > 1 AND {path(u)} LIKE '%/' THEN regexp_replace({path(u)}, '/$', '') ELSE {path(u)} END"
-    return f"CASE WHEN {is_http(u)} THEN {joined(f'{origin(u)} || {p}', ordered)} END"
+    return f"CASE WHEN {is_http(u)} THEN {joined(f'{origin(u)} || {escaped(p)}', ordered)} END"
 
 
 def canonicalize(u: str) -> str:
