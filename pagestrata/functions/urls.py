@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagestrata.functions.url_standard import cleaned, is_plain, let, parsed, plain_form, standard
+from pagestrata.functions.url_standard import cleaned, let, standard
 
 # Parameters that never change what a URL returns.
 TRACKING_PARAMS = (
@@ -100,21 +100,37 @@ def _join_query(base: Column, kept: Column) -> Column:
 
 
 def _decoded(part: Column) -> Column:
+    """A part of a query as form data; one with a broken escape stays as it is."""
+    return F.coalesce(F.try_url_decode(part), part)
+
+
+def normalize(url: Column) -> Column:
+    """Crawl identity: no tracking parameters, the rest written as form data in stable order of key, no fragment, no trailing slash; null unless http(s)."""
+    keyed = F.transform(params(url), lambda p, i: F.struct(_decoded(param_key(p)).alias("k"), i.alias("i"), _decoded(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v")))
+    kept = F.filter(keyed, lambda s: ~F.lower(s["k"]).isin(*TRACKING_PARAMS))
+    ordered = F.transform(F.array_sort(kept), lambda s: F.concat(F.url_encode(s["k"]), F.lit("="), F.url_encode(s["v"])))
+    p = path(url)
+    p = F.when((F.char_length(p) > 1) & p.endswith("/"), F.regexp_replace(p, "/$", "")).otherwise(p)
+    start = F.concat(scheme(url), F.lit("://"), user_info(url), host(url), non_default_port(url))
+    return F.when(is_http(url), _join_query(F.concat(start, p), ordered))
+
+
+def _form_decoded(part: Column) -> Column:
     """A part of a query as form data; broken escapes stay as they are."""
     return F.try_url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def _identity(url: Column) -> Column:
-    keyed = F.transform(params(url), lambda p, i: F.struct(_decoded(param_key(p)).alias("k"), i.alias("i"), _decoded(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v")))
+    keyed = F.transform(params(url), lambda p, i: F.struct(_form_decoded(param_key(p)).alias("k"), i.alias("i"), _form_decoded(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v")))
     kept = F.filter(keyed, lambda s: ~F.lower(s["k"]).isin(*TRACKING_PARAMS))
     ordered = F.transform(F.array_sort(kept), lambda s: F.concat(F.url_encode(s["k"]), F.lit("="), F.url_encode(s["v"])))
     place = F.regexp_extract(url, r"^[^?#]*", 0)
     return _join_query(F.regexp_replace(place, "^([^/]*//[^/]*/.*)/$", "$1"), ordered)
 
 
-def normalize(url: Column) -> Column:
+def normalize_standard(url: Column) -> Column:
     """Crawl identity: the URL as the standard writes it, no tracking parameters, the rest written as form data in stable order of key, no fragment, no trailing slash; null unless http(s)."""
-    return F.when(is_plain(url), _identity(plain_form(url))).otherwise(let(parsed(url), _identity))
+    return let(standard(url), _identity)
 
 
 def canonicalize(url: Column) -> Column:
@@ -238,7 +254,8 @@ def resolve(href: Column, base: Column) -> Column:
 
 def resolve_standard(href: Column, base: Column) -> Column:
     """href against base as a browser follows it, by the standard; null where that is no http(s) URL."""
-    return standard(_resolved(cleaned(href), F.regexp_replace(standard(base), "#.*$", "")))
+    start = let(standard(base), lambda b: F.regexp_replace(b, "#.*$", ""))
+    return let(let(start, lambda b: let(cleaned(href), lambda h: _resolved(h, b))), standard)
 
 
 def _resolved(href: Column, base: Column) -> Column:
