@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata.functions import urls
+from pagestrata.functions.shapes import utf16_length
 from pagestrata.operators import catalog
 
 # Statuses that an import accepts, identifiers, and limits of a capture's scope.
@@ -66,11 +67,6 @@ def changed(archives: DataFrame, changes: DataFrame) -> DataFrame:
     return both.select(*[to[c].alias(c) if c in to else c for c in archives.columns])
 
 
-def utf16_length(text: Column) -> Column:
-    """The length in units of UTF-16, in which the limits of requests are stated."""
-    return F.char_length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
-
-
 def change_fault(title: Column, tags: Column) -> Column:
     """The first limit that a change of title and tags breaks; null where it is valid. Nulls change nothing and are valid."""
     return (
