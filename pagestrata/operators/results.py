@@ -17,7 +17,10 @@ def _best(texts: DataFrame, key: str, words: str, columns: tuple[str, ...], body
     hits = search.search(texts, words, weights).select(key, "score") if kept is None else kept.search(words, weights)
     best = hits.orderBy("score", key).limit(limit)
     phrases = search.query_words(words)
-    shown = search.snippet(F.col(body), phrases[0], SNIPPET_WORDS, ("", "")) if phrases else F.lit("")
+    shown = F.lit("")
+    if phrases:
+        # a text that is hit in other columns only shows its beginning
+        shown = F.coalesce(search.best_snippet([F.col(body)], phrases, SNIPPET_WORDS, ("", "")), search.snippet(F.col(body), phrases[0], SNIPPET_WORDS, ("", "")))
     return texts.join(F.broadcast(best.select(key)), key, "left_semi").join(F.broadcast(best), key).select(key, "score", shown.alias("snippet"))
 
 

@@ -89,34 +89,104 @@ def snippet(text: Column, phrase: list[str], width: int = 10, marks: tuple[str,
     return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(window, " "), F.when(F.size(words) > start + width, "…").otherwise(""))
 
 
-def best_snippet(columns: list[Column], words: list[list[str]], width: int = 10, marks: tuple[str, str] = ("\x01", "\x02")) -> Column:
-    """The window of width words that hits most of the query's words, over all columns, its hits marked.
+def phrase_hits(parts: Column, words: list[list[str]]) -> Column:
+    """Where phrases of a query occur in an array of words: hits in order of their first word, each once, as codes for hit_of.
+
+    A phrase's tokens follow one another, within a word or over several; the last one is a prefix.
+    """
+    within = F.flatten(F.transform(parts, lambda w, i: F.transform(tokens(w), lambda t: F.struct(t.alias("token"), i.alias("word")))))
+
+    def may_begin(token: Column) -> Column:
+        return reduce(lambda a, b: a | b, [token.startswith(p[0]) if len(p) == 1 else token == p[0] for p in words])
+
+    def begins(ts: Column, i: Column, place: int) -> Column:
+        *inner, last = words[place]
+        there = [F.get(ts, i + k)["token"] == w for k, w in enumerate(inner)]
+        start, end = F.get(ts, i), F.get(ts, i + len(inner))
+        found = reduce(lambda a, b: a & b, [*there, end["token"].startswith(last)])
+        return F.when(found, F.shiftleft(start["word"].cast("long"), HIT_WORD) + F.shiftleft(end["word"] - start["word"], HIT_SPAN) + place)
+
+    def codes(ts: Column) -> Column:
+        # most tokens begin no phrase and are left out by one comparison a phrase
+        places = F.filter(F.transform(ts, lambda t, i: F.when(may_begin(t["token"]), i)), lambda i: i.isNotNull())
+        each = F.transform(places, lambda i: F.array(*[begins(ts, i, p) for p in range(len(words))]))
+        return F.array_distinct(F.filter(F.flatten(each), lambda c: c.isNotNull()))
+
+    return bound(within, codes)
+
+
+#: A hit is a number, as arrays of numbers lose repeats by hashing: from these bits on its first word and the words until its last one, below them its phrase.
+#: Queries have at most 256 phrases, phrases at most 65,535 tokens.
+HIT_WORD, HIT_SPAN = 24, 8
+
 
-    Windows start at hits; the earlier window wins a tie, and the earlier column over a later one. A phrase is
-    found by its first token. Null where nothing is hit.
+def hit_of(code: Column) -> tuple[Column, Column, Column]:
+    """A hit's first word, last word and phrase."""
+    first = F.shiftright(code, HIT_WORD).cast("int")
+    return first, first + F.shiftright(code, HIT_SPAN).bitwiseAND(0xFFFF).cast("int"), code.bitwiseAND(0xFF).cast("int")
+
+
+def best_window(columns: list[Column], words: list[list[str]], width: int = 10, marks: tuple[str, str] = ("\x01", "\x02")) -> Column:
+    """struct<n, minus_column, minus_start, text>: the window of width words that holds most of the query's phrases, over all columns.
+
+    Windows start at hits, and hold a phrase that ends in them; the phrase that a window starts at counts, even if it is longer than the window.
+    The earlier window wins a tie, and the earlier column over a later one. Phrases are marked whole, overlapping ones together. Null where nothing is hit.
+    Time is linear in a text: from a hit on, only as many hits are looked at as can start within a window.
     """
+    if len(words) > 256 or max(map(len, words)) > 0xFFFF:
+        raise ValueError("a query has at most 256 phrases of at most 65,535 tokens")
+    most = width * sum(map(len, words))
+
+    def fits(code: Column, start: Column) -> Column:
+        first, last, _ = hit_of(code)
+        return (first >= start) & (first < start + width) & ((last < start + width) | (first == start))
+
+    def window(text: Column, place: Column) -> Column:
+        parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
-    def mask(word: Column) -> Column:
-        return bound(tokens(word), lambda ts: reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.exists(ts, lambda t: t.startswith(w[0])), 1 << i).otherwise(0) for i, w in enumerate(words)]))
+        def best(ps: Column, hits: Column) -> Column:
+            def seen(code: Column, i: Column) -> Column:
+                start, near = hit_of(code)[0], F.slice(hits, i + 1, most)
+                if len(words) == 1:
+                    n = F.lit(1)
+                elif len(words) < 64:
+                    phrases = F.aggregate(near, F.lit(0).cast("long"), lambda acc, h: F.when(fits(h, start), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), hit_of(h)[2]))).otherwise(acc))
+                    n = F.bit_count(phrases)
+                else:
+                    n = F.size(F.array_distinct(F.transform(F.filter(near, lambda h: fits(h, start)), lambda h: hit_of(h)[2])))
+                return F.struct(n.cast("int").alias("n"), (-start).alias("minus"))
 
-    def window(column: Column, place: int) -> Column:
-        parts = F.filter(F.split(F.coalesce(column, F.lit("")), r"\s+"), lambda w: w != "")
-        pairs = F.transform(parts, lambda w: F.struct(w.alias("word"), mask(w).alias("hit")))
+            top = F.array_max(F.transform(hits, seen))
+            return bound(top, lambda t: F.when(t.isNotNull(), F.struct(t["n"].alias("n"), (-place).alias("minus_column"), t["minus"].alias("minus_start"), ps.alias("parts"), hits.alias("hits"))))
 
-        def best(ps: Column) -> Column:
-            starts = F.filter(F.transform(ps, lambda p, i: F.when(p["hit"] > 0, i)), lambda i: i.isNotNull())
-            seen = lambda i: F.bit_count(F.aggregate(F.slice(ps, i + 1, width), F.lit(0), lambda acc, p: acc.bitwiseOR(p["hit"])))
-            top = F.array_max(F.transform(starts, lambda i: F.struct(seen(i).alias("n"), (-i).alias("minus"))))
-            return bound(top, lambda t: F.struct(t["n"].alias("n"), F.lit(-place).alias("minus"), shown(ps, -t["minus"]).alias("text")))
+        return bound(parts, lambda ps: bound(phrase_hits(ps, words), lambda hits: best(ps, hits)))
 
-        return bound(pairs, best)
+    def shown(ps: Column, hits: Column, start: Column) -> Column:
+        def text(inside: Column) -> Column:
+            def covers(at: Column, from_before: bool) -> Column:
+                bounds = lambda h: (hit_of(h)[0] < at if from_before else hit_of(h)[0] <= at) & (at <= hit_of(h)[1])
+                return F.exists(inside, bounds)
 
-    def shown(ps: Column, start: Column) -> Column:
-        marked = F.transform(F.slice(ps, start + 1, width), lambda p: F.when(p["hit"] > 0, F.concat(F.lit(marks[0]), p["word"], F.lit(marks[1]))).otherwise(p["word"]))
-        return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(marked, " "), F.when(F.size(ps) > start + width, "…").otherwise(""))
+            def marked(word: Column, k: Column) -> Column:
+                at = start + k
+                begin = covers(at, False) & ((k == 0) | ~covers(at, True))
+                end = covers(at, False) & ((k == width - 1) | ~covers(at + 1, True))
+                return F.concat(F.when(begin, marks[0]).otherwise(""), word, F.when(end, marks[1]).otherwise(""))
 
-    found = F.filter(F.array(*[window(c, i) for i, c in enumerate(columns)]), lambda x: x["n"].isNotNull())
-    return F.array_max(found)["text"]
+            return F.array_join(F.transform(F.slice(ps, start + 1, width), marked), " ")
+
+        body = bound(F.filter(hits, lambda h: fits(h, start)), text)
+        return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(F.size(ps) > start + width, "…").otherwise(""))
+
+    # one expression for all columns, and one text for the best of their windows
+    windows = F.transform(F.array(*[F.coalesce(c, F.lit("")) for c in columns]), window)
+    made = lambda b: F.struct(b["n"].alias("n"), b["minus_column"].alias("minus_column"), b["minus_start"].alias("minus_start"), shown(b["parts"], b["hits"], -b["minus_start"]).alias("text"))
+    return bound(F.array_max(F.filter(windows, lambda x: x.isNotNull())), lambda b: F.when(b.isNotNull(), made(b)))
+
+
+def best_snippet(columns: list[Column], words: list[list[str]], width: int = 10, marks: tuple[str, str] = ("\x01", "\x02")) -> Column:
+    """The text of the best window, its phrases marked; null where nothing is hit."""
+    return best_window(columns, words, width, marks)["text"]
 
 
 def postings(docs: DataFrame, key: str, column: str) -> DataFrame:

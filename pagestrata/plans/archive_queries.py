@@ -530,8 +530,8 @@ def retry_parent_keys(spark, sf_dir):
 
 
 INDEX = f"idx AS (SELECT page_id, {sql.title('html')} AS title, {sql.text('html')} AS body FROM pages)"
-@register(rf"""WITH {INDEX}, {sql.search('idx', ['th', 'on'], {'title': 1, 'body': 1})}, b AS (SELECT page_id, title, body, score FROM found ORDER BY score, page_id LIMIT 30)
-SELECT b.page_id, b.title, {sql.normalize('p.url')} AS norm, {sql.snippet('b.body', 'th', 12)} AS snippet FROM b JOIN pages p ON p.page_id = b.page_id AND b.page_id % 5 <> 0""")
+@register(rf"""WITH {INDEX}, {sql.search('idx', ['th', 'on'], {'title': 1, 'body': 1})}, b AS (SELECT page_id, title, body, score FROM found ORDER BY score, page_id LIMIT 30), {sql.windows('b', 'page_id', 'body', [['th'], ['on']], 12)}
+SELECT b.page_id, b.title, {sql.normalize('p.url')} AS norm, coalesce(v.snippet, {sql.snippet('b.body', 'th', 12)}) AS snippet FROM b JOIN pages p ON p.page_id = b.page_id AND b.page_id % 5 <> 0 LEFT JOIN windows v ON v.page_id = b.page_id""")
 def search_pages(spark, sf_dir):
     """JN-02, JN-11, FT-07, FT-10, SL-07: the best pages of an archive; hits whose page is gone are dropped."""
     pages = views.archives(spark, sf_dir).withColumnRenamed("id", "page_id")
@@ -550,8 +550,8 @@ def archive_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(rf"""WITH {POSTS}, {sql.search('posts', ['assist', 'th'], {'author': 1, 'thread': 1, 'url': 1, 'body': 1})}, b AS (SELECT post_id, page_id, author, thread, url, body, score FROM found ORDER BY score, post_id LIMIT 30)
-SELECT post_id, page_id, author, thread, url AS norm, {sql.snippet('body', 'assist', 12)} AS snippet FROM b WHERE page_id % 3 <> 0""")
+@register(rf"""WITH {POSTS}, {sql.search('posts', ['assist', 'th'], {'author': 1, 'thread': 1, 'url': 1, 'body': 1})}, b AS (SELECT post_id, page_id, author, thread, url, body, score FROM found ORDER BY score, post_id LIMIT 30), {sql.windows('b', 'post_id', 'body', [['assist'], ['th']], 12)}
+SELECT b.post_id, page_id, author, thread, url AS norm, coalesce(v.snippet, {sql.snippet('body', 'assist', 12)}) AS snippet FROM b LEFT JOIN windows v ON v.post_id = b.post_id WHERE page_id % 3 <> 0""")
 def search_posts(spark, sf_dir):
     """JN-03, JN-10, FT-05, FT-10: the best posts with their pages; authors match too."""
     rows = archive_posts(spark, sf_dir)

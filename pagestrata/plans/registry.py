@@ -597,4 +597,4 @@ def address_bar(spark, sf_dir):
     return views.table(spark, sf_dir, "pages").select("page_id", text.address(typed, "https://s.example/?q=%s").alias("target"))
 
 
-from pagestrata.plans import archive_queries, folder_queries, index_queries, markup_queries, replay_queries, request_queries, selection_queries, stored_queries  # noqa: E402, F401
+from pagestrata.plans import archive_queries, folder_queries, index_queries, markup_queries, replay_queries, request_queries, selection_queries, snippet_queries, stored_queries  # noqa: E402, F401

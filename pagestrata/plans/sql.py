@@ -160,3 +160,24 @@ def snippet(c: str, prefix: str, width: int, before: str = "", after: str = "")
     marks = [f"chr({ord(m)})" if m else "''" for m in (before, after)]
     return rf"""(WITH w AS (SELECT list_filter(string_split_regex({c}, '\s+'), lambda x: x <> '') AS ws), a AS (SELECT ws, coalesce(list_filter(list_transform(ws, lambda x, i: CASE WHEN {has_prefix('x', prefix)} THEN i END), lambda i: i IS NOT NULL)[1], 1) AS s FROM w)
   SELECT CASE WHEN s > 1 THEN '…' ELSE '' END || array_to_string(list_transform(ws[s:s + {width} - 1], lambda x: CASE WHEN {has_prefix('x', prefix)} THEN {marks[0]} || x || {marks[1]} ELSE x END), ' ') || CASE WHEN len(ws) > s - 1 + {width} THEN '…' ELSE '' END FROM a)"""
+
+
+def windows(rows: str, key: str, c: str, phrases: list[list[str]], width: int, before: str = "", after: str = "") -> str:
+    """CTEs up to windows(key, n_phrases, snippet): the window of width words of column c of rows that holds most phrases, of one or two tokens, marked whole."""
+    found = []
+    for n, (first, *rest) in enumerate(phrases):
+        here = f"tok = '{first}' AND starts_with(tok2, '{rest[0]}')" if rest else f"starts_with(tok, '{first}')"
+        found.append(f"SELECT DISTINCT k, {n} AS phrase, i AS a, {'i2' if rest else 'i'} AS b FROM w_pairs WHERE {here}")
+    return rf"""w_texts AS (SELECT {key} AS k, list_filter(string_split_regex({c}, '\s+'), lambda x: x <> '') AS ws FROM {rows}),
+w_words AS (SELECT k, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w_texts),
+w_split AS (SELECT k, i, list_filter(regexp_split_to_array(lower(strip_accents(word)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ts FROM w_words),
+w_tokens AS (SELECT k, i, unnest(ts) AS tok, generate_subscripts(ts, 1) AS n FROM w_split),
+w_pairs AS (SELECT k, i, tok, lead(tok) OVER o AS tok2, lead(i) OVER o AS i2 FROM w_tokens WINDOW o AS (PARTITION BY k ORDER BY i, n)),
+w_hits AS ({' UNION ALL '.join(found)}),
+w_counts AS (SELECT x.k, x.a AS start, count(DISTINCT y.phrase) AS n FROM w_hits x JOIN w_hits y ON y.k = x.k AND y.a >= x.a AND y.a < x.a + {width} AND (y.b < x.a + {width} OR y.a = x.a) GROUP BY ALL),
+w_best AS (SELECT k, arg_max(start, (n, -start)) AS start, max(n) AS n FROM w_counts GROUP BY k),
+w_inside AS (SELECT b.k, h.a, h.b FROM w_best b JOIN w_hits h ON h.k = b.k AND h.a >= start AND h.a < start + {width} AND (h.b < start + {width} OR h.a = start)),
+w_shown AS (SELECT w.k, w.i, w.word, start, b.n, bool_or(x.a <= w.i AND w.i <= x.b) AS held, bool_or(x.a < w.i AND w.i <= x.b AND w.i > start) AS joined, bool_or(x.a <= w.i AND w.i < x.b AND w.i < start + {width} - 1) AS goes_on
+  FROM w_best b JOIN w_words w ON w.k = b.k AND w.i >= start AND w.i < start + {width} JOIN w_inside x ON x.k = b.k GROUP BY w.k, w.i, w.word, start, b.n),
+windows AS (SELECT s.k AS {key}, any_value(s.n) AS n_phrases, CASE WHEN any_value(start) > 0 THEN '…' ELSE '' END || string_agg(CASE WHEN held AND NOT joined THEN '{before}' ELSE '' END || word || CASE WHEN held AND NOT goes_on THEN '{after}' ELSE '' END, ' ' ORDER BY i)
+  || CASE WHEN any_value(len(t.ws)) > any_value(start) + {width} THEN '…' ELSE '' END AS snippet FROM w_shown s JOIN w_texts t ON t.k = s.k GROUP BY s.k)"""
