@@ -97,15 +97,15 @@ class Folders:
     def packed(self, ranges: list[tuple[str, int, int]]) -> list[Range]:
         """Ranges cut to the split size, small ones together in one task."""
         out: list[Range] = []
-        room = 0
+        room, open_cost = 0, min(OPEN_COST, self.split // 16)
         for name, start, end in ranges:
             step = max(end - start, 1) if self.whole else self.split
             for a in range(start, max(end, start + 1), step):
                 b = min(a + step, end)
-                cost = b - a + OPEN_COST
+                cost = b - a + open_cost
                 if not out or cost > room:
                     out.append(Range([]))
-                    room = self.split + OPEN_COST
+                    room = self.split + open_cost
                 out[-1].parts.append((name, a, b, b == end))
                 room -= cost
         return out
