@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-SEPARATOR = r"[^\p{L}\p{N}]+"
+SEPARATOR, PLAIN_SEPARATOR = r"[^\p{L}\p{N}]+", "[^a-z0-9]+"
 LIBRARY_WEIGHTS = {"title": 2, "final_url": 1, "domain": 1, "body": 1}
 
 
@@ -24,14 +24,12 @@ MARKS = "".join(map(chr, range(0x300, 0x370)))
 ACCENTED = {c: d[0] for c in map(chr, range(0x80, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) == 2 and d[0].isascii() and d[0].islower() and d[1] in MARKS}
 
 
-def folded(text: Column) -> Column:
-    """text in lower case, without accents; plain text skips the table."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, "".join(ACCENTED) + MARKS, "".join(ACCENTED.values()))).otherwise(low)
-
-
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(folded(text), SEPARATOR), lambda t: t != "")
+    """Words of text in lower case, without accents; plain text skips the table and is split by ASCII's letters and digits, which are the same."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    bare = F.translate(low, "".join(ACCENTED) + MARKS, "".join(ACCENTED.values()))
+    plain = F.octet_length(low) == F.char_length(low)
+    return F.array_remove(F.when(plain, F.split(low, PLAIN_SEPARATOR)).otherwise(F.split(bare, SEPARATOR)), "")
 
 
 def query_words(text: str) -> list[list[str]]:
@@ -81,12 +79,17 @@ def search(docs: DataFrame, text: str, weights: Mapping[str, int] = LIBRARY_WEIG
 
 def snippet(text: Column, phrase: list[str], width: int = 10, marks: tuple[str, str] = ("\x01", "\x02")) -> Column:
     """The first window of width words that starts at a hit, hits marked, with an ellipsis where text is cut."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
     hit = lambda w: F.exists(tokens(w), lambda t: t.startswith(phrase[0]))
-    at = F.get(F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull()), F.lit(0))
-    start = F.coalesce(at, F.lit(0))
-    window = F.transform(F.slice(words, start + 1, width), lambda w: F.when(hit(w), F.concat(F.lit(marks[0]), w, F.lit(marks[1]))).otherwise(w))
-    return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(window, " "), F.when(F.size(words) > start + width, "…").otherwise(""))
+
+    def shown(words: Column, start: Column) -> Column:
+        window = F.transform(F.slice(words, start + 1, width), lambda w: F.when(hit(w), F.concat(F.lit(marks[0]), w, F.lit(marks[1]))).otherwise(w))
+        return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(window, " "), F.when(F.size(words) > start + width, "…").otherwise(""))
+
+    def cut(words: Column) -> Column:
+        at = F.get(F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull()), F.lit(0))
+        return bound(F.coalesce(at, F.lit(0)), lambda start: shown(words, start))
+
+    return bound(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""), cut)
 
 
 def phrase_hits(parts: Column, words: list[list[str]]) -> Column:

@@ -15,21 +15,25 @@ tokens is a phrase inside one column, met by the positions of its tokens, whose
 prefix. Scores are those of operators.search, whose document frequencies and lengths cover every document of the index.
 
 Defined cases: rows without a full key take no part; a key that is added again replaces
-its document; a key twice in one addition is one document with both texts' tokens; null columns are empty;
+its document; a key twice in one addition is one document with both texts' tokens, one text after the other; null columns are empty;
 blank words find nothing; an empty index finds nothing.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata.operators.search import B, K1, LEAST_IDF, query_words, tokens
 from pagestrata.sources import versions
+from pagestrata.sources.tables import new_path
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -45,6 +49,38 @@ def token_matches(phrase: list[str]) -> list[Column]:
     return [*[F.col("term") == t for t in phrase[:-1]], F.col("term").startswith(phrase[-1])]
 
 
+#: Tokens that are grouped at a time; a text of more is grouped alone.
+BATCH_TOKENS = 1 << 20
+
+
+def by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (column, key, tokens) to rows (term, column, key, tf, positions in order), a row per term; no tokens: one row without term.
+
+    Rows are taken together up to BATCH_TOKENS tokens.
+    """
+    for batch in batches:
+        lists = batch.column("tokens")
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_TOKENS, "right")))
+            part, at = batch.slice(at, upto - at), upto
+            n = pc.list_value_length(part.column("tokens")).to_numpy()
+            rows, words = np.repeat(np.arange(len(n)), n), part.column("tokens").flatten().dictionary_encode()
+            place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            group = rows * max(len(words.dictionary), 1) + words.indices.to_numpy()
+            order = np.argsort(group, kind="stable")
+            firsts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            # rows without tokens follow those with
+            bare = np.flatnonzero(n == 0)
+            source = pa.array(np.concatenate([rows[order][firsts], bare]).astype("int64"))
+            terms = pa.concat_arrays([words.take(pa.array(order[firsts])).dictionary_decode(), pa.nulls(len(bare), pa.string())])
+            offsets = np.concatenate([firsts, np.full(len(bare) + 1, len(order))]).astype("int32")
+            positions = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order].astype("int32")))
+            made = {c: part.column(c).take(source) for c in part.schema.names if c != "tokens"}
+            yield pa.RecordBatch.from_pydict({"term": terms} | made | {"tf": pa.array(np.diff(offsets).astype("int64")), "positions": positions})
+
+
 class TextIndex:
     """The index at a path; an instance reads the version that was the newest when it was made or last changed."""
 
@@ -94,29 +130,40 @@ class TextIndex:
                 fs.delete(status.getPath(), True)
 
     def _write(self, docs: DataFrame | None, dead: DataFrame | None) -> None:
-        parts = (None, None) if docs is None else (self._postings_of(docs), self._lengths_of(docs))
-        self._publish([*self.content["generations"], self._written(*parts, dead)])
-
-    def _postings_of(self, docs: DataFrame) -> DataFrame:
-        """(term, column, key, position): a row per token."""
-        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("tokens")) for c in self.columns]))
-        split = docs.where(_all([F.col(k).isNotNull() for k in self.key])).select(*self.key, each.alias("_c"))
-        return split.select(*self.key, F.col("_c.column").alias("column"), F.posexplode("_c.tokens").alias("position", "term"))
-
-    def _lengths_of(self, docs: DataFrame) -> DataFrame:
+        if docs is None:
+            self._publish([*self.content["generations"], self._written(None, None, dead)])
+            return
+        path = new_path(self.spark)
+        try:
+            # read twice for the postings, whose ranges are sampled first, and once for the lengths, so texts are split once
+            self._split(docs).write.parquet(path)
+            split = self.spark.read.schema(self._schema("postings")).parquet(path)
+            made = self._written(split.where("term is not null"), self._lengths_of(split), dead)
+        finally:
+            versions.delete(self.spark, path)
+        self._publish([*self.content["generations"], made])
+
+    def _split(self, docs: DataFrame) -> DataFrame:
+        """Postings of documents, by document, and a row without term for each column without tokens.
+
+        The grouping by key, before anything is split, deals the texts to all tasks, however few their files' row groups are.
+        """
         known = docs.where(_all([F.col(k).isNotNull() for k in self.key]))
-        return known.groupBy(*self.key).agg(*[F.sum(F.size(tokens(F.col(c)))).alias(f"n_{c}") for c in self.columns])
+        one = known.groupBy(*self.key).agg(F.collect_list(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(self.columns)])).alias("_d"))
+        texts = F.sort_array("_d")
+        parts = [F.struct(F.lit(c).alias("column"), F.array_join(texts[f"c{i}"], " ").alias("text")) for i, c in enumerate(self.columns)]
+        each = one.select(*self.key, F.explode(F.array(*parts)).alias("_c"))
+        return each.select("_c.column", *self.key, tokens(F.col("_c.text")).alias("tokens")).mapInArrow(by_term, self._schema("postings"))
+
+    def _lengths_of(self, split: DataFrame) -> DataFrame:
+        return split.groupBy(*self.key).agg(*[F.sum(F.when(F.col("column") == c, F.col("tf"))).alias(f"n_{c}") for c in self.columns])
 
     def _written(self, postings: DataFrame | None, lengths: DataFrame | None, dead: DataFrame | None) -> dict:
         at = uuid.uuid4().hex
         made = {}
         if postings is not None:
             order = ["term", "column", *self.key]
-            ranged = postings.repartitionByRange(*order)
-            if "position" in postings.columns:
-                # the ranges hold all rows of a posting together, so this grouping moves nothing
-                ranged = ranged.groupBy(*order).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-            made["postings"] = ranged.select(*order, "tf", "positions").sortWithinPartitions(*order)
+            made["postings"] = postings.select(*order, "tf", "positions").repartitionByRange(*order).sortWithinPartitions(*order)
             made["lengths"] = lengths.select(*self.key, *[f"n_{c}" for c in self.columns])
         if dead is not None:
             made["dead"] = dead.dropna().distinct()

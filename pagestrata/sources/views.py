@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per captured page: identities, title, body, size, status, time and soft-delete flag."""
+    """One row per captured page: identities, title, body, size, status, time and soft-delete flag.
+
+    Pages are dealt by their ids before they are read as HTML: a file of few row groups would be few tasks.
+    """
     url = F.col("url")
-    return table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages").repartition("page_id").select(
         F.col("page_id").alias("id"),
         url.alias("final_url"),
         urls.canonicalize(url).alias("canonical_url"),

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pagestrata.operators import search
+from pagestrata.operators import search, text_index
 from pagestrata.operators.text_index import TextIndex
 from pagestrata.sources import versions
 from pagestrata.sources.tables import new_path
@@ -97,3 +97,34 @@ def test_prefix_ranges_reach_the_scan(spark):
     index = TextIndex.build(frame(spark, docs_of(random.Random(5), 50)), new_path(spark), ["id"], ["title", "body"])
     plan = index.matches("alp")._jdf.queryExecution().toString()
     assert "StringStartsWith(term,alp)" in plan and "positions" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_texts_are_split_once_and_dealt_to_tasks(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        runs.add(1)
+        return text
+
+    rows = docs_of(random.Random(6), 40)
+    docs = frame(spark, rows).coalesce(1)
+    index = TextIndex.build(docs.withColumn("body", seen("body")), new_path(spark), ["id"], ["title", "body"])
+    assert runs.value == 40  # sampled ranges and lengths read what was split
+    same(spark, index, rows)
+
+
+def test_grouping_of_batches_and_a_key_twice(spark, monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(7)
+    for limit in (1, 5, 1 << 20):
+        monkeypatch.setattr(text_index, "BATCH_TOKENS", limit)
+        lists = [[rnd.choice("abc") for _ in range(rnd.randrange(5))] for _ in range(20)]
+        batch = pa.RecordBatch.from_pydict({"id": list(range(22)), "column": ["body"] * 22, "tokens": pa.array([[], *lists, []], pa.list_(pa.string()))}).slice(1)
+        found = sorted((r["id"], r["term"] or "", r["tf"], r["positions"]) for b in text_index.by_term(iter([batch])) for r in b.to_pylist())
+        plain = [(i, t, ts.count(t), [k for k, u in enumerate(ts) if u == t]) for i, ts in enumerate([*lists, []], 1) for t in (sorted(set(ts)) or [""])]
+        assert found == [(i, t, n, at) if t else (i, "", 0, []) for i, t, n, at in plain]
+    index = TextIndex.build(frame(spark, [(1, None, "alpha beta"), (1, "t", "gamma alpha"), (2, None, None)]), new_path(spark), ["id"], ["title", "body"])
+    assert {r.term: (r.n_docs, r.n_hits) for r in index.terms().collect()} == {"alpha": (1, 2), "beta": (1, 1), "gamma": (1, 1), "t": (1, 1)}
+    assert [tuple(r) for r in index._live("lengths").orderBy("id").collect()] == [(1, 1, 4), (2, 0, 0)]
