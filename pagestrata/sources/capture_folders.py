@@ -13,7 +13,7 @@ Filters archive_id = ... and archive_id IN (...) are pushed: only the folders as
 and the root isn't listed. Text is parsed in Spark (`records`, `sidecars`), not here.
 
 Options: path, the root, of a file system that pyarrow knows; file, the file's name in each folder; whole, "true" for one row a
-file; splitSize, bytes a task; maxLine, the longest line in bytes.
+file; splitSize, bytes a range, and a task where there are few; maxLine, the longest line in bytes.
 
 Defined cases: folders without the file, files that vanish meanwhile and hidden folders (a dot or an underscore first) give no rows; an empty file gives
 none either, or one empty row where whole is set; a line (or a whole file) over maxLine is a torn row with null line and null offset; bytes
@@ -26,18 +26,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs as files
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 FORMAT = "capture_folders"
 SCHEMA = "archive_id string, offset long, line string, torn boolean"
 BATCH = pa.schema([("archive_id", pa.string()), ("offset", pa.int64()), ("line", pa.string()), ("torn", pa.bool_())])
 CHUNK, OPEN_COST, BATCH_BYTES = 1 << 20, 1 << 20, 8 << 20
 SPLIT_SIZE, MAX_LINE = 128 << 20, 16 << 20
+FEW_TASKS = 200
 
 # Names of the files, the version of sidecars and the fields that a usable sidecar has.
 JOURNAL, SIDECAR = "checkpoint.jsonl", "checkpoint-meta.json"
@@ -95,9 +98,13 @@ class Folders:
         return {n: i.size for n, i in zip(names, found) if i.type == files.FileType.File}
 
     def packed(self, ranges: list[tuple[str, int, int]]) -> list[Range]:
-        """Ranges cut to the split size, small ones together in one task."""
+        """Ranges cut to the split size, small ones together in one task.
+
+        Over FEW_TASKS tasks, a task takes more ranges, up to SPLIT_SIZE, so that a small split size doesn't make tasks in proportion to the bytes.
+        """
         out: list[Range] = []
         room, open_cost = 0, min(OPEN_COST, self.split // 16)
+        most = max(self.split, min(SPLIT_SIZE, sum(end - start + open_cost for _, start, end in ranges) // FEW_TASKS))
         for name, start, end in ranges:
             step = max(end - start, 1) if self.whole else self.split
             for a in range(start, max(end, start + 1), step):
@@ -105,7 +112,7 @@ class Folders:
                 cost = b - a + open_cost
                 if not out or cost > room:
                     out.append(Range([]))
-                    room = self.split + open_cost
+                    room = most + open_cost
                 out[-1].parts.append((name, a, b, b == end))
                 room -= cost
         return out
@@ -221,33 +228,36 @@ class FolderStream(Folders, DataSourceStreamReader):
         return self.batches(partition, torn=False)
 
 
-class FolderWriter(Folders, DataSourceWriter):
+class FolderWriter(Folders, DataSourceArrowWriter):
     """Writes rows (archive_id, line) as files; a capture's rows come to one task, one after another.
 
     A file appears under its name when it is whole, and takes the place of an older one. A task that is run again writes the
     same file again, so a lost executor leaves neither half a file nor lines twice.
     """
 
-    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, base = self.opened()
         done, name, out, hidden = set(), None, None, ""
+        feed = "" if self.whole else "\n"
 
         def close() -> None:
             if out is not None:
                 out.close()
                 system.move(hidden, f"{base}/{name}/{self.file}")
 
-        for row in iterator:
-            if row["archive_id"] != name:
-                close()
-                name = row["archive_id"]
-                if not name or name in done or "/" in name or name[0] in "._":
-                    raise ValueError(f"rows of captures must come together, under names that can be folders: {name!r}")
-                done.add(name)
-                system.create_dir(f"{base}/{name}", recursive=True)
-                hidden = f"{base}/{name}/.{self.file}-{uuid.uuid4().hex}"
-                out = system.open_output_stream(hidden)
-            out.write(row["line"].encode() + (b"" if self.whole else b"\n"))
+        for each in iterator:
+            rows = zip(each.column("archive_id").to_pylist(), each.column("line").to_pylist())
+            for capture, found in groupby(rows, key=itemgetter(0)):
+                if out is None or capture != name:
+                    close()
+                    name, out = capture, None
+                    if not name or name in done or "/" in name or name[0] in "._":
+                        raise ValueError(f"rows of captures must come together, under names that can be folders: {name!r}")
+                    done.add(name)
+                    system.create_dir(f"{base}/{name}", recursive=True)
+                    hidden = f"{base}/{name}/.{self.file}-{uuid.uuid4().hex}"
+                    out = system.open_output_stream(hidden)
+                out.write("".join(f"{line}{feed}" for _, line in found).encode())
         close()
         return WriterCommitMessage()
 

@@ -146,3 +146,11 @@ def test_sidecars(spark, tmp_path):
     assert {n for n, r in rows.items() if r["usable"]} == {"good", "more"}
     assert rows["good"]["start_url"] == "https://x.example/" and rows["version"]["version"] == 2 and rows["cut"]["version"] is None
     assert {r["archive_id"] for r in folders.sidecars(spark, str(tmp_path), ["good", "cut", "gone"]).collect()} == {"good", "cut"}
+
+
+def test_a_small_split_size_makes_no_tasks_in_proportion(tmp_path):
+    reader = folders.FolderReader({"path": str(tmp_path), "splitSize": str(64 << 10)})
+    few, many = ([(str(i), 0, 10_000) for i in range(n)] for n in (300, 300_000))
+    assert len(reader.packed(few)) == 75 and len(reader.packed(many)) <= 201
+    assert [p for task in reader.packed(many) for p in task.parts] == [(n, a, b, True) for n, a, b in many]
+    assert max(b - a for task in reader.packed([("x", 0, 1 << 30)]) for _, a, b, _ in task.parts) == 64 << 10
