@@ -16,6 +16,7 @@ gives. discard() deletes a checkpoint and its table.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,14 +33,17 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Cached:
-    """Map state of which each key is read once and written once a micro-batch."""
+    """Map state of which each key is read once and written once a micro-batch; the keys of an empty one aren't asked for."""
 
     def __init__(self, state):
-        self.state, self.now, self.before = state, {}, {}
+        self.state, self.now, self.before, self.holds = state, {}, {}, None
 
     def __getitem__(self, key: str):
         if key not in self.now:
-            self.now[key] = self.before[key] = tuple(self.state.getValue((key,))) if self.state.containsKey((key,)) else None
+            if self.holds is None:
+                self.holds = self.state.exists()
+            value = self.state.getValue((key,)) if self.holds else None
+            self.now[key] = self.before[key] = None if value is None else tuple(value)
         return self.now[key]
 
     def __setitem__(self, key: str, value: tuple) -> None:
@@ -64,6 +68,9 @@ def after(adds: str, seq: int) -> list[tuple[str, int]]:
     return sorted(first.items(), key=lambda x: x[1])
 
 
+Record = namedtuple("Record", "seq t norm sha url title target post_id kind total ts")
+
+
 class Replay(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -78,7 +85,8 @@ class Replay(StatefulProcessor):
         last = {"route": Cached(self.routes), "response": Cached(self.responses)}
         out: list[tuple] = []
         for frame in rows:
-            for r in frame.where(frame.notna(), None).itertuples(index=False):
+            # as lists: what pandas does with a frame takes longer than the few rows of most captures
+            for r in map(Record._make, zip(*[frame[c].tolist() for c in Record._fields])):
                 seq = int(r.seq)
                 if r.t in ("page", "failure", "forumPost"):
                     what, value = {"page": ("page", r.norm), "failure": ("failure", f"{r.kind}|{r.norm}"), "forumPost": ("post", r.post_id)}[r.t]
@@ -103,7 +111,7 @@ class Replay(StatefulProcessor):
                     if (last[r.t][name] or (-1,))[0] < seq:
                         last[r.t][name] = (seq, value)
                 elif r.t == "stat":
-                    for what, value in (("stat", r.total), ("title", r.title)):
+                    for what, value in (("stat", None if pd.isna(r.total) else int(r.total)), ("title", r.title)):
                         if value and (totals[what] or (-1,))[0] < seq:
                             totals[what] = (seq, str(value))
                 elif r.t == "finish":
@@ -122,10 +130,8 @@ class Replay(StatefulProcessor):
         for what, cache in (*last.items(), ("total", totals)):
             out += [(name if what == "total" else what, "" if what == "total" else name, now[0], now[1], False) for name, _, now in cache.changes()]
         if out:
-            made = pd.DataFrame(out, columns=["what", "key", "seq", "value", "_gone"])
-            made.insert(0, "archive_id", key[0])
-            made["seq"] = made["seq"].astype("int64")
-            yield made
+            what, name, seq, value, gone = zip(*out)
+            yield pd.DataFrame({"archive_id": [key[0]] * len(out), "what": what, "key": name, "seq": pd.array(seq, "int64"), "value": value, "_gone": gone})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for state in (self.queue, self.assets, self.routes, self.responses, self.totals):

@@ -129,3 +129,20 @@ def test_state_goes_after_a_finish(spark):
     kept = [p.stateOperators[0].numRowsTotal for p in run.recentProgress if p.stateOperators]
     assert max(kept) > 30 and kept[-1] < 15
     assert len(rows_of(replaying.kept(spark, path))) == 30 + 3 + 2
+
+
+def test_state_is_asked_for_once_a_key_and_never_where_it_is_empty():
+    class State(dict):
+        asked = 0
+
+        def exists(self):
+            return bool(self)
+
+        def getValue(self, key):
+            self.asked += 1
+            return self.get(key)
+
+    for held, asked in (({}, 0), ({("a",): (1,)}, 2)):
+        state = State(held)
+        cached = replaying.Cached(state)
+        assert [cached["a"], cached["b"], cached["a"]] == [held.get(("a",)), None, held.get(("a",))] and state.asked == asked
