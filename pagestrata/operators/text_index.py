@@ -1,9 +1,11 @@
 """A kept positional index for full-text search, with changes as deltas.
 
-Postings (term, column, key, tf, positions) are written once, dealt out and sorted by range
-of (term, column, key): a prefix is a range of terms, so a search reads the row groups and
-pages of that range only, and a term that every document holds is spread over several files. Beside
-them stand the documents' lengths, a row each.
+Postings (term, column, key, tf, positions) are kept as blocks: a row holds up to BLOCK postings of a
+term in a column, as lists of their keys, tfs and positions. Blocks are dealt to files by (term, column,
+first key) and sorted by term in each: a prefix is a range of each file's rows, so a search reads the row groups and
+pages of that range only, and a term that every document holds is spread over all files. Beside
+them stand the documents' lengths, a row each. Dealing by hash needs no sample of what is dealt, so a text is
+split on its way to its files and isn't written before.
 
 A change writes a generation of its own: postings and lengths of what it adds, and the keys
 whose older rows are dead. Readers leave out rows of generations older than their key's newest
@@ -31,9 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.operators.search import B, K1, LEAST_IDF, query_words, tokens
+from pagestrata.operators.search import ACCENTED, B, K1, LEAST_IDF, MARKS, SEPARATOR, query_words
 from pagestrata.sources import versions
-from pagestrata.sources.tables import new_path
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -81,6 +82,91 @@ def by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"term": terms} | made | {"tf": pa.array(np.diff(offsets).astype("int64")), "positions": positions})
 
 
+#: Postings of one row, at most.
+BLOCK = 512
+#: Bytes of text that are cut into words at a time; a longer text is cut alone.
+BATCH_BYTES = 1 << 23
+#: How blocks are kept; an index that is kept otherwise isn't read.
+LAYOUT = 2
+#: Up to so many removed or replaced keys go to all tasks; with more, postings and keys are shuffled to meet.
+BROADCAST_KEYS = 2_000_000
+
+_IN_WORDS = np.zeros(256, bool)
+_IN_WORDS[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
+
+
+def plain_words(text: Column) -> Column:
+    """Text whose runs of ASCII digits, small ASCII letters and characters beyond ASCII are search.tokens(text)."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    bare = F.translate(low, "".join(ACCENTED) + MARKS, "".join(ACCENTED.values()))
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.regexp_replace(bare, SEPARATOR, " "))
+
+
+def cut_words(texts: pa.Array) -> pa.Array:
+    """Lists of the words of texts from plain_words."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], "int64")[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", "uint8")[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = _IN_WORDS[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    firsts = ends[:-1][ends[:-1] < len(data)]
+    begins[firsts] = inside[firsts]
+    starts = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside)).astype("int32")
+    words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data[inside]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(np.flatnonzero(begins), ends).astype("int32")), words)
+
+
+def _block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    names = batches[0].schema.names
+    flat = {c: pa.concat_arrays([b.column(c) for b in batches]) for c in names}
+    terms, columns = flat["term"].fill_null("").dictionary_encode(), flat["column"].dictionary_encode()
+    group = terms.indices.to_numpy().astype("int64") * len(columns.dictionary) + columns.indices.to_numpy()
+    order = np.argsort(group, kind="stable")
+    firsts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(firsts, np.diff(firsts, append=len(order)))
+    starts = np.flatnonzero(place % BLOCK == 0)
+    offsets = pa.array(np.append(starts, len(order)).astype("int32"))
+    order, source = pa.array(order), pa.array(order[starts])
+    return pa.RecordBatch.from_pydict({c: flat[c].take(source) if c in ("term", "column") else pa.ListArray.from_arrays(offsets, flat[c].take(order)) for c in names})
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings to blocks, of as many batches together as have BATCH_TOKENS rows or positions."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += max(batch.num_rows, len(batch.column("positions").flatten()))
+        if size >= BATCH_TOKENS:
+            yield _block(held)
+            held, size = [], 0
+    if held:
+        yield _block(held)
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (column, key, text) from plain_words to blocks of their postings, and to blocks without term whose tf is the number of a text's words."""
+
+    def cut() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(), dtype="int64")
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right")))
+                part, at = batch.slice(at, upto - at), upto
+                kept = {c: part.column(c) for c in part.schema.names if c != "text"}
+                yield pa.RecordBatch.from_pydict(kept | {"tokens": cut_words(part.column("text"))})
+
+    for part in cut():
+        kept = {c: part.column(c) for c in part.schema.names if c != "tokens"}
+        n = pc.list_value_length(part.column("tokens")).cast(pa.int64())
+        none = pa.ListArray.from_arrays(pa.array(np.zeros(len(n) + 1, "int32")), pa.array([], pa.int32()))
+        yield _block([pa.RecordBatch.from_pydict({"term": pa.nulls(len(n), pa.string())} | kept | {"tf": n, "positions": none})])
+        yield from blocks(b.filter(b.column("term").is_valid()) for b in by_term(iter([part])))
+
+
 class TextIndex:
     """The index at a path; an instance reads the version that was the newest when it was made or last changed."""
 
@@ -89,13 +175,15 @@ class TextIndex:
         self.version, self.content = versions.latest(spark, path)
         if not self.version:
             raise FileNotFoundError(f"no index at {path}")
+        if self.content.get("layout") != LAYOUT:
+            raise ValueError(f"the index at {path} has another layout; build it again")
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, key: list[str], columns: list[str]) -> TextIndex:
         types = dict(docs.dtypes)
         index = cls.__new__(cls)
         index.spark, index.path, index.version = docs.sparkSession, path, 0
-        index.content = {"key": [[k, types[k]] for k in key], "columns": columns, "generations": []}
+        index.content = {"key": [[k, types[k]] for k in key], "columns": columns, "layout": LAYOUT, "generations": []}
         index._write(docs, None)
         return index
 
@@ -118,7 +206,9 @@ class TextIndex:
 
     def compact(self) -> None:
         """One generation with what is alive now."""
-        self._publish([self._written(self._live("postings"), self._live("lengths"), None)])
+        live = self._live("postings", positions=True).select("term", "column", *self.key, "tf", "positions")
+        made = self._written(live.mapInArrow(blocks, self._schema("postings")), self._live("lengths"), None)
+        self._publish([made])
 
     def vacuum(self) -> None:
         """Deletes the data that the newest version doesn't name; readers of older versions lose theirs."""
@@ -133,43 +223,48 @@ class TextIndex:
         if docs is None:
             self._publish([*self.content["generations"], self._written(None, None, dead)])
             return
-        path = new_path(self.spark)
-        try:
-            # read twice for the postings, whose ranges are sampled first, and once for the lengths, so texts are split once
-            self._split(docs).write.parquet(path)
-            split = self.spark.read.schema(self._schema("postings")).parquet(path)
-            made = self._written(split.where("term is not null"), self._lengths_of(split), dead)
-        finally:
-            versions.delete(self.spark, path)
+        made = self._written(self._split(docs), None, dead)
         self._publish([*self.content["generations"], made])
 
     def _split(self, docs: DataFrame) -> DataFrame:
-        """Postings of documents, by document, and a row without term for each column without tokens.
+        """Blocks of documents' postings, and blocks without term of the lengths of their columns.
 
-        The grouping by key, before anything is split, deals the texts to all tasks, however few their files' row groups are.
+        Dealing by key, before anything is split, gives texts to all tasks, however few their files' row groups are. Texts
+        are gathered by key only where a key comes twice, which the keys alone tell.
         """
         known = docs.where(_all([F.col(k).isNotNull() for k in self.key]))
-        one = known.groupBy(*self.key).agg(F.collect_list(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(self.columns)])).alias("_d"))
-        texts = F.sort_array("_d")
-        parts = [F.struct(F.lit(c).alias("column"), F.array_join(texts[f"c{i}"], " ").alias("text")) for i, c in enumerate(self.columns)]
+        if known.groupBy(*self.key).count().where("count > 1").isEmpty():
+            one = known.repartition(*self.key)
+            texts = [F.col(c) for c in self.columns]
+        else:
+            one = known.groupBy(*self.key).agg(F.collect_list(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(self.columns)])).alias("_d"))
+            texts = [F.array_join(F.sort_array("_d")[f"c{i}"], " ") for i in range(len(self.columns))]
+        parts = [F.struct(F.lit(c).alias("column"), t.cast("string").alias("text")) for c, t in zip(self.columns, texts, strict=True)]
         each = one.select(*self.key, F.explode(F.array(*parts)).alias("_c"))
-        return each.select("_c.column", *self.key, tokens(F.col("_c.text")).alias("tokens")).mapInArrow(by_term, self._schema("postings"))
+        return each.select("_c.column", *self.key, plain_words(F.col("_c.text")).alias("text")).mapInArrow(text_blocks, self._schema("postings"))
 
     def _lengths_of(self, split: DataFrame) -> DataFrame:
-        return split.groupBy(*self.key).agg(*[F.sum(F.when(F.col("column") == c, F.col("tf"))).alias(f"n_{c}") for c in self.columns])
+        return self._flat(split.where("term is null")).groupBy(*self.key).agg(*[F.sum(F.when(F.col("column") == c, F.col("tf"))).alias(f"n_{c}") for c in self.columns])
 
     def _written(self, postings: DataFrame | None, lengths: DataFrame | None, dead: DataFrame | None) -> dict:
         at = uuid.uuid4().hex
         made = {}
         if postings is not None:
-            order = ["term", "column", *self.key]
-            made["postings"] = postings.select(*order, "tf", "positions").repartitionByRange(*order).sortWithinPartitions(*order)
+            order = ["term", "column", *[F.get(k, F.lit(0)) for k in self.key]]
+            made["postings"] = postings.repartition(*order).sortWithinPartitions(*order)
+        if lengths is not None:
             made["lengths"] = lengths.select(*self.key, *[f"n_{c}" for c in self.columns])
         if dead is not None:
             made["dead"] = dead.dropna().distinct()
         for kind, df in made.items():
             df.write.parquet(f"{self.path}/data/{at}/{kind}")
-        return {"at": at, "kinds": list(made)}
+        if postings is not None and lengths is None:
+            # the blocks of lengths stand first in each file
+            split = self.spark.read.schema(self._schema("postings")).parquet(f"{self.path}/data/{at}/postings")
+            made["lengths"] = self._lengths_of(split)
+            made["lengths"].write.parquet(f"{self.path}/data/{at}/lengths")
+        n_dead = self.spark.read.parquet(f"{self.path}/data/{at}/dead").count() if "dead" in made else 0
+        return {"at": at, "kinds": list(made), "n_dead": n_dead}
 
     def _publish(self, generations: list[dict]) -> None:
         content = self.content | {"generations": generations}
@@ -179,23 +274,33 @@ class TextIndex:
     # Reading
 
     def _schema(self, kind: str) -> str:
-        key = ", ".join(f"`{k}` {t}" for k, t in self.content["key"])
-        more = {"postings": "tf long, positions array<int>", "lengths": ", ".join(f"`n_{c}` long" for c in self.columns), "dead": ""}[kind]
+        key = ", ".join(f"`{k}` array<{t}>" if kind == "postings" else f"`{k}` {t}" for k, t in self.content["key"])
+        more = {"postings": "tf array<long>, positions array<array<int>>", "lengths": ", ".join(f"`n_{c}` long" for c in self.columns), "dead": ""}[kind]
         return ", ".join(x for x in (("term string, column string" if kind == "postings" else ""), key, more) if x)
 
     def _generations(self, kind: str) -> list[DataFrame]:
         read = self.spark.read.schema(self._schema(kind))
         return [read.parquet(f"{self.path}/data/{g['at']}/{kind}").withColumn("_generation", F.lit(i)) for i, g in enumerate(self.content["generations"]) if kind in g["kinds"]]
 
-    def _live(self, kind: str, wanted: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-        """Rows of all generations that no later change has killed; wanted is applied to each generation's rows first."""
-        parts = [wanted(df) for df in self._generations(kind)]
+    def _flat(self, kept: DataFrame, positions: bool = False) -> DataFrame:
+        """A row per posting of blocks, with positions only where they are asked for, as they are most of what is read."""
+        lists = [*self.key, *(["positions"] if positions else [])]
+        others = [c for c in kept.columns if c not in (*self.key, "tf", "positions")]
+        # values are taken out of their lists by place: zipped lists would be built anew for each block
+        return kept.select(*others, *lists, F.posexplode("tf").alias("_i", "tf")).select(*others, *[F.get(c, F.col("_i")).alias(c) for c in self.key], "tf", *[F.get(c, F.col("_i")).alias(c) for c in lists[len(self.key) :]])
+
+    def _live(self, kind: str, wanted: Callable[[DataFrame], DataFrame] = lambda df: df, positions: bool = False) -> DataFrame:
+        """Rows of all generations that no later change has killed; wanted is applied to each generation's rows first, to blocks of postings."""
+        flat = (lambda df: self._flat(wanted(df.where("term is not null")), positions)) if kind == "postings" else wanted
+        parts = [flat(df) for df in self._generations(kind)]
         if not parts:
-            return wanted(self.spark.createDataFrame([], self._schema(kind)))
+            return flat(self.spark.createDataFrame([], self._schema(kind)))
         rows = reduce(DataFrame.unionByName, parts)
         deaths = self._generations("dead")
         if deaths:
             newest = reduce(DataFrame.unionByName, deaths).groupBy(*self.key).agg(F.max("_generation").alias("_death"))
+            if sum(g["n_dead"] for g in self.content["generations"]) <= BROADCAST_KEYS:
+                newest = F.broadcast(newest)
             rows = rows.join(newest, self.key, "left").where(F.col("_death").isNull() | (F.col("_generation") >= F.col("_death"))).drop("_death")
         return rows.drop("_generation")
 
@@ -212,7 +317,7 @@ class TextIndex:
         phrases = query_words(text)
         weights = weights or dict.fromkeys(self.columns, 1)
         wanted = _any([_any(token_matches(p)) for p in phrases]) & F.col("column").isin(list(weights))
-        rows = self._live("postings", lambda df: df.where(wanted))
+        rows = self._live("postings", lambda df: df.where(wanted), positions=any(len(p) > 1 for p in phrases))
         weight = reduce(lambda acc, cw: F.when(F.col("column") == cw[0], cw[1]).otherwise(acc), weights.items(), F.lit(0))
         single = [len(p) == 1 for p in phrases]
         if not all(single):

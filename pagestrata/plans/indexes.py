@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagestrata.operators.text_index import TextIndex
+from pagestrata.operators.text_index import LAYOUT, TextIndex
 from pagestrata.sources import versions
 from pagestrata.sources.tables import shared_folder
 
@@ -23,7 +23,7 @@ def kept(docs: DataFrame, name: str, key: list[str], columns: list[str]) -> Text
         fs, at = versions.hadoop(spark, f)
         status = fs.getFileStatus(at)
         stamps.append(f"{f} {status.getLen()} {status.getModificationTime()}")
-    path = f"{shared_folder(spark)}/index-{name}-{hashlib.sha256(chr(10).join(stamps).encode()).hexdigest()[:24]}"
+    path = f"{shared_folder(spark)}/index{LAYOUT}-{name}-{hashlib.sha256(chr(10).join(stamps).encode()).hexdigest()[:24]}"
     if not versions.numbers(spark, path):
         try:
             return TextIndex.build(docs, path, key, columns)
