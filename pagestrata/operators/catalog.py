@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.operators import search
 from pagestrata.operators.text_index import TextIndex
+from pagestrata.sources.tables import settle
 
 OLDEST_CONSIDERED = 10_000
 MAX_PAGE, MAX_SEARCH, MAX_DOMAIN = 500, 512, 255
@@ -72,7 +73,7 @@ class LibraryQuery:
             best = found.orderBy(*order).offset(self.offset).limit(self.limit)
         else:
             # the page is picked by scores and filters alone; texts are read for its rows only, at most MAX_PAGE
-            picked = found.select("id", "score").orderBy(*order).offset(self.offset).limit(self.limit)
+            picked = settle(found.select("id", "score").orderBy(*order).offset(self.offset).limit(self.limit))
             best = archives.join(F.broadcast(picked.select("id")), "id", "left_semi").repartition("id").join(F.broadcast(picked), "id")
         shown = best.withColumn("snippet", search.best_snippet([F.col(c) for c in search.LIBRARY_WEIGHTS], search.query_words(self.search)))
         return shown if index is None else shown.orderBy(*order)

@@ -1,7 +1,7 @@
 """Pages of hits are settled: a search runs once, and nothing but its hits is read as HTML."""
 
 from pagestrata.functions import urls
-from pagestrata.operators import results
+from pagestrata.operators import catalog, results
 from pagestrata.operators.text_index import TextIndex
 from pagestrata.sources import views
 from pagestrata.sources.tables import new_path
@@ -17,3 +17,10 @@ def test_page_results_meet_pages_by_semi_joins(spark):
     found = results.page_results(texts, known, "th on", kept=kept)
     assert not any("/postings/" in f for f in found.inputFiles())
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2  # of texts and of pages
+
+
+def test_library_pages_search_once(spark):
+    rows = views.archives(spark, DATA)
+    index = TextIndex.build(rows.where("not deleted"), new_path(spark), ["id"], ["title", "final_url", "domain", "body"])
+    page = catalog.LibraryQuery(search="th on", limit=20).page(rows, index)
+    assert not any("/postings/" in f for f in page.inputFiles()) and page.count() == 20
