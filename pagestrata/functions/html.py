@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DROPPED = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<head\b[^>]*>.*?</head>|<textarea\b[^>]*>.*?</textarea>"
+#: What DROPPED matches, written for Java: < stands first, so that other characters are passed by one comparison, not five.
+_DROPPED_FAST = r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|noscript[^>]*>.*?</noscript>|head\b[^>]*>.*?</head>|textarea\b[^>]*>.*?</textarea>)"
 ANCHOR = r'(?is)<a [^>]*href="([^"]*)"[^>]*>'
 MAX_TEXT_CHARS = 5_000_000
 
@@ -16,7 +18,7 @@ def title(html: Column) -> Column:
 
 def text(html: Column) -> Column:
     """The text of a page's body, without scripts, styles and what users type into forms."""
-    bare = F.regexp_replace(F.regexp_replace(html, DROPPED, " "), r"<[^>]*>", " ")
+    bare = F.regexp_replace(F.regexp_replace(html, _DROPPED_FAST, " "), r"<[^>]*>", " ")
     return F.trim(F.substring(F.regexp_replace(bare, r"[ \t\r\n]+", " "), 1, MAX_TEXT_CHARS))
 
 

@@ -1,7 +1,7 @@
 """A kept positional index for full-text search, with changes as deltas.
 
 Postings (term, column, key, tf, positions) are kept as blocks: a row holds up to BLOCK postings of a
-term in a column, as lists of their keys, tfs and positions. Blocks are dealt to files by (term, column,
+term in a column, as lists of their keys and tfs, of all their positions one after the other, and of where each posting's begin. Blocks are dealt to files by (term, column,
 first key) and sorted by term in each: a prefix is a range of each file's rows, so a search reads the row groups and
 pages of that range only, and a term that every document holds is spread over all files. Beside
 them stand the documents' lengths, a row each. Dealing by hash needs no sample of what is dealt, so a text is
@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.operators.search import ACCENTED, B, K1, LEAST_IDF, MARKS, SEPARATOR, query_words
+from pagestrata.operators.search import ACCENTED, B, K1, LEAST_IDF, MARKS, query_words
 from pagestrata.sources import versions
 
 
@@ -50,6 +50,14 @@ def token_matches(phrase: list[str]) -> list[Column]:
     return [*[F.col("term") == t for t in phrase[:-1]], F.col("term").startswith(phrase[-1])]
 
 
+def _order(group: np.ndarray) -> np.ndarray:
+    """Places by group, and by place in one; numbers of both are sorted several times faster than places by their groups."""
+    bits = len(group).bit_length()
+    if len(group) and int(group.max()).bit_length() + bits < 63:
+        return np.sort((group.astype("int64") << bits) | np.arange(len(group))) & ((1 << bits) - 1)
+    return np.argsort(group, kind="stable")
+
+
 #: Tokens that are grouped at a time; a text of more is grouped alone.
 BATCH_TOKENS = 1 << 20
 
@@ -67,10 +75,12 @@ def by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_TOKENS, "right")))
             part, at = batch.slice(at, upto - at), upto
             n = pc.list_value_length(part.column("tokens")).to_numpy()
-            rows, words = np.repeat(np.arange(len(n)), n), part.column("tokens").flatten().dictionary_encode()
+            rows, words = np.repeat(np.arange(len(n)), n), part.column("tokens").flatten()
+            if not pa.types.is_dictionary(words.type):
+                words = words.dictionary_encode()
             place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
             group = rows * max(len(words.dictionary), 1) + words.indices.to_numpy()
-            order = np.argsort(group, kind="stable")
+            order = _order(group)
             firsts = np.flatnonzero(np.diff(group[order], prepend=-1))
             # rows without tokens follow those with
             bare = np.flatnonzero(n == 0)
@@ -87,7 +97,7 @@ BLOCK = 512
 #: Bytes of text that are cut into words at a time; a longer text is cut alone.
 BATCH_BYTES = 1 << 23
 #: How blocks are kept; an index that is kept otherwise isn't read.
-LAYOUT = 2
+LAYOUT = 3
 #: Up to so many removed or replaced keys go to all tasks; with more, postings and keys are shuffled to meet.
 BROADCAST_KEYS = 2_000_000
 
@@ -95,15 +105,39 @@ _IN_WORDS = np.zeros(256, bool)
 _IN_WORDS[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 
 
+#: Separators beyond ASCII. Marks stay until words lose them.
+_ODD_SEPARATOR = r"[^\x00-\x7F\p{L}\p{N}\x{300}-\x{36F}]+"
+
+
+class _Folds(dict):
+    """What characters become; those that stay are noted when they are met, as str.translate takes a missing key for an error."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code
+        return code
+
+
+_FOLD = _Folds(str.maketrans(ACCENTED | dict.fromkeys(MARKS)))
+
+
 def plain_words(text: Column) -> Column:
-    """Text whose runs of ASCII digits, small ASCII letters and characters beyond ASCII are search.tokens(text)."""
+    """Text whose runs of ASCII digits, small ASCII letters and characters beyond ASCII are search.tokens(text), once they have lost their accents."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    bare = F.translate(low, "".join(ACCENTED) + MARKS, "".join(ACCENTED.values()))
-    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.regexp_replace(bare, SEPARATOR, " "))
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.regexp_replace(low, _ODD_SEPARATOR, " "))
+
+
+def _without_accents(words: pa.DictionaryArray) -> pa.DictionaryArray:
+    """Each different word is folded once; words of marks alone are empty then."""
+    values = words.dictionary
+    odd = pc.not_equal(pc.binary_length(values), pc.utf8_length(values))
+    found = values.filter(odd)
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(found)], found), "\n")[0].as_py()
+    folded = pc.replace_with_mask(values, odd, pa.array(joined.translate(_FOLD).split("\n")[: len(found)], values.type)).dictionary_encode()
+    return pa.DictionaryArray.from_arrays(folded.indices.take(words.indices), folded.dictionary)
 
 
 def cut_words(texts: pa.Array) -> pa.Array:
-    """Lists of the words of texts from plain_words."""
+    """Lists of the words of texts from plain_words, as dictionaries."""
     texts = texts.cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], "int64")[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", "uint8")[ends[0] : ends[-1]]
@@ -114,8 +148,15 @@ def cut_words(texts: pa.Array) -> pa.Array:
     firsts = ends[:-1][ends[:-1] < len(data)]
     begins[firsts] = inside[firsts]
     starts = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside)).astype("int32")
-    words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data[inside]))
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(np.flatnonzero(begins), ends).astype("int32")), words)
+    words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data[inside])).dictionary_encode()
+    offsets = np.searchsorted(np.flatnonzero(begins), ends)
+    if len(data) and data.max() >= 0x80:
+        words = _without_accents(words)
+        bare = pc.index(words.dictionary, "").as_py()
+        if bare >= 0:
+            stays = words.indices.to_numpy() != bare
+            words, offsets = words.filter(pa.array(stays)), np.append(0, np.cumsum(stays))[offsets]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), words)
 
 
 def _block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -123,13 +164,19 @@ def _block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     flat = {c: pa.concat_arrays([b.column(c) for b in batches]) for c in names}
     terms, columns = flat["term"].fill_null("").dictionary_encode(), flat["column"].dictionary_encode()
     group = terms.indices.to_numpy().astype("int64") * len(columns.dictionary) + columns.indices.to_numpy()
-    order = np.argsort(group, kind="stable")
+    order = _order(group)
     firsts = np.flatnonzero(np.diff(group[order], prepend=-1))
     place = np.arange(len(order)) - np.repeat(firsts, np.diff(firsts, append=len(order)))
     starts = np.flatnonzero(place % BLOCK == 0)
     offsets = pa.array(np.append(starts, len(order)).astype("int32"))
+    tfs = pc.list_value_length(flat["positions"]).to_numpy()[order].astype("int64")
+    before = np.cumsum(tfs) - tfs
+    begin = before - np.repeat(before[starts], np.diff(starts, append=len(order)))
     order, source = pa.array(order), pa.array(order[starts])
-    return pa.RecordBatch.from_pydict({c: flat[c].take(source) if c in ("term", "column") else pa.ListArray.from_arrays(offsets, flat[c].take(order)) for c in names})
+    made = {c: flat[c].take(source) if c in ("term", "column") else pa.ListArray.from_arrays(offsets, flat[c].take(order)) for c in names if c != "positions"}
+    bounds = pa.array(np.append(before[starts], tfs.sum()).astype("int32"))
+    positions = pa.ListArray.from_arrays(bounds, flat["positions"].take(order).flatten())
+    return pa.RecordBatch.from_pydict(made | {"starts": pa.ListArray.from_arrays(offsets, pa.array(begin.astype("int32"))), "positions": positions})
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +322,7 @@ class TextIndex:
 
     def _schema(self, kind: str) -> str:
         key = ", ".join(f"`{k}` array<{t}>" if kind == "postings" else f"`{k}` {t}" for k, t in self.content["key"])
-        more = {"postings": "tf array<long>, positions array<array<int>>", "lengths": ", ".join(f"`n_{c}` long" for c in self.columns), "dead": ""}[kind]
+        more = {"postings": "tf array<long>, starts array<int>, positions array<int>", "lengths": ", ".join(f"`n_{c}` long" for c in self.columns), "dead": ""}[kind]
         return ", ".join(x for x in (("term string, column string" if kind == "postings" else ""), key, more) if x)
 
     def _generations(self, kind: str) -> list[DataFrame]:
@@ -284,10 +331,12 @@ class TextIndex:
 
     def _flat(self, kept: DataFrame, positions: bool = False) -> DataFrame:
         """A row per posting of blocks, with positions only where they are asked for, as they are most of what is read."""
-        lists = [*self.key, *(["positions"] if positions else [])]
-        others = [c for c in kept.columns if c not in (*self.key, "tf", "positions")]
+        lists = [*self.key, *(["starts", "positions"] if positions else [])]
+        others = [c for c in kept.columns if c not in (*self.key, "tf", "starts", "positions")]
         # values are taken out of their lists by place: zipped lists would be built anew for each block
-        return kept.select(*others, *lists, F.posexplode("tf").alias("_i", "tf")).select(*others, *[F.get(c, F.col("_i")).alias(c) for c in self.key], "tf", *[F.get(c, F.col("_i")).alias(c) for c in lists[len(self.key) :]])
+        each = kept.select(*others, *lists, F.posexplode("tf").alias("_i", "tf"))
+        own = [F.slice("positions", F.get("starts", F.col("_i")) + 1, F.col("tf").cast("int")).alias("positions")] if positions else []
+        return each.select(*others, *[F.get(c, F.col("_i")).alias(c) for c in self.key], "tf", *own)
 
     def _live(self, kind: str, wanted: Callable[[DataFrame], DataFrame] = lambda df: df, positions: bool = False) -> DataFrame:
         """Rows of all generations that no later change has killed; wanted is applied to each generation's rows first, to blocks of postings."""
@@ -342,7 +391,8 @@ class TextIndex:
         weights = weights or dict.fromkeys(self.columns, 1)
         if not n_words:
             return self.spark.createDataFrame([], self._schema("lengths")).select(*self.key, F.lit(0.0).alias("score"))
-        found = self.matches(text, weights)
+        # no key is null; said here, so that both uses of what is found are one plan and read postings once
+        found = self.matches(text, weights).where(_all([F.col(k).isNotNull() for k in self.key]))
         length = reduce(lambda a, b: a + b, [F.col(f"n_{c}") for c in weights])
         lengths = self._live("lengths").select(*self.key, length.alias("_dl"))
         # two rows of one column each: broadcast joins without keys

@@ -59,3 +59,39 @@ def test_an_index_of_another_layout_is_refused(spark):
     versions.publish(spark, path, 1, {"key": [["id", "bigint"]], "columns": ["body"], "generations": []})
     with pytest.raises(ValueError, match="layout"):
         TextIndex(spark, path)
+
+
+def test_words_are_folded_once_each_and_never_by_the_session(spark):
+    # letters that lose an accent or only marks become the same word or none, in one text and over several
+    texts = ["Éte éte ete ́ ́̂-a", "́", "ete «été»—x…", None, "ÉTÉ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    plain = df.select(text_index.plain_words(F.col("text")).alias("w"))
+    assert "translate" not in plain._jdf.queryExecution().optimizedPlan().toString().lower()
+    words = text_index.cut_words(plain.toArrow().combine_chunks()["w"].chunk(0))
+    assert words.to_pylist() == [["ete", "ete", "ete", "a"], [], ["ete", "ete", "x"], [], ["ete"]] and words.to_pylist() == [r[0] for r in df.select(search.tokens(F.col("text"))).collect()]
+    assert sorted(words.values.dictionary.to_pylist()) == ["", "a", "ete", "x"]
+
+
+def test_positions_are_one_list_a_block_and_postings_are_read_once_a_search(spark):
+    docs = spark.range(700).select("id", F.concat(F.lit("same "), F.repeat(F.lit("again same "), (F.col("id") % 3).cast("int")), F.lit("é")).alias("body")).coalesce(1)
+    index = TextIndex.build(docs, new_path(spark), ["id"], ["body"])
+    for _ in range(2):
+        assert dict(index._generations("postings")[0].dtypes)["positions"] == "array<int>"
+        kept = {(r.term, r.id): r.positions for r in index._live("postings", positions=True).collect()}
+        assert kept == {(w, i): [k for k, t in enumerate(["same", *["again", "same"] * (i % 3), "e"]) if t == w] for i in range(700) for w in (["same", "again", "e"] if i % 3 else ["same", "e"])}
+        assert index.search("again-same-e").count() == 466
+        found = index.search("sa e")
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("FileScan parquet [term") == 1 and "ReusedExchange" in plan
+        index.compact()
+
+
+def test_dropped_elements_are_those_of_the_sql_pattern(spark):
+    from pagestrata.functions import html
+
+    parts = ["<script>", "</script>", "<STYLE a='b'>", "</style>", "<head>", "<header>", "</head>", "<noscript", ">", "</NOSCRIPT>", "<textarea x>", "</textarea>", "<", "a <b", " \n", "<scripts>", "text"]
+    rnd = random.Random(3)
+    pages = spark.createDataFrame([("".join(rnd.choice(parts) for _ in range(rnd.randrange(25))),) for _ in range(3000)], "html string")
+    of = lambda p: F.regexp_replace("html", p, " ")
+    assert html._DROPPED_FAST != html.DROPPED and pages.where(of(html._DROPPED_FAST) != of(html.DROPPED)).isEmpty()
