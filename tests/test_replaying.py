@@ -1,5 +1,6 @@
 """Streams of journal records against a plain fold, against the batch form, and stopped in the middle."""
 
+import json
 import random
 
 import pytest
@@ -146,3 +147,113 @@ def test_state_is_asked_for_once_a_key_and_never_where_it_is_empty():
         state = State(held)
         cached = replaying.Cached(state)
         assert [cached["a"], cached["b"], cached["a"]] == [held.get(("a",)), None, held.get(("a",))] and state.asked == asked
+
+
+class Held(dict):
+    """Map state that counts the calls to it."""
+
+    calls = 0
+
+    def exists(self):
+        self.calls += 1
+        return bool(self)
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+    def iterator(self):
+        self.calls += 1
+        return iter(list(self.items()))
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getMapState(self, name, key, value):
+        return self.states.setdefault(name, Held())
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def packed(rows):
+    """Records of one capture as the processor gets them."""
+    for _, seq, ts, t, norm, sha, url, title, target, post, kind, total in rows:
+        name = sha if t in ("asset", "assetUrl", "response") else post if t == "forumPost" else title if t == "stat" else norm
+        more = str(total) if t == "stat" else str(int(ts.timestamp() * 1000)) if t == "finish" else kind
+        yield None, None, json.dumps([str(seq), t, name or "", target if t == "route" else url, more])
+
+
+def run_parts(parts):
+    """(entries kept, calls to the state a part, handle) of one capture's parts, each a micro-batch."""
+    handle, kept, calls = Handle(), {}, []
+    for part in parts:
+        replay_ = replaying.Replay()
+        replay_.init(handle)
+        before = sum(s.calls for s in handle.states.values())
+        for row in replay_.handleInputRows((0,), packed(part), None):
+            for what, key, seq, value, gone in row.changes:
+                if gone:
+                    kept.pop((0, what, key), None)
+                else:
+                    kept[0, what, key] = seq, value
+        calls.append(sum(s.calls for s in handle.states.values()) - before)
+    return kept, calls, handle
+
+
+def named(seed, n, names, types=TYPES):
+    rnd = random.Random(seed)
+    return [(0, *r[1:3], rnd.choice(types), f"n{rnd.randrange(names)}", f"s{rnd.randrange(names // 4 + 1)}", *r[6:]) for r in journal(seed, n, 1)]
+
+
+def test_a_small_capture_takes_two_calls_a_micro_batch():
+    rows = named(5, 120, 60)
+    random.Random(1).shuffle(rows)
+    kept, calls, _ = run_parts([rows[k : k + 40] for k in range(0, 120, 40)])
+    assert kept == fold(rows) and max(calls) <= 2
+
+
+@pytest.mark.parametrize("seed,full,short", [(1, 8, 3), (2, 5, 1000), (3, 1000, 0), (4, 64, 10)])
+def test_texts_and_rows_of_state_hold_what_a_fold_holds(monkeypatch, seed, full, short):
+    monkeypatch.setattr(replaying, "FULL", full)
+    monkeypatch.setattr(replaying, "SHORT", short)
+    rows = named(seed, 700, 90)
+    random.Random(seed).shuffle(rows)
+    cuts = [0, 3, 10, 60, 200, 201, 500, 700]
+    kept, _, handle = run_parts([rows[a:b] for a, b in zip(cuts, cuts[1:])])
+    assert kept == fold(rows)
+    n, n_names, n_open, long = replaying.Known(handle.states["texts"], handle.states["places"])._text(0)[""]
+    texts = [len(json.loads(t)) for (t,) in handle.states["texts"].values()]
+    assert sum(texts) - 1 == n_names <= full * n and len(texts) == n
+    assert n_open == sum(k[1] == "queue" for k in kept) and len(handle.states["places"]) == (n_open if long else 0)
+
+
+def test_a_few_records_touch_little_of_a_large_capture():
+    rows = named(6, 20_000, 9_000, ["enq", "deq", "page", "asset"])
+    kept, calls, handle = run_parts([rows, named(7, 3, 9_000, ["enq", "deq"])])
+    assert len(handle.states["texts"]) > 20 and len(handle.states["places"]) > 1000 and calls[1] <= 3 * 4 + 2
+
+
+def test_a_total_of_zero_is_a_total():
+    row = list(journal(1, 1)[0])
+    row[3], row[-1], row[7] = "stat", 0, ""
+    assert run_parts([[tuple(row)]])[0] == {(0, "stat", ""): (0, "0")}
+
+
+def test_a_stream_of_a_large_capture_equals_a_fold(spark):
+    rows = named(8, 2400, 800)
+    random.Random(8).shuffle(rows)
+    path = new_path(spark)
+    stream = replaying.entries(feed(spark, new_path(spark), [rows[:1200], rows[1200:2300], rows[2300:]]))
+    replaying.started(stream, path).awaitTermination()
+    assert rows_of(replaying.kept(spark, path)) == fold(rows)
