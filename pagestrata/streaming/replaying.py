@@ -40,8 +40,11 @@ ROW = 10_000
 FULL = 256
 #: Open places that stay in texts; a queue that was once longer has a row each for its open places.
 SHORT = 24
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How a run's state is held; a commit writes its changes, and now and then the whole state.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 class Cached:
@@ -278,13 +281,15 @@ def started(changes: DataFrame, path: str, **trigger):
     if not versions.numbers(spark, f"{path}/table"):
         KeyedTable.create(spark, f"{path}/table", ENTRY, ["archive_id", "what", "key"])
     put = lambda batch, number: KeyedTable(batch.sparkSession, f"{path}/table").put(batch, number)
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         writer = changes.writeStream.queryName(path).foreachBatch(put).outputMode("update").option("checkpointLocation", f"{path}/checkpoint")
         return writer.trigger(**(trigger or {"availableNow": True})).start()
     finally:
-        spark.conf.set(STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def kept(spark: SparkSession, path: str) -> DataFrame:

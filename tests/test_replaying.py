@@ -257,3 +257,13 @@ def test_a_stream_of_a_large_capture_equals_a_fold(spark):
     stream = replaying.entries(feed(spark, new_path(spark), [rows[:1200], rows[1200:2300], rows[2300:]]))
     replaying.started(stream, path).awaitTermination()
     assert rows_of(replaying.kept(spark, path)) == fold(rows)
+
+
+def test_commits_write_their_changes_and_the_session_keeps_its_settings(spark):
+    import os
+
+    before = {k: spark.conf.get(k, None) for k in replaying.STORE}
+    rows, path = journal(9, 20), new_path(spark)
+    replaying.started(replaying.entries(feed(spark, new_path(spark), [rows])), path).awaitTermination()
+    assert {k: spark.conf.get(k, None) for k in replaying.STORE} == before
+    assert any(f.endswith(".changelog") for _, _, files in os.walk(f"{path}/checkpoint/state") for f in files)
